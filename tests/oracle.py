@@ -61,7 +61,7 @@ def main(folder: str, *wanted: str) -> int:
     from tallyscope.plans import registry
     from tallyscope.session import build_session
 
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions=8, spark__driver__memory="12g")
+    spark = build_session(master="local[8]", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions=8, spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), 0
     oracle = registry.oracle_sql()

@@ -48,10 +48,10 @@ def _from_written(spark, folder):
 QUERIES = {
     "screening_uptake_flag": lambda s, d: screening.add_uptake_columns(episodes(s, d)),
     "screening_round_length_flag": _enriched,
-    "screening_uptake": lambda s, d: screening.calculate_uptake(_enriched(s, d), "bso_organisation_code", END),
+    "screening_uptake": lambda s, d: screening.calculate_uptake(screening.add_uptake_columns(episodes(s, d)), "bso_organisation_code", END),
     "screening_round_length": lambda s, d: screening.calculate_round_length(_enriched(s, d), "bso_organisation_code", END),
     "screening_uptake_by_bso_and_gp": lambda s, d: screening.calculate_uptake(
-        _enriched(s, d), ["bso_organisation_code", "gp_practice_code"], END, "1997-01-01"
+        screening.add_uptake_columns(episodes(s, d)), ["bso_organisation_code", "gp_practice_code"], END, "1997-01-01"
     ),
     "screening_round_length_by_bso_and_gp": lambda s, d: screening.calculate_round_length(
         _enriched(s, d), ["bso_organisation_code", "gp_practice_code"], END, "1997-01-01"

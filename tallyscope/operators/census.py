@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.operators.positions import running_offset
+from tallyscope.session import pin
 
 # Alternative key names, in order of preference.
 DIMENSION_NAME_KEYS = ("dimension_name", "name", "id")
@@ -133,41 +134,49 @@ def observations(responses: DataFrame) -> DataFrame:
 # --- batches ---------------------------------------------------------------------------------
 
 
-def place_batches(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Batches with their start position, and one row per data set and level.
+def batch_heads(responses: DataFrame) -> DataFrame:
+    """One small row per batch: how many observations, which dimensions and headers.
 
-    Failed batches (no document) add nothing.  The dimensions are those of the first batch that
-    has any.  Only sizes go through the running sum; the observation lists stay in place.
+    Pinned, because offsets, totals and layouts all come from it: the documents are parsed once
+    here and once more for the observations themselves.
     """
+    parsed = parse_responses(responses)
+    size = F.greatest(F.coalesce(F.size("observations"), F.lit(0)), F.lit(0)).cast("bigint")
+    return pin(parsed.select(*GROUP, "batch_no", "kind", "dims", "headers", size.alias("n")))
+
+
+def batch_offsets(heads: DataFrame) -> DataFrame:
+    """Start position of every batch that has observations, in batch order."""
     key = [*GROUP, "batch_no"]
-    sizes = parsed.select(*key, F.coalesce(F.size("observations"), F.lit(0)).cast("bigint").alias("_n"))
-    sizes = sizes.withColumn("_n", F.greatest("_n", F.lit(0)))
-    offsets = running_offset(sizes, "_n", "batch_no", GROUP).select(*key, "offset")
-    totals = sizes.groupBy(*GROUP).agg(F.sum("_n").alias("n_total"))
-    first = (
-        parsed.filter(F.col("dims").isNotNull() | F.col("headers").isNotNull())
-        .groupBy(*GROUP)
-        .agg(
-            F.min_by("dims", F.when(F.col("dims").isNotNull(), F.col("batch_no"))).alias("dims"),
-            F.min_by("headers", F.when(F.col("headers").isNotNull(), F.col("batch_no"))).alias("headers"),
-        )
+    return running_offset(heads.filter("n > 0").select(*key, "n"), "n", "batch_no", GROUP).drop("n")
+
+
+def combined_groups(heads: DataFrame) -> DataFrame:
+    """One row per data set and level: total size, and dimensions and headers of the first batch
+    that has any.  Failed batches (no document) count as empty."""
+    has_dims, has_headers = F.col("dims").isNotNull(), F.col("headers").isNotNull()
+    return heads.groupBy(*GROUP, "kind").agg(
+        F.sum("n").alias("n_total"),
+        F.min_by("dims", F.when(has_dims, F.col("batch_no"))).alias("dims"),
+        F.min_by("headers", F.when(has_headers, F.col("batch_no"))).alias("headers"),
     )
-    groups = totals.join(first, [*GROUP], "left").withColumn("kind", dataset_type(F.col("dataset_id")))
-    placed = parsed.filter(F.size("observations") > 0).select(*key, "observations").join(offsets, key)
-    return placed, groups
+
+
+def _lists(responses: DataFrame) -> DataFrame:
+    doc = F.from_json("json", "observations array<string>")
+    return responses.select(*GROUP, "batch_no", doc["observations"].alias("observations"))
 
 
 def combine_batches(responses: DataFrame) -> DataFrame:
     """Observations of all batches with their position in the combined list, in batch order."""
-    placed, _ = place_batches(parse_responses(responses))
+    placed = _lists(responses).join(batch_offsets(batch_heads(responses)), [*GROUP, "batch_no"])
     listed = placed.select(*GROUP, "offset", F.posexplode("observations").alias("_i", "observation"))
     return listed.select(*GROUP, (F.col("offset") + F.col("_i")).alias("pos"), "observation")
 
 
 def combined_headers(responses: DataFrame) -> DataFrame:
     """Totals, dimension names and headers of the combined response."""
-    _, groups = place_batches(parse_responses(responses))
-    return groups.select(
+    return combined_groups(batch_heads(responses)).select(
         *GROUP, "n_total", F.transform("dims", lambda d: d["name"]).alias("dims"),
         F.to_json("headers").alias("headers"),
     )
@@ -316,11 +325,12 @@ def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     ``areas`` meets the data once per area (not per cell) and by key, so the list of areas may be
     of any size.
     """
-    placed, groups = place_batches(parse_responses(responses))
-    laid = layouts(groups, areas).filter(F.col("shape") != "none")
+    heads = batch_heads(responses)
+    laid = layouts(combined_groups(heads), areas).filter(F.col("shape") != "none")
+    plan = batch_offsets(heads).join(laid, [*GROUP]).filter(F.col("offset") < F.col("keep"))
     pieces = (
-        placed.join(laid, [*GROUP])
-        .filter(F.col("offset") < F.col("keep"))
+        _lists(responses)
+        .join(plan, [*GROUP, "batch_no"])
         .select(*GROUP, "kind", "shape", "first_dim", "axes", "per_area", F.inline(_pieces()))
     )
     if areas is not None:

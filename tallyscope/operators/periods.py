@@ -67,8 +67,9 @@ def tag_reporting_period(spark: SparkSession, in_dir: str, out_dir: str) -> Data
             ).drop("_source")
         )
     for part in parts:
-        # one write per header group keeps each output's own columns
-        part.write.mode("append").partitionBy("output").option("header", True).csv(out_dir)
+        # one write per header group keeps each output's own columns; a rerun replaces its outputs
+        writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("output").option("header", True).csv(out_dir)
     tagged = parts[0]
     for part in parts[1:]:
         tagged = tagged.unionByName(part, allowMissingColumns=True)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyscope.plans import census_queries, reading_queries, screening_queries, table_queries
+from tallyscope.plans import census_queries, reading_queries, screening_queries, synthetic_queries, table_queries
 
-_GROUPS = (reading_queries, screening_queries, census_queries, table_queries)
+_GROUPS = (reading_queries, screening_queries, census_queries, table_queries, synthetic_queries)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyscope.plans import catalog_queries, census_queries, reading_queries, screening_queries, synthetic_queries, table_queries
+from tallyscope.plans import catalog_queries, census_queries, event_queries, reading_queries, screening_queries, synthetic_queries, table_queries
 
-_GROUPS = (reading_queries, screening_queries, census_queries, table_queries, synthetic_queries, catalog_queries)
+_GROUPS = (reading_queries, screening_queries, census_queries, table_queries, synthetic_queries, catalog_queries, event_queries)
 
 
 def queries() -> dict:

@@ -25,14 +25,15 @@ def explode_items(documents: DataFrame, fields: Sequence[str], keep: Sequence[st
 
 
 def linked_dataset(href: Column) -> Column:
-    """Data set id that follows ``datasets`` in a link, null without one."""
-    found = F.regexp_extract(href, r"(?:^|/)datasets/([^/]*)", 1)
-    return F.when(href.contains("/datasets/"), F.nullif(found, F.lit("")))
+    """Data set id that follows the first ``datasets`` in a link; blank without one."""
+    rest = F.split_part(F.concat(F.lit("/"), href), F.lit("/datasets/"), F.lit(2))
+    return F.when(href.contains("/datasets/"), F.substring_index(rest, "/", 1)).otherwise("")
 
 
-def _census_links(links: DataFrame) -> DataFrame:
-    ids = links.select(linked_dataset(F.col("href")).alias("id")).distinct()
-    return ids.filter(F.col("id").startswith("TS") | F.col("id").startswith("RM"))
+def _census_links(links: DataFrame, rank: int) -> DataFrame:
+    ids = links.select(linked_dataset(F.col("href")).alias("id"))
+    census = ids.filter(F.col("id").startswith("TS") | F.col("id").startswith("RM"))
+    return census.withColumn("_rank", F.lit(rank))
 
 
 def build_catalog(
@@ -42,31 +43,31 @@ def build_catalog(
     where there is any), then those known only by observation links; sorted by id.
 
     ``pages(json)``, ``links(href)``, ``metadata(dataset_id, json)`` for successful lookups only.
+    Both kinds of links go through one aggregate that keeps the first way an id was found.
     """
     listed = explode_items(pages, ("id", "title", "description"))
     default = F.concat(F.lit("Census 2021 - "), F.col("id"))
     meta = metadata.select(
         F.col("dataset_id").alias("id"), F.from_json("json", "title string, description string").alias("_meta")
     )
-    by_link = (
-        _census_links(links)
+    looked_up = F.col("_meta").isNotNull() & (F.col("_rank") == 1)
+    found = (
+        _census_links(links, 1)
+        .unionByName(_census_links(observation_links, 2))
+        .groupBy("id")
+        .agg(F.min("_rank").alias("_rank"))
         .join(listed.select("id"), "id", "left_anti")
         .join(meta, "id", "left")
         .select(
             "id",
-            F.coalesce("_meta.title", default).alias("title"),
-            F.when(F.col("_meta").isNull(), LINK_DESCRIPTION)
-            .otherwise(F.coalesce("_meta.description", F.lit("")))
+            F.when(looked_up, F.coalesce("_meta.title", default)).otherwise(default).alias("title"),
+            F.when(looked_up, F.coalesce("_meta.description", F.lit("")))
+            .when(F.col("_rank") == 1, LINK_DESCRIPTION)
+            .otherwise(OBSERVATION_DESCRIPTION)
             .alias("description"),
         )
     )
-    known = listed.select("id").unionByName(by_link.select("id"))
-    by_observation = (
-        _census_links(observation_links)
-        .join(known, "id", "left_anti")
-        .select("id", default.alias("title"), F.lit(OBSERVATION_DESCRIPTION).alias("description"))
-    )
-    return listed.unionByName(by_link).unionByName(by_observation).orderBy("id")
+    return listed.unionByName(found).orderBy("id")
 
 
 def with_type(catalog: DataFrame) -> DataFrame:

@@ -280,10 +280,16 @@ def _area_cell(dim: Column) -> Column:
     )
 
 
-def _axis_cells(pos: Column) -> Column:
+def _axis_cells(pos: Column, most: int) -> Column:
+    """Cells of all axes, as plain expressions over at most ``most`` of them.
+
+    Written out rather than mapped by a lambda: this runs once per observation and stays inside
+    generated code.
+    """
     plain = (F.col("kind") == "RM") & (F.col("shape") == "cube")
 
-    def cell(axis: Column) -> Column:
+    def cell(i: int) -> Column:
+        axis = F.get("axes", F.lit(i))
         at = F.call_function("div", pos, axis["stride"]) % axis["n"]
         option = F.get(axis["options"], at.cast("int"))
         return F.struct(
@@ -292,31 +298,7 @@ def _axis_cells(pos: Column) -> Column:
             F.coalesce(F.when(plain, option["plain_code"]).otherwise(option["code"]), F.lit("")).alias("code"),
         )
 
-    return F.transform("axes", cell)
-
-
-def _named_rows() -> Column:
-    """Every value of a piece with its position and cells.
-
-    The cells are looked up while the values are still one array, so the option lists are not
-    copied into every row.
-    """
-    shape = F.col("shape")
-
-    def row(value: Column, i: Column) -> Column:
-        pos = F.col("start") + i
-        within = pos - F.col("area_no") * F.col("per_area")
-        cells = (
-            F.when(shape == "cube", _axis_cells(pos))
-            .when(shape == "by_area", F.concat(F.array(_area_cell(F.col("first_dim"))), _axis_cells(within)))
-            .when(shape == "area_values", F.array(_area_cell(F.col("geo_level"))))
-        )
-        index = F.when(shape == "area_values", within).when(shape == "rows", pos)
-        return F.struct(
-            pos.alias("pos"), cells.alias("cells"), index.alias("value_index"), value.alias("observation")
-        )
-
-    return F.transform("part", row)
+    return F.slice(F.array(*[cell(i) for i in range(most)]), 1, F.size("axes"))
 
 
 def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
@@ -326,6 +308,7 @@ def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     of any size.
     """
     heads = batch_heads(responses)
+    most = heads.agg(F.max(F.size("dims"))).first()[0] or 1
     laid = layouts(combined_groups(heads), areas).filter(F.col("shape") != "none")
     plan = batch_offsets(heads).join(laid, [*GROUP]).filter(F.col("offset") < F.col("keep"))
     pieces = (
@@ -337,7 +320,19 @@ def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
         pieces = pieces.join(areas.select("geo_level", "area_no", "area_code"), ["geo_level", "area_no"], "left")
     else:
         pieces = pieces.withColumn("area_code", F.lit(None).cast("string"))
-    return pieces.select(*GROUP, "shape", F.inline(_named_rows()))
+
+    shape = F.col("shape")
+    pos = F.col("start") + F.col("_i")
+    within = pos - F.col("area_no") * F.col("per_area")
+    cells = (
+        F.when(shape == "cube", _axis_cells(pos, max(most, 1)))
+        .when(shape == "by_area", F.concat(F.array(_area_cell(F.col("first_dim"))), _axis_cells(within, max(most, 1))))
+        .when(shape == "area_values", F.array(_area_cell(F.col("geo_level"))))
+    )
+    index = F.when(shape == "area_values", within).when(shape == "rows", pos)
+    return pieces.select("*", F.posexplode("part").alias("_i", "observation")).select(
+        *GROUP, "shape", pos.alias("pos"), cells.alias("cells"), index.alias("value_index"), "observation"
+    )
 
 
 def cell_names(flat: DataFrame) -> list[str]:

@@ -5,88 +5,117 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyscope.functions.rules import RECALL
-from tallyscope.sources.tables import parquet_table
+from tallyscope.sources.tables import LazyTables, parquet_table
 
 
-def reading_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    lineitem = parquet_table(spark, folder, "lineitem")
-    orders = parquet_table(spark, folder, "orders")
-    customer = parquet_table(spark, folder, "customer")
-    supplier = parquet_table(spark, folder, "supplier")
-    nation = parquet_table(spark, folder, "nation")
+def reading_tables(spark: SparkSession, folder: str) -> LazyTables:
+    def table(name: str) -> DataFrame:
+        return parquet_table(spark, folder, name)
 
-    decision_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
-    recall = F.when(F.col("l_returnflag") == "R", RECALL).otherwise("Normal")
-    order_readers = lineitem.groupBy("l_orderkey").agg(
-        F.min("l_suppkey").alias("first_reader_id"), F.max("l_suppkey").alias("_last")
-    )
-    started = F.col("o_orderdate")
-    second_started = F.expr("o_orderdate + INTERVAL '1' DAY")
-    read_episode = orders.join(order_readers, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.col("o_orderkey").alias("read_episode_id"),
-        "first_reader_id",
-        started.alias("first_reader_started_at"),
-        F.expr(
-            "o_orderdate + make_dt_interval(0, 0, cast(o_custkey % 45 + 1 as int), o_orderkey % 60)"
-        ).alias("first_reader_ended_at"),
-        F.when(F.col("_last") != F.col("first_reader_id"), F.col("_last")).alias("second_reader_id"),
-        second_started.alias("second_reader_started_at"),
-        F.expr("o_orderdate + make_dt_interval(1, 0, cast(o_custkey % 30 + 1 as int), 0)").alias(
-            "second_reader_ended_at"
-        ),
-    )
-    image = orders.select(
-        "o_orderkey", "o_custkey", "o_orderstatus", F.explode(F.array(F.lit("L"), F.lit("R"))).alias("view")
-    ).select(
-        F.concat_ws("-", "o_orderkey", "view").alias("image_id"),
-        F.when(~((F.col("o_orderstatus") == "F") & (F.col("view") == "R")), F.col("o_orderkey")).alias(
-            "appointment_id"
-        ),
-        F.col("o_custkey").alias("participant_id"),
-        F.col("o_orderkey").alias("read_episode_id"),
-    )
-    priority = F.col("o_orderpriority")
-    return {
-        "Reader": supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
-            F.col("s_suppkey").alias("reader_id"), F.col("n_name").alias("bso_code")
-        ),
-        "ReadDecision": lineitem.select(
-            decision_id.alias("read_decision_id"),
+    decision_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("read_decision_id")
+
+    def reader():
+        return (
+            table("supplier")
+            .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+            .select(F.col("s_suppkey").alias("reader_id"), F.col("n_name").alias("bso_code"))
+        )
+
+    def read_decision():
+        return table("lineitem").select(
+            decision_id,
             F.col("l_orderkey").alias("read_episode_id"),
             F.col("l_suppkey").alias("reader_id"),
-            recall.alias("reader_decision"),
-        ),
-        "ReadEpisode": read_episode,
-        "Image": image,
-        "Appointment": orders.select(
-            F.col("o_orderkey").alias("appointment_id"),
-            F.when(priority != "5-LOW", F.col("o_orderkey") + 1000000).alias("screening_episode_id"),
-        ),
-        "ScreeningEpisode": orders.select(
-            (F.col("o_orderkey") + 1000000).alias("screening_episode_id"),
+            F.when(F.col("l_returnflag") == "R", RECALL).otherwise("Normal").alias("reader_decision"),
+        )
+
+    def read_episode():
+        order_readers = table("lineitem").groupBy("l_orderkey").agg(
+            F.min("l_suppkey").alias("first_reader_id"), F.max("l_suppkey").alias("_last")
+        )
+        return (
+            table("orders")
+            .join(order_readers, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            .select(
+                F.col("o_orderkey").alias("read_episode_id"),
+                "first_reader_id",
+                F.col("o_orderdate").alias("first_reader_started_at"),
+                F.expr(
+                    "o_orderdate + make_dt_interval(0, 0, cast(o_custkey % 45 + 1 as int), o_orderkey % 60)"
+                ).alias("first_reader_ended_at"),
+                F.when(F.col("_last") != F.col("first_reader_id"), F.col("_last")).alias("second_reader_id"),
+                F.expr("o_orderdate + INTERVAL '1' DAY").alias("second_reader_started_at"),
+                F.expr("o_orderdate + make_dt_interval(1, 0, cast(o_custkey % 30 + 1 as int), 0)").alias(
+                    "second_reader_ended_at"
+                ),
+            )
+        )
+
+    def image():
+        """Two views per order; the right view of a finished order has no appointment."""
+        views = table("orders").select(
+            "o_orderkey", "o_custkey", "o_orderstatus", F.explode(F.array(F.lit("L"), F.lit("R"))).alias("view")
+        )
+        unbooked = (F.col("o_orderstatus") == "F") & (F.col("view") == "R")
+        return views.select(
+            F.concat_ws("-", "o_orderkey", "view").alias("image_id"),
+            F.when(~unbooked, F.col("o_orderkey")).alias("appointment_id"),
             F.col("o_custkey").alias("participant_id"),
-        ),
-        "Participant": customer.select(F.col("c_custkey").alias("participant_id")),
-        "CancerPresence": orders.select(
             F.col("o_orderkey").alias("read_episode_id"),
-            F.when(priority == "1-URGENT", "TRUE")
-            .when(priority == "2-HIGH", "true")
-            .when(priority == "3-MEDIUM", "False")
-            .alias("cancer_present"),
-        ),
-        "Biopsies": orders.filter(F.col("o_orderstatus").isin("F", "P")).select(
-            F.col("o_orderkey").alias("read_episode_id"),
-            F.when(F.col("o_orderstatus") == "F", "Benign").otherwise("malignant").alias("biopsy_result"),
-        ),
-        "IntervalCancers": customer.select(
+        )
+
+    def appointment():
+        return table("orders").select(
+            F.col("o_orderkey").alias("appointment_id"),
+            F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey") + 1000000).alias("screening_episode_id"),
+        )
+
+    def screening_episode():
+        return table("orders").select(
+            (F.col("o_orderkey") + 1000000).alias("screening_episode_id"), F.col("o_custkey").alias("participant_id")
+        )
+
+    def participant():
+        return table("customer").select(F.col("c_custkey").alias("participant_id"))
+
+    def cancer_presence():
+        priority = F.col("o_orderpriority")
+        present = F.when(priority == "1-URGENT", "TRUE").when(priority == "2-HIGH", "true").when(priority == "3-MEDIUM", "False")
+        return table("orders").select(F.col("o_orderkey").alias("read_episode_id"), present.alias("cancer_present"))
+
+    def biopsies():
+        result = F.when(F.col("o_orderstatus") == "F", "Benign").otherwise("malignant")
+        return table("orders").filter(F.col("o_orderstatus").isin("F", "P")).select(
+            F.col("o_orderkey").alias("read_episode_id"), result.alias("biopsy_result")
+        )
+
+    def interval_cancers():
+        return table("customer").select(
             F.col("c_custkey").alias("participant_id"),
             F.when(F.col("c_acctbal") < 0, "True").otherwise("FALSE").alias("interval_cancer_found"),
-        ),
-        "ArbitrationDecision": lineitem.filter(F.col("l_linestatus") == "O").select(
-            decision_id.alias("read_decision_id"),
-            F.when(F.col("l_tax") > 0.05, RECALL).otherwise("Normal").alias("arbitration_decision"),
-        ),
-    }
+        )
+
+    def arbitration_decision():
+        decision = F.when(F.col("l_tax") > 0.05, RECALL).otherwise("Normal")
+        return table("lineitem").filter(F.col("l_linestatus") == "O").select(
+            decision_id, decision.alias("arbitration_decision")
+        )
+
+    return LazyTables(
+        {
+            "Reader": reader,
+            "ReadDecision": read_decision,
+            "ReadEpisode": read_episode,
+            "Image": image,
+            "Appointment": appointment,
+            "ScreeningEpisode": screening_episode,
+            "Participant": participant,
+            "CancerPresence": cancer_presence,
+            "Biopsies": biopsies,
+            "IntervalCancers": interval_cancers,
+            "ArbitrationDecision": arbitration_decision,
+        }
+    )
 
 
 CTES: dict[str, str] = {

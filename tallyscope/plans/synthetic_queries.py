@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators import synthetic as syn
 from tallyscope.plans.table_queries import draw
-from tallyscope.sources.tables import check_header, parquet_table
+from tallyscope.sources.tables import check_header, parquet_table, spread
 
 SEED = 5
 
@@ -19,7 +19,7 @@ REASONS = [*syn.RADIOTHERAPY_REASONS, *syn.GENE_REASONS]
 
 def ids(spark, folder):
     orders = parquet_table(spark, folder, "orders")
-    return orders.select(F.col("o_custkey").alias("nhs_number"), F.col("o_orderkey").alias("episode_id"))
+    return spread(orders.select(F.col("o_custkey").alias("nhs_number"), F.col("o_orderkey").alias("episode_id")))
 
 
 def mappings(spark, folder):

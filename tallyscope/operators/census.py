@@ -193,13 +193,26 @@ def _product(dims: Column) -> Column:
     return F.aggregate(dims, F.lit(1).cast("bigint"), lambda acc, d: acc * _count(d))
 
 
-def _with_strides(dims: Column) -> Column:
-    """Each dimension with its count and the number of cells it spans (last dimension: 1)."""
+def _axes(dims: Column, plain: Column) -> Column:
+    """Dimensions made ready for lookup: ``cells`` (one per option, blank if there is none), ``n``
+    of them, and the ``stride``, the number of positions an option spans (last dimension: 1)."""
+
+    def cells(d: Column) -> Column:
+        named = F.transform(
+            d["options"],
+            lambda o: F.struct(
+                d["name"].alias("dim"),
+                F.when(plain, o["plain_label"]).otherwise(o["label"]).alias("label"),
+                F.when(plain, o["plain_code"]).otherwise(o["code"]).alias("code"),
+            ),
+        )
+        blank = F.struct(d["name"].alias("dim"), F.lit("").alias("label"), F.lit("").alias("code"))
+        return F.when(F.size(d["options"]) > 0, named).otherwise(F.array(blank))
+
     return F.transform(
         dims,
         lambda d, i: F.struct(
-            d["name"].alias("name"),
-            d["options"].alias("options"),
+            cells(d).alias("cells"),
             _count(d).alias("n"),
             _product(F.slice(dims, i + 2, F.size(dims))).alias("stride"),
         ),
@@ -238,8 +251,8 @@ def layouts(groups: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     laid = laid.withColumns(
         {
             "first_dim": F.get("dims", F.lit(0))["name"],
-            "axes": F.when(F.col("shape") == "cube", _with_strides(dims)).when(
-                by_area, _with_strides(F.col("_categories"))
+            "axes": F.when(F.col("shape") == "cube", _axes(dims, F.col("kind") == "RM")).when(
+                by_area, _axes(F.col("_categories"), F.lit(False))
             ),
             # null where an area would get no value at all
             "per_area": F.when(by_area, _product(F.col("_categories"))).when(
@@ -270,68 +283,65 @@ def _pieces() -> Column:
     return F.when(size.isNotNull(), cut).otherwise(F.array(piece(F.lit(None), start, stop)))
 
 
-def _area_cell(dim: Column) -> Column:
-    """An unnamed area: a made-up label, the real code where the level's list has one."""
+def _area_cells() -> Column:
+    """The made-up cell of an unnamed area (the real code where the level's list has one), or none."""
     number = F.col("area_no") + 1
-    return F.struct(
-        dim.alias("dim"),
+    cell = F.struct(
+        F.when(F.col("shape") == "by_area", F.col("first_dim")).otherwise(F.col("geo_level")).alias("dim"),
         F.concat(F.lit("Area "), number.cast("string")).alias("label"),
         F.coalesce("area_code", F.format_string("AREA%06d", number)).alias("code"),
     )
-
-
-def _axis_cells(pos: Column, most: int) -> Column:
-    """Cells of all axes, as plain expressions over at most ``most`` of them.
-
-    Written out rather than mapped by a lambda: this runs once per observation and stays inside
-    generated code.
-    """
-    plain = (F.col("kind") == "RM") & (F.col("shape") == "cube")
-
-    def cell(i: int) -> Column:
-        axis = F.get("axes", F.lit(i))
-        at = F.call_function("div", pos, axis["stride"]) % axis["n"]
-        option = F.get(axis["options"], at.cast("int"))
-        return F.struct(
-            axis["name"].alias("dim"),
-            F.coalesce(F.when(plain, option["plain_label"]).otherwise(option["label"]), F.lit("")).alias("label"),
-            F.coalesce(F.when(plain, option["plain_code"]).otherwise(option["code"]), F.lit("")).alias("code"),
-        )
-
-    return F.slice(F.array(*[cell(i) for i in range(most)]), 1, F.size("axes"))
+    none = F.array().cast("array<struct<dim:string,label:string,code:string>>")
+    return F.when(F.col("area_no").isNotNull(), F.array(cell)).otherwise(none)
 
 
 def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     """All observations as rows with their cells; see the module text for the columns.
 
     ``areas`` meets the data once per area (not per cell) and by key, so the list of areas may be
-    of any size.
+    of any size.  Whatever does not depend on the single observation is settled before the lists
+    are exploded; what remains per row is an index into each axis, in generated code.
     """
     heads = batch_heads(responses)
-    most = heads.agg(F.max(F.size("dims"))).first()[0] or 1
+    most = heads.agg(F.max(F.size("dims"))).first()[0] or 0
     laid = layouts(combined_groups(heads), areas).filter(F.col("shape") != "none")
     plan = batch_offsets(heads).join(laid, [*GROUP]).filter(F.col("offset") < F.col("keep"))
     pieces = (
         _lists(responses)
         .join(plan, [*GROUP, "batch_no"])
-        .select(*GROUP, "kind", "shape", "first_dim", "axes", "per_area", F.inline(_pieces()))
+        .select(*GROUP, "shape", "first_dim", "axes", "per_area", F.inline(_pieces()))
     )
     if areas is not None:
         pieces = pieces.join(areas.select("geo_level", "area_no", "area_code"), ["geo_level", "area_no"], "left")
     else:
         pieces = pieces.withColumn("area_code", F.lit(None).cast("string"))
 
-    shape = F.col("shape")
-    pos = F.col("start") + F.col("_i")
-    within = pos - F.col("area_no") * F.col("per_area")
-    cells = (
-        F.when(shape == "cube", _axis_cells(pos, max(most, 1)))
-        .when(shape == "by_area", F.concat(F.array(_area_cell(F.col("first_dim"))), _axis_cells(within, max(most, 1))))
-        .when(shape == "area_values", F.array(_area_cell(F.col("geo_level"))))
+    within = F.col("start") - F.coalesce(F.col("area_no") * F.col("per_area"), F.lit(0))
+    axes = range(max(most, 1))
+    ready = pieces.select(
+        *GROUP,
+        "shape",
+        "start",
+        "part",
+        within.alias("_base"),
+        F.when(F.col("shape").isin("area_values", "rows"), within).alias("_index"),
+        _area_cells().alias("_area"),
+        F.coalesce(F.size("axes"), F.lit(0)).alias("_axes"),
+        *[F.get("axes", F.lit(i))[field].alias(f"_{field}{i}") for i in axes for field in ("cells", "n", "stride")],
     )
-    index = F.when(shape == "area_values", within).when(shape == "rows", pos)
-    return pieces.select("*", F.posexplode("part").alias("_i", "observation")).select(
-        *GROUP, "shape", pos.alias("pos"), cells.alias("cells"), index.alias("value_index"), "observation"
+    place = F.col("_base") + F.col("_i")
+    looked_up = [
+        F.get(f"_cells{i}", (F.call_function("div", place, F.col(f"_stride{i}")) % F.col(f"_n{i}")).cast("int"))
+        for i in axes
+    ]
+    cells = F.concat("_area", F.slice(F.array(*looked_up), F.lit(1), F.greatest("_axes", F.lit(0))))
+    return ready.select("*", F.posexplode("part").alias("_i", "observation")).select(
+        *GROUP,
+        "shape",
+        (F.col("start") + F.col("_i")).alias("pos"),
+        cells.alias("cells"),
+        (F.col("_index") + F.col("_i")).alias("value_index"),
+        "observation",
     )
 
 

@@ -31,9 +31,8 @@ def linked_dataset(href: Column) -> Column:
 
 
 def _census_links(links: DataFrame, rank: int) -> DataFrame:
-    ids = links.select(linked_dataset(F.col("href")).alias("id"))
-    census = ids.filter(F.col("id").startswith("TS") | F.col("id").startswith("RM"))
-    return census.withColumn("_rank", F.lit(rank))
+    ids = links.select(linked_dataset(F.col("href")).alias("id"), F.lit(rank).alias("_rank"))
+    return ids.filter(F.substring("id", 1, 2).isin("TS", "RM"))
 
 
 def build_catalog(
@@ -43,7 +42,8 @@ def build_catalog(
     where there is any), then those known only by observation links; sorted by id.
 
     ``pages(json)``, ``links(href)``, ``metadata(dataset_id, json)`` for successful lookups only.
-    Both kinds of links go through one aggregate that keeps the first way an id was found.
+    Listed ids and both kinds of links go through one aggregate (combined map-side) that keeps the
+    first way an id was found.
     """
     listed = explode_items(pages, ("id", "title", "description"))
     default = F.concat(F.lit("Census 2021 - "), F.col("id"))
@@ -52,11 +52,12 @@ def build_catalog(
     )
     looked_up = F.col("_meta").isNotNull() & (F.col("_rank") == 1)
     found = (
-        _census_links(links, 1)
+        listed.select("id", F.lit(0).alias("_rank"))
+        .unionByName(_census_links(links, 1))
         .unionByName(_census_links(observation_links, 2))
         .groupBy("id")
         .agg(F.min("_rank").alias("_rank"))
-        .join(listed.select("id"), "id", "left_anti")
+        .filter(F.col("_rank") > 0)
         .join(meta, "id", "left")
         .select(
             "id",

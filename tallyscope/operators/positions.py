@@ -69,7 +69,22 @@ def running_offset(
     )
 
 
-def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows and their counts: at most rows / limit of them."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+def hot_keys(df: DataFrame, key: str, limit: int, extra: Sequence[Column] = ()) -> DataFrame:
+    """Keys with more than ``limit`` rows (fewer than rows / limit of them): key, ``_rows`` and any
+    extra aggregates.  One pass, combined map-side."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *extra)
     return counts.filter(F.col("_rows") > limit)
+
+
+def number_dimension(
+    dim: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "row_no", small: int = 10_000
+) -> DataFrame:
+    """``number_rows`` for a table that is usually small.
+
+    Its size is checked first: up to ``small`` rows a plain window numbers them, beyond that the
+    distributed way is taken.
+    """
+    if dim.limit(small + 1).count() > small:
+        return number_rows(dim, order, keys, name)
+    window = W.partitionBy(*keys).orderBy(*order)
+    return dim.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))

@@ -32,34 +32,28 @@ def add_uptake_columns(df: DataFrame) -> DataFrame:
 
 
 def _slices(df: DataFrame, tie_break: str, limit: int) -> DataFrame:
-    """``_slice``: null for ordinary people; for a person with more than ``limit`` rows, an array
+    """``_slice``: null for ordinary people; for a person with more than ``limit`` rows, a struct
     that cuts the person's order (latest offer first) into pieces of about ``limit`` rows.
 
-    Ordinary data has no such person: the counts are then an empty table and add no work.
+    Ordinary data has no such person: the table of busy people is then empty and adds no work.
     """
-    hot = hot_keys(df, "nhs_number", limit).select("nhs_number")
     numeric = dict(df.dtypes)[tie_break] in ("int", "bigint")
-    # every hot person has more than ``limit`` rows, so there are few of them
-    bounds = (
-        df.join(hot, "nhs_number", "left_semi")
-        .groupBy(F.col("nhs_number").alias("_person"))
-        .agg(
-            F.min(tie_break).alias("_low"),
-            F.max(tie_break).alias("_high"),
-            F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_pieces"),
-        )
-    )
+    low, high = (F.min(tie_break), F.max(tie_break)) if numeric else (F.lit(0), F.lit(0))
+    busy = hot_keys(df, "nhs_number", limit, [low.alias("_low"), high.alias("_high")])
+    # Safe to broadcast: every listed person has more than ``limit`` rows, so there are fewer than
+    # rows / limit of them, at most a few hundred thousand for 100 TB.
+    busy = F.broadcast(busy.withColumnRenamed("nhs_number", "_person"))
     month = F.coalesce(F.year("date_of_foa") * 12 + F.month("date_of_foa"), F.lit(-1)).cast("bigint")
     if numeric:
-        width = (F.col("_high") - F.col("_low") + 1) / F.col("_pieces")
+        width = (F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / F.lit(limit))
         piece = F.floor((F.col(tie_break) - F.col("_low")) / width).cast("bigint")
     else:
         piece = F.lit(0).cast("bigint")
     cut = F.when(F.col("_person").isNotNull(), F.struct(month.alias("m"), piece.alias("p")))
     return (
-        df.join(bounds, F.col("nhs_number") == F.col("_person"), "left")
+        df.join(busy, F.col("nhs_number") == F.col("_person"), "left")
         .withColumn("_slice", cut)
-        .drop("_person", "_low", "_high", "_pieces")
+        .drop("_person", "_low", "_high", "_rows")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from tallyscope.functions.draws import bernoulli, choose, uniform_date, uniform_int, unit
 from tallyscope.functions.rules import add_months
-from tallyscope.operators.positions import number_rows, running_offset
+from tallyscope.operators.positions import number_dimension, running_offset
 
 # Fixed values of the generator.
 EPISODES_PER_PERSON = ((1, 0.2), (2, 0.3), (3, 0.5))
@@ -49,7 +49,7 @@ def assign_from(
     """
     columns = [c for c in dim.columns if c != match]
     keys = [match] if match else []
-    numbered = number_rows(dim, [F.col(c) for c in columns], keys, "_number")
+    numbered = number_dimension(dim, [F.col(c) for c in columns], keys, "_number")
     numbered = numbered.select(*[F.col(k).alias("_group") for k in keys], "_number", *columns)
     if match:
         sizes = dim.groupBy(F.col(match).alias("_of")).agg(F.count(F.lit(1)).alias("_size"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators import synthetic as syn
 from tallyscope.plans.table_queries import draw
-from tallyscope.sources.tables import check_header, parquet_table, spread
+from tallyscope.sources.tables import LazyTables, check_header, parquet_table, spread
 
 SEED = 5
 
@@ -23,30 +23,37 @@ def ids(spark, folder):
 
 
 def mappings(spark, folder):
-    def codes(table, column):
-        return parquet_table(spark, folder, table).select(F.col(column).alias("code")).distinct()
-
-    customer = parquet_table(spark, folder, "customer")
-    nation = parquet_table(spark, folder, "nation")
-    reason = F.coalesce(
-        F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("n_nationkey")),
-        F.concat(F.lit("OTHER_"), F.col("n_nationkey")),
-    )
-    return {
-        "EpisodeType": codes("lineitem", "l_returnflag"),
-        "FinalActionCode": codes("part", "p_type"),
-        "Language": codes("nation", "n_name"),
-        "CeaseReason": codes("events", "event_type"),
-        "higher_risk_referral_reasons": nation.select(reason.alias("code")),
-        "higher_risk_genes": codes("part", "p_brand"),
-        "bso_organisations": customer.select(F.col("c_mktsegment").alias("bso_organisation_code")).distinct(),
-        "bso_gp_mapping": customer.select(
+    def table(name):
+        return parquet_table(spark, folder, name)
+
+    def codes(name, column):
+        return lambda: table(name).select(F.col(column).alias("code")).distinct()
+
+    def reasons():
+        known = F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("n_nationkey"))
+        code = F.coalesce(known, F.concat(F.lit("OTHER_"), F.col("n_nationkey")))
+        return table("nation").select(code.alias("code"))
+
+    def practices():
+        return table("customer").select(
             F.col("c_custkey").alias("row_no"),
             F.col("c_mktsegment").alias("bso_organisation_code"),
             F.concat(F.lit("GP"), F.expr("c_custkey div 2")).alias("gp_practice_code"),
             F.concat(F.lit("PC"), F.col("c_custkey")).alias("gp_practice_postcode"),
-        ),
-    }
+        )
+
+    return LazyTables(
+        {
+            "EpisodeType": codes("lineitem", "l_returnflag"),
+            "FinalActionCode": codes("part", "p_type"),
+            "Language": codes("nation", "n_name"),
+            "CeaseReason": codes("events", "event_type"),
+            "higher_risk_referral_reasons": reasons,
+            "higher_risk_genes": codes("part", "p_brand"),
+            "bso_organisations": lambda: table("customer").select(F.col("c_mktsegment").alias("bso_organisation_code")).distinct(),
+            "bso_gp_mapping": practices,
+        }
+    )
 
 
 def episodes(spark, folder):

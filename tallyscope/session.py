@@ -16,6 +16,8 @@ def build_session(app: str = "tallyscope", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # larger generated methods are never compiled by the JIT; Spark then splits the expressions
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **{key.replace("__", "."): str(value) for key, value in conf.items()},
     }
     builder = SparkSession.builder.appName(app)

@@ -69,10 +69,11 @@ def running_offset(
     )
 
 
-def hot_keys(df: DataFrame, key: str, limit: int, extra: Sequence[Column] = ()) -> DataFrame:
-    """Keys with more than ``limit`` rows (fewer than rows / limit of them): key, ``_rows`` and any
-    extra aggregates.  One pass, combined map-side."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *extra)
+def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows and their ``_rows``: fewer than rows / limit of them.
+
+    One pass, combined map-side."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     return counts.filter(F.col("_rows") > limit)
 
 

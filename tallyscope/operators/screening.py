@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyscope.functions.rules import add_months, tolerant_timestamp
-from tallyscope.operators.positions import hot_keys
+from tallyscope.operators.positions import hot_keys, number_rows
 
 # Days for uptake and for round length.
 UPTAKE_DAYS = 183
@@ -31,60 +31,37 @@ def add_uptake_columns(df: DataFrame) -> DataFrame:
     return parsed.withColumn("uptake_six_mth_threshold", F.when(F.col("date_of_foa").isNotNull(), attended))
 
 
-def _slices(df: DataFrame, tie_break: str, limit: int) -> DataFrame:
-    """``_slice``: null for ordinary people; for a person with more than ``limit`` rows, a struct
-    that cuts the person's order (latest offer first) into pieces of about ``limit`` rows.
+def _lead_by_window(df: DataFrame, order: list[Column]) -> DataFrame:
+    per_person = W.partitionBy("nhs_number").orderBy(*order)
+    return df.withColumn("_prior", F.lead(F.struct("date_of_as", "date_of_foa")).over(per_person))
 
-    Ordinary data has no such person: the table of busy people is then empty and adds no work.
-    """
-    numeric = dict(df.dtypes)[tie_break] in ("int", "bigint")
-    low, high = (F.min(tie_break), F.max(tie_break)) if numeric else (F.lit(0), F.lit(0))
-    busy = hot_keys(df, "nhs_number", limit, [low.alias("_low"), high.alias("_high")])
-    # Safe to broadcast: every listed person has more than ``limit`` rows, so there are fewer than
-    # rows / limit of them, at most a few hundred thousand for 100 TB.
-    busy = F.broadcast(busy.withColumnRenamed("nhs_number", "_person"))
-    month = F.coalesce(F.year("date_of_foa") * 12 + F.month("date_of_foa"), F.lit(-1)).cast("bigint")
-    if numeric:
-        width = (F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / F.lit(limit))
-        piece = F.floor((F.col(tie_break) - F.col("_low")) / width).cast("bigint")
-    else:
-        piece = F.lit(0).cast("bigint")
-    cut = F.when(F.col("_person").isNotNull(), F.struct(month.alias("m"), piece.alias("p")))
-    return (
-        df.join(busy, F.col("nhs_number") == F.col("_person"), "left")
-        .withColumn("_slice", cut)
-        .drop("_person", "_low", "_high", "_rows")
+
+def _lead_by_position(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The same by row numbers from a distributed sort: each row meets the one numbered next."""
+    numbered = number_rows(df, order, ["nhs_number"], "_no")
+    older = numbered.select(
+        F.col("nhs_number").alias("_person"),
+        (F.col("_no") - 1).alias("_before"),
+        F.struct("date_of_as", "date_of_foa").alias("_prior"),
     )
+    same = (F.col("nhs_number") == F.col("_person")) & (F.col("_no") == F.col("_before"))
+    return numbered.join(older, same, "left").drop("_no", "_person", "_before")
 
 
 def _lead_in_person(df: DataFrame, tie_break: str, limit: int) -> DataFrame:
     """``_prior``: the next older row's dates within the person.
 
-    The window runs per (person, slice).  The last row of a slice takes the first row of the
-    person's next slice, found in a table with one row per slice of the few hot people.
+    A window does it for everyone with at most ``limit`` rows.  Whether anybody has more is checked
+    first, by a map-side combined count; only those people take the way without a window.
     """
-    sliced = _slices(df, tie_break, limit)
     order = [F.col("date_of_foa").desc_nulls_last(), F.col(tie_break).desc()]
-    dates = F.struct("date_of_as", "date_of_foa")
-    per_slice = W.partitionBy("nhs_number", "_slice").orderBy(*order)
-    led = sliced.withColumn("_prior", F.lead(dates).over(per_slice))
-    # nulls sort lowest inside a struct, so the greatest struct is the first row of the order
-    heads = (
-        sliced.filter(F.col("_slice").isNotNull())
-        .groupBy("nhs_number", "_slice")
-        .agg(F.max(F.struct("date_of_foa", F.col(tie_break).alias("_tie"), "date_of_as")).alias("_head"))
-    )
-    older = W.partitionBy("nhs_number").orderBy(F.col("_slice").desc())
-    nexts = heads.select(
-        F.col("nhs_number").alias("_person"),
-        F.col("_slice").alias("_cut"),
-        F.lead(F.struct("_head.date_of_as", "_head.date_of_foa")).over(older).alias("_next"),
-    )
-    return (
-        led.join(nexts, (F.col("nhs_number") == F.col("_person")) & (F.col("_slice") == F.col("_cut")), "left")
-        .withColumn("_prior", F.coalesce("_prior", "_next"))
-        .drop("_person", "_cut", "_next", "_slice")
-    )
+    busy = hot_keys(df, "nhs_number", limit).select("nhs_number")
+    if busy.isEmpty():
+        return _lead_by_window(df, order)
+    # safe to broadcast: each has more than ``limit`` rows, so there are fewer than rows / limit
+    busy = F.broadcast(busy)
+    ordinary = _lead_by_window(df.join(busy, "nhs_number", "left_anti"), order)
+    return ordinary.unionByName(_lead_by_position(df.join(busy, "nhs_number", "left_semi"), order))
 
 
 def add_round_length_columns(

@@ -46,7 +46,8 @@ def number_rows(
 def running_offset(
     df: DataFrame, value: str, order: str, keys: Sequence[str] = (), name: str = "offset", block: int = 65536
 ) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the group, for an integer ``order`` column.
+    """Sum of ``value`` over the earlier rows of the group, for an integer ``order`` column whose
+    values are unique and nearly consecutive (row numbers, batch numbers).
 
     Two levels: running sums inside blocks of ``block`` consecutive order values, and running
     sums over the block totals.  No task sees more than one block or one list of block totals.

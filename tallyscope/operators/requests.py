@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyscope.operators.positions import number_rows
+from tallyscope.sources.tables import text_csv
 
 # Levels, batch sizes, levels fetched through filters, defaults.
 LEVELS = ("ctry", "rgn", "la", "msoa", "lsoa", "oa")
@@ -157,7 +158,7 @@ def pick_dimensions(debug: DataFrame) -> DataFrame:
 
 
 def combine_filter_batches(batches: Mapping[int, DataFrame]) -> DataFrame:
-    """Rows of all batch files under the union of their columns, in ``file_no``."""
+    """Rows of all batches under the union of their columns, in ``file_no``."""
     combined = None
     for number, batch in sorted(batches.items()):
         part = batch.withColumn("file_no", F.lit(number))
@@ -165,3 +166,11 @@ def combine_filter_batches(batches: Mapping[int, DataFrame]) -> DataFrame:
     if combined is None:
         raise ValueError("no batch files to combine")
     return combined
+
+
+def read_filter_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch CSVs of one data set and level (same header), all text, with ``file_name``.
+
+    One scan over the folder however many batches there are.
+    """
+    return text_csv(spark, folder).withColumn("file_name", F.col("_metadata.file_name"))

@@ -1,7 +1,7 @@
 """Census flattening queries.
 
 Responses are built from the supplied tables: areas are suppliers, observations count their line
-items by category, and ten neighbouring suppliers share one response.
+items by category, and four neighbouring suppliers share one response.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def _supplier_counts(spark, folder, cells) -> DataFrame:
 
 
 def _in_batches(areas: DataFrame, option, dataset, batch, dims, name_key: str) -> DataFrame:
-    """Responses of ten areas each (so a collected list has ten entries)."""
+    """Responses of four areas each (so a collected list has four entries)."""
     listed = (
-        areas.withColumn("_batch", F.expr("s_suppkey div 10"))
+        areas.withColumn("_batch", F.expr("s_suppkey div 4"))
         .groupBy("_batch")
         .agg(F.array_sort(F.collect_list(F.struct("s_suppkey", option.alias("option"), "counts"))).alias("rows"))
     )
@@ -210,25 +210,25 @@ matrix AS (
   LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = flag AND l_linestatus = status GROUP BY ALL)
 """
 _AREA = "'Area ' || (s_suppkey + 1) AS supplier"
-_TOPIC_BATCH = "printf('TS%05d', s_suppkey // 10) AS dataset_id, 'la' AS geo_level, s_suppkey % 10 * 3 + i AS pos"
+_TOPIC_BATCH = "printf('TS%05d', s_suppkey // 4) AS dataset_id, 'la' AS geo_level, s_suppkey % 4 * 3 + i AS pos"
 _TOPIC_ALL = "'TS900' AS dataset_id, 'la' AS geo_level, s_suppkey * 3 + i AS pos"
 _MATRIX_ALL = "'RM900' AS dataset_id, 'la' AS geo_level, s_suppkey * 6 + i * 2 + j AS pos"
 
 
 def _dimension_rows(prefix: str, dims: str, codes: bool = True) -> str:
     code, other = ("'S' || s_suppkey", "i::varchar") if codes else ("s_name", "v")
-    return f"""SELECT printf('{prefix}%05d', s_suppkey // 10) AS dataset_id, 0::bigint AS dim_no, 'supplier' AS dim,
-      s_suppkey % 10 AS option_no, s_name AS label, {code} AS code FROM supplier
+    return f"""SELECT printf('{prefix}%05d', s_suppkey // 4) AS dataset_id, 0::bigint AS dim_no, 'supplier' AS dim,
+      s_suppkey % 4 AS option_no, s_name AS label, {code} AS code FROM supplier
       UNION ALL SELECT printf('{prefix}%05d', b), k::bigint, dim, i::bigint, v, {other}
-      FROM (SELECT DISTINCT s_suppkey // 10 AS b FROM supplier) CROSS JOIN (VALUES {dims}) AS d(k, dim, i, v)"""
+      FROM (SELECT DISTINCT s_suppkey // 4 AS b FROM supplier) CROSS JOIN (VALUES {dims}) AS d(k, dim, i, v)"""
 
 
 _FLAG_ROWS = "(1, 'returnflag', 0, 'A'), (1, 'returnflag', 1, 'N'), (1, 'returnflag', 2, 'R')"
 _STATUS_ROWS = "(2, 'linestatus', 0, 'F'), (2, 'linestatus', 1, 'O')"
 
 ORACLE = {
-    "census_observations": _BASE + """SELECT 'TS900' AS dataset_id, 'la' AS geo_level, s_suppkey // 10 AS batch_no,
-      s_suppkey % 10 * 3 + i AS pos, n AS observation FROM topic""",
+    "census_observations": _BASE + """SELECT 'TS900' AS dataset_id, 'la' AS geo_level, s_suppkey // 4 AS batch_no,
+      s_suppkey % 4 * 3 + i AS pos, n AS observation FROM topic""",
     "census_combined_batches": _BASE + f"SELECT {_TOPIC_ALL}, n AS observation FROM topic",
     "census_combined_headers": """SELECT 'RM900' AS dataset_id, 'la' AS geo_level, count(*) * 6 AS n_total,
       ['supplier', 'returnflag', 'linestatus'] AS dims, NULL::varchar AS headers FROM supplier""",
@@ -237,8 +237,8 @@ ORACLE = {
     "census_option_texts": f"({_dimension_rows('TS', _FLAG_ROWS)}) UNION ALL ({_dimension_rows('TS', _FLAG_ROWS, False)})",
     "census_topic_cube": _BASE + f"""SELECT {_TOPIC_BATCH}, s_name AS supplier, 'S' || s_suppkey AS supplier_code,
       flag AS returnflag, i::varchar AS returnflag_code, n AS observation FROM topic""",
-    "census_matrix_cube": _BASE + """SELECT printf('RM%05d', s_suppkey // 10) AS dataset_id, 'la' AS geo_level,
-      s_suppkey % 10 * 6 + i * 2 + j AS pos, s_name AS supplier, 'S' || s_suppkey AS supplier_code, flag AS returnflag,
+    "census_matrix_cube": _BASE + """SELECT printf('RM%05d', s_suppkey // 4) AS dataset_id, 'la' AS geo_level,
+      s_suppkey % 4 * 6 + i * 2 + j AS pos, s_name AS supplier, 'S' || s_suppkey AS supplier_code, flag AS returnflag,
       i::varchar AS returnflag_code, status AS linestatus, j::varchar AS linestatus_code, n AS observation FROM matrix""",
     "census_metadata_cube": _BASE + f"""SELECT {_TOPIC_BATCH}, s_name AS supplier, s_name AS supplier_code,
       flag AS returnflag, flag AS returnflag_code, n AS observation FROM topic""",

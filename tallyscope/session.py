@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: str | None = None
+
 
 def build_session(app: str = "tallyscope", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are written for."""
@@ -18,6 +20,8 @@ def build_session(app: str = "tallyscope", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # larger generated methods are never compiled by the JIT; Spark then splits the expressions
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        # checkpoint files go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{key.replace("__", "."): str(value) for key, value in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
@@ -39,9 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tallyscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    global _local_folder
+    _local_folder = _local_folder or tempfile.mkdtemp(prefix="tallyscope-")
+    return _local_folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

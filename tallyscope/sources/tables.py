@@ -120,11 +120,9 @@ def text_csv(spark: SparkSession, path: str | Sequence[str], null_value: str | N
 def json_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per non-empty JSON file: ``file_name``, ``json``."""
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("_size"), F.col("value").alias("json"))
-        .filter(F.col("_size") > 0)
-        .drop("_size")
+        spark.read.text(path, wholetext=True)
+        .filter(F.col("_metadata.file_size") > 0)
+        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("json"))
     )
 
 

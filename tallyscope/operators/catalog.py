@@ -36,10 +36,11 @@ def _census_links(links: DataFrame, rank: int) -> DataFrame:
 
 
 def build_catalog(
-    pages: DataFrame, links: DataFrame, metadata: DataFrame, observation_links: DataFrame
+    pages: DataFrame, links: DataFrame, metadata: DataFrame, observation_links: DataFrame, sort: bool = True
 ) -> DataFrame:
     """Listed data sets, then census data sets known only by dimension links (with their metadata
-    where there is any), then those known only by observation links; sorted by id.
+    where there is any), then those known only by observation links; sorted by id unless the result
+    is worked on further.
 
     ``pages(json)``, ``links(href)``, ``metadata(dataset_id, json)`` for successful lookups only.
     Listed ids and both kinds of links go through one aggregate (combined map-side) that keeps the
@@ -68,7 +69,8 @@ def build_catalog(
             .alias("description"),
         )
     )
-    return listed.unionByName(found).orderBy("id")
+    catalog = listed.unionByName(found)
+    return catalog.orderBy("id") if sort else catalog
 
 
 def with_type(catalog: DataFrame) -> DataFrame:

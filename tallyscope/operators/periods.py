@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.sources.tables import text_csv
+from tallyscope.sources.tables import csv_files, text_csv
 
 # Fixed value: the stem of a file name ends in the year the period ends in.
 YEAR_SUFFIX = r"(\d{4})$"
@@ -34,15 +34,6 @@ def with_reporting_period(df: DataFrame, path: str = "source_file") -> DataFrame
     return df.withColumn("reporting_period", reporting_period(year_from_filename(F.col(path))))
 
 
-def csv_files(spark: SparkSession, folder: str) -> list[str]:
-    """CSV files directly in a folder, sorted by name."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listing = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
-    return sorted(
-        str(f.getPath().toString()) for f in listing if f.isFile() and f.getPath().getName().lower().endswith(".csv")
-    )
-
-
 def tag_reporting_period(spark: SparkSession, in_dir: str, out_dir: str) -> DataFrame:
     """Every CSV of a folder with a constant ``reporting_period`` column, as all-text CSV.
 

@@ -17,6 +17,19 @@ FILTER_BATCH_SIZE = 5000
 LARGE_LEVELS = ("lsoa", "msoa", "oa")
 EDITION, VERSION, POPULATION = "2021", 1, "UR"
 
+# Message texts (%s: data set, level, prefix or status, in reading order).
+NO_DATASET = "Dataset ID is required"
+SHORT_DATASET = "Invalid dataset ID format: %s"
+UNSUPPORTED_TYPE = "Unsupported dataset type: %s"
+INVALID_LEVEL = "Invalid geographic level: %s"
+NO_AREAS = "No areas found for geographic level: %s"
+NOT_FOUND = "Dataset %s not found at %s level (404)"
+HTTP_ERROR = "HTTP error %s checking dataset %s at %s level"
+NO_OBSERVATIONS = "Dataset %s doesn't contain observations at %s level"
+NOT_AVAILABLE = "Dataset not available at this level"
+HINT_LEVELS = "This dataset may not be available at the requested geographic levels."
+HINT_OA = "Output Area (OA) level data is not available for all datasets."
+
 
 def batch_size(level: Column, override: Column | None = None) -> Column:
     """Areas per request: 200 for the known levels, 50 for others; an override replaces the former."""
@@ -77,10 +90,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     dataset, level = F.col("dataset_id"), F.col("geo_level")
     prefix = F.upper(F.substring(dataset, 1, 2))
     reason = (
-        F.when(F.coalesce(dataset, F.lit("")) == "", "Dataset ID is required")
-        .when(F.length(dataset) < 3, F.concat(F.lit("Invalid dataset ID format: "), dataset))
-        .when(~prefix.isin("TS", "RM"), F.concat(F.lit("Unsupported dataset type: "), prefix))
-        .when((F.coalesce(level, F.lit("")) != "") & ~level.isin(*LEVELS), F.concat(F.lit("Invalid geographic level: "), level))
+        F.when(F.coalesce(dataset, F.lit("")) == "", NO_DATASET)
+        .when(F.length(dataset) < 3, F.format_string(SHORT_DATASET, dataset))
+        .when(~prefix.isin("TS", "RM"), F.format_string(UNSUPPORTED_TYPE, prefix))
+        .when((F.coalesce(level, F.lit("")) != "") & ~level.isin(*LEVELS), F.format_string(INVALID_LEVEL, level))
     )
     return requests.withColumn("reason", reason)
 
@@ -106,15 +119,11 @@ def availability(responses: DataFrame) -> DataFrame:
     ``status`` is the HTTP status of the test request.
     """
     dataset, level, status = F.col("dataset_id"), F.col("geo_level"), F.col("status")
-    at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     message = (
-        F.when(F.coalesce("n_areas", F.lit(0)) == 0, at("No areas found for geographic level: ", level))
-        .when(status == 404, at("Dataset ", dataset, " not found at ", level, " level (404)"))
-        .when(status >= 400, at("HTTP error ", status.cast("string"), " checking dataset ", dataset, " at ", level, " level"))
-        .when(
-            F.coalesce("n_observations", F.lit(0)) == 0,
-            at("Dataset ", dataset, " doesn't contain observations at ", level, " level"),
-        )
+        F.when(F.coalesce("n_areas", F.lit(0)) == 0, F.format_string(NO_AREAS, level))
+        .when(status == 404, F.format_string(NOT_FOUND, dataset, level))
+        .when(status >= 400, F.format_string(HTTP_ERROR, status.cast("string"), dataset, level))
+        .when(F.coalesce("n_observations", F.lit(0)) == 0, F.format_string(NO_OBSERVATIONS, dataset, level))
     )
     return responses.withColumn("error_message", message).withColumn("is_available", message.isNull())
 
@@ -123,7 +132,7 @@ def level_status(log: DataFrame) -> DataFrame:
     """Per level: done (a file came out), skipped (not available, with the reason) or failed."""
     done = F.coalesce(F.col("output_file"), F.lit("")) != ""
     status = F.when(done, "done").when(~F.col("is_available"), "skipped").otherwise("failed")
-    fallback = F.lit("Dataset not available at this level")
+    fallback = F.lit(NOT_AVAILABLE)
     reason = F.when(status == "skipped", F.coalesce(F.nullif("error_message", F.lit("")), fallback))
     return log.withColumn("status", status).withColumn("reason", reason)
 
@@ -139,8 +148,8 @@ def run_summary(log: DataFrame) -> DataFrame:
     )
     hint = F.when(F.col("done") > 0, None).when(
         (F.col("skipped") > 0) & (F.col("failed") == 0),
-        "This dataset may not be available at the requested geographic levels.",
-    ).when(only_oa & (F.col("skipped") > 0), "Output Area (OA) level data is not available for all datasets.")
+        HINT_LEVELS,
+    ).when(only_oa & (F.col("skipped") > 0), HINT_OA)
     return counted.withColumn("succeeded", F.col("done") > 0).withColumn("hint", hint).drop("only_oa")
 
 

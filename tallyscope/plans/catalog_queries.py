@@ -67,10 +67,9 @@ def metadata(spark, folder):
     )
 
 
-def catalog(spark, folder):
-    return cat.build_catalog(
-        pages(spark, folder), links(spark, folder), metadata(spark, folder), observation_links(spark, folder)
-    )
+def catalog(spark, folder, sort=False):
+    found = pages(spark, folder), links(spark, folder), metadata(spark, folder), observation_links(spark, folder)
+    return cat.build_catalog(*found, sort=sort)
 
 
 _LEVEL_NAMES = ["ctry", "rgn", "la", "msoa", "lsoa", "oa", "zz", ""]
@@ -194,7 +193,7 @@ def _dimension_names(spark, folder):
 
 
 QUERIES = {
-    "catalog_build": catalog,
+    "catalog_build": lambda s, d: catalog(s, d, sort=True),
     "catalog_types": lambda s, d: cat.with_type(catalog(s, d)).select("id", "dataset_type"),
     "catalog_counts": lambda s, d: cat.catalog_counts(catalog(s, d)),
     "catalog_top_five": lambda s, d: cat.top_n_per_type(catalog(s, d), 5),

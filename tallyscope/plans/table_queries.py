@@ -110,11 +110,14 @@ def _copied(spark, folder):
 
 
 def _tagged_folders(spark, folder):
-    path = fresh_path(spark, "tagged")
-    rows = periods.with_reporting_period(order_files(spark, folder))
-    stem = periods.file_stem(F.col("source_file"))
-    write_csv_by(rows.withColumn("output", F.concat(stem, F.lit("_preprocessed"))).drop("source_file"), path, "output")
-    return text_csv(spark, path)
+    """Yearly regional CSVs (one folder each) read as text, tagged, written again and read back."""
+    source, target = fresh_path(spark, "yearly"), fresh_path(spark, "tagged")
+    files = order_files(spark, folder).withColumn("source", periods.file_stem(F.col("source_file")))
+    write_csv_by(files.drop("source_file"), source, "source")
+    tagged = periods.with_reporting_period(text_csv(spark, source), "source")
+    output = F.concat(F.col("source"), F.lit("_preprocessed"))
+    write_csv_by(tagged.withColumn("output", output).drop("source"), target, "output")
+    return text_csv(spark, target)
 
 
 QUERIES = {

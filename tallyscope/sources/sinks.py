@@ -46,3 +46,15 @@ def size_in_mb(df_path: str, spark) -> float:
 def write_csv_by(df: DataFrame, path: str, *columns: str) -> None:
     """Header CSV, one folder per value of the given columns."""
     df.write.mode("overwrite").partitionBy(*columns).option("header", True).csv(path)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """A catalog table clustered by ``key``.
+
+    Reader KPIs join and group by episode: with the decision, episode, cancer and image tables
+    bucketed by ``read_episode_id`` into the same number of buckets, those steps need no shuffle.
+    """
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)

@@ -75,6 +75,13 @@ READING_SCHEMAS: dict[str, T.StructType] = {
     "ReadDecision": T.StructType(
         _fields("read_decision_id read_episode_id reader_id reader_decision decision_type", _TEXT)
     ),
+    "ReadHistory": T.StructType(
+        _fields("read_decision_hist_id read_decision_id reader_id reader_decision decision_type", _TEXT)
+        + _fields("decision_timestamp", _TIME)
+    ),
+    "ReadOutcome": T.StructType(
+        _fields("read_outcome_id read_episode_id read_outcome", _TEXT) + _fields("read_outcome_date", _TIME)
+    ),
     "ArbitrationDecision": T.StructType(
         _fields("arbitration_id read_decision_id arbitrator_reader_id arbitration_format", _TEXT)
         + _fields("arbitration_date", _TIME)
@@ -99,14 +106,27 @@ def csv_table(
     return reader.schema(as_read).csv(path).select(*declared)
 
 
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """CSV files directly in a folder, sorted by name."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
+    return sorted(
+        str(f.getPath().toString()) for f in listing if f.isFile() and f.getPath().getName().lower().endswith(".csv")
+    )
+
+
 def reading_tables(
     spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType] = READING_SCHEMAS
-) -> dict[str, DataFrame]:
-    """The image-reading tables of a folder, one CSV per table."""
-    return {
-        name: csv_table(spark, f"{folder.rstrip('/')}/{name}.csv", schema)
-        for name, schema in schemas.items()
-    }
+) -> LazyTables:
+    """The tables of a folder by file stem: declared columns for known names, all text for others."""
+
+    def builder(path: str, stem: str):
+        if stem in schemas:
+            return lambda: csv_table(spark, path, schemas[stem])
+        return lambda: text_csv(spark, path)
+
+    stems = {path.rsplit("/", 1)[-1][: -len(".csv")]: path for path in csv_files(spark, folder)}
+    return LazyTables({stem: builder(path, stem) for stem, path in stems.items()})
 
 
 def text_csv(spark: SparkSession, path: str | Sequence[str], null_value: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.rules import RECALL, micros_between, ratio
 from tallyscope.operators import charts, reading
+from tallyscope.sources.sinks import write_bucketed
+from tallyscope.sources.tables import READING_SCHEMAS, reading_tables
 
 
 def random_tables(seed, hot):
@@ -213,3 +215,46 @@ def test_bso_filter_compares_as_text(spark):
     assert [r[0] for r in reading.filter_by_bso(summary, ["7"]).collect()] == ["R1"]
     assert reading.filter_by_bso(summary, None).count() == 2
     assert [r[0] for r in reading.bso_codes(summary).collect()] == ["7", "8"]
+
+
+def test_tables_from_csv_files(spark, tmp_path):
+    rows = random_tables(7, False)
+    for name, schema in COLUMNS.items():
+        if name == "ReadEpisode":
+            continue
+        columns = [c.split()[0] for c in schema.split(", ")]
+        own = [c.name for c in READING_SCHEMAS[name]]
+        lines = [",".join(str(dict(zip(columns, r)).get(c) or "") for c in own) for r in rows[name]]
+        (tmp_path / f"{name}.csv").write_text("\n".join([",".join(own), *lines]))
+    header = ",".join(c.name for c in READING_SCHEMAS["ReadEpisode"])
+    episodes = [f"{e},R1,2024-01-01 09:00:00,2024-01-01 09:01:30,,,," for (e,) in rows["ReadEpisode"]]
+    (tmp_path / "ReadEpisode.csv").write_text("\n".join([header, *episodes]))
+    (tmp_path / "Other.csv").write_text("a,b\n007,x")
+    tables = reading_tables(spark, str(tmp_path))
+    assert set(tables) == {*COLUMNS, "Other"} and tables["Other"].first()["a"] == "007"
+    count = restated(rows)
+    for row in reading.summary_table(tables).collect():
+        assert row["Total Cancers Detected"] == count("detected", row["Unique Code"])
+        assert row["Total Discrepant Cancers"] == count("discrepant", row["Unique Code"])
+    timed = {r["reader_id"]: (r[1], r[2]) for r in reading.kpi_read_time(tables).collect()}
+    assert timed["R1"] == (1.5, 40) and timed["R2"] == (0.0, 0)
+
+
+def test_bucketed_tables_need_no_shuffle_by_episode(spark, tmp_path):
+    rows = random_tables(11, True)
+    tables, count = to_spark(spark, rows), restated(rows)
+    for name in ("ReadDecision", "ReadEpisode", "CancerPresence"):
+        write_bucketed(tables[name], f"b_{name}", "read_episode_id", 4, str(tmp_path / name))
+        tables[name] = spark.table(f"b_{name}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = reading._recalled_pairs(tables).join(reading._cancer_episodes(tables), "read_episode_id", "left_semi")
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        got = {r["Unique Code"]: r["Total Cancers Detected"] for r in reading.summary_table(tables).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("ReadDecision", "ReadEpisode", "CancerPresence"):
+            spark.sql(f"DROP TABLE b_{name}")
+    assert "Exchange" not in plan
+    assert got == {reader: count("detected", reader) for reader, _ in rows["Reader"]}

@@ -85,18 +85,26 @@ def funnel_points(tables: Tables, summary: DataFrame) -> DataFrame:
     )
 
 
-def funnel_limits(tables: Tables, points: DataFrame) -> DataFrame:
+def funnel_limits(tables: Tables, points: DataFrame, all_readers: DataFrame | None = None) -> DataFrame:
     """95% limits around the overall detection rate on an even grid of read counts.
 
-    The overall rate covers all readers, whatever filter made ``points``.
+    The overall rate covers all readers, whatever filter made ``points``.  It comes from the
+    unfiltered summary if ``all_readers`` gives it (the work is then shared), else from the tables.
     """
-    hits = _detected_counts(tables, "cancers_detected_count")
-    totals = _for_all_readers(
-        tables,
-        _decision_counts(tables).join(hits, "reader_id", "left"),
-        "read_decision_count",
-        "cancers_detected_count",
-    ).agg(F.sum("cancers_detected_count").alias("hits"), F.sum("read_decision_count").alias("reads"))
+    if all_readers is None:
+        hits = _detected_counts(tables, "cancers_detected_count")
+        counts = _for_all_readers(
+            tables,
+            _decision_counts(tables).join(hits, "reader_id", "left"),
+            "read_decision_count",
+            "cancers_detected_count",
+        )
+    else:
+        counts = all_readers.select(
+            F.col("Total Cases Reported as First & Second Reader").alias("read_decision_count"),
+            F.col("Total Cancers Detected").alias("cancers_detected_count"),
+        )
+    totals = counts.agg(F.sum("cancers_detected_count").alias("hits"), F.sum("read_decision_count").alias("reads"))
     overall = totals.select(
         F.coalesce(F.col("hits") / F.nullif(F.col("reads"), F.lit(0)), F.lit(0.0)).alias("p")
     ).scalar()

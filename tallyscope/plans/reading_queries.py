@@ -28,7 +28,15 @@ def _funnel_points(spark, folder):
 
 def _funnel_limits(spark, folder):
     tables = reading_tables(spark, folder)
-    points = charts.funnel_points(tables, reading.summary_table(tables))
+    summary = reading.summary_table(tables)
+    points = charts.funnel_points(tables, summary)
+    return _six_places(charts.funnel_limits(tables, points, summary))
+
+
+def _funnel_limits_of_some(spark, folder):
+    """Points of three BSOs, limits still from all readers, straight from the tables."""
+    tables = reading_tables(spark, folder)
+    points = charts.funnel_points(tables, _filtered(spark, folder))
     return _six_places(charts.funnel_limits(tables, points))
 
 
@@ -63,6 +71,7 @@ QUERIES = {
     "reading_quadrants": lambda spark, folder: _six_places(_on_summary(charts.quadrants)(spark, folder)),
     "reading_funnel_points": _funnel_points,
     "reading_funnel_limits": _funnel_limits,
+    "reading_funnel_limits_of_some": _funnel_limits_of_some,
 }
 
 
@@ -70,6 +79,16 @@ def _share(top: str, bottom: str, scale: int) -> str:
     return f"coalesce(round_even({top} / nullif({bottom}, 0) * {scale}, 2), 0.0)"
 
 
+def _limits(points: str) -> str:
+    return f"""SELECT g::bigint AS grid_no, round(n, 6) AS number_of_first_reads, round(p * 1000, 6) AS centre,
+        round(greatest((p - 1.96 * sqrt(greatest(p * (1 - p), 0) / n)) * 1000, 0), 6) AS lower_95,
+        round((p + 1.96 * sqrt(greatest(p * (1 - p), 0) / n)) * 1000, 6) AS upper_95
+        FROM (SELECT g, p, lo + g * ((hi - lo) / 299) AS n FROM range(300) AS t(g),
+        (SELECT sum(detected)::double / sum(reads) AS p FROM all_counts),
+        (SELECT greatest(1, min("Number of first reads"))::double AS lo, max("Number of first reads")::double AS hi FROM {points})
+        WHERE lo IS NOT NULL)"""
+
+
 ORACLE = {
     "reading_enriched_decisions": sql("SELECT * FROM enriched"),
     "reading_images_read": sql("SELECT reader_id, reads AS read_decision_count FROM all_counts"),
@@ -137,12 +156,9 @@ ORACLE = {
         FROM summary, (SELECT avg("Recall Rate") AS x, avg("Cancer Detection Rate") AS y FROM summary)"""
     ),
     "reading_funnel_points": sql("SELECT * FROM points"),
-    "reading_funnel_limits": sql(
-        """SELECT g::bigint AS grid_no, round(n, 6) AS number_of_first_reads, round(p * 1000, 6) AS centre,
-        round(greatest((p - 1.96 * sqrt(greatest(p * (1 - p), 0) / n)) * 1000, 0), 6) AS lower_95,
-        round((p + 1.96 * sqrt(greatest(p * (1 - p), 0) / n)) * 1000, 6) AS upper_95
-        FROM (SELECT g, p, lo + g * ((hi - lo) / 299) AS n FROM range(300) AS t(g),
-        (SELECT sum(detected)::double / sum(reads) AS p FROM all_counts),
-        (SELECT greatest(1, min("Number of first reads"))::double AS lo, max("Number of first reads")::double AS hi FROM points))"""
+    "reading_funnel_limits": sql(_limits("points")),
+    "reading_funnel_limits_of_some": sql(
+        _limits("""(SELECT * FROM points WHERE "Unique Code" IN
+        (SELECT reader_id FROM reader WHERE bso_code IN ('NATION_1', 'NATION_7', 'NATION_20')))""")
     ),
 }

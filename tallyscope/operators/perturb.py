@@ -79,8 +79,7 @@ def replicate_for_dates(
 ) -> DataFrame:
     """An independently perturbed copy per date, in an ``as_of`` column."""
     copies = df.withColumn("as_of", F.explode(F.array(*[F.lit(date) for date in dates])))
-    noisy = perturb(copies, [*exclude, "as_of"], seed=seed, **options)
-    return noisy
+    return perturb(copies, [*exclude, "as_of"], seed=seed, **options)
 
 
 def perturbation_report(
@@ -103,14 +102,15 @@ def perturbation_report(
         ]
     )
     diffs = joined.select(*keys, F.inline(pairs)).filter(F.col("diff").isNotNull())
-    moments = diffs.groupBy("column").agg(
+    # the differences are computed once: everything below reads the numbered (checkpointed) rows
+    ranked = number_rows(diffs, [F.col("diff"), *[F.col(k) for k in keys]], ["column"], "rank")
+    moments = ranked.groupBy("column").agg(
         F.count("diff").alias("count"),
         F.avg("diff").alias("mean"),
         F.stddev_samp("diff").alias("std"),
         F.min("diff").alias("min"),
         F.max("diff").alias("max"),
     )
-    ranked = number_rows(diffs, [F.col("diff"), *[F.col(k) for k in keys]], ["column"], "rank")
     sized = ranked.join(moments.select("column", "count"), "column")
 
     def at(share: float, edge) -> Column:

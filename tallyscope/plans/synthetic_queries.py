@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyscope.functions.draws import bernoulli, choose, uniform_date, uniform_int, unit
+from tallyscope.functions.rules import add_months
 from tallyscope.operators import synthetic as syn
 from tallyscope.plans.table_queries import draw
 from tallyscope.sources.tables import LazyTables, check_header, parquet_table, spread
@@ -169,7 +171,33 @@ def _exploded(spark, folder):
     return syn.explode_by(lines, "n", "l_orderkey", lineitem.count() - 10).select("l_orderkey", "position")
 
 
+def _draws(spark, folder):
+    """Every kind of draw on the orders, keyed by order."""
+    orders, key = spread(parquet_table(spark, folder, "orders").select("o_orderkey", "o_orderdate")), F.col("o_orderkey")
+    return orders.select(
+        "o_orderkey",
+        unit(key, "u", 1).alias("u"),
+        bernoulli(key, "flag", 0.25, 1).alias("flag"),
+        choose(key, "even", ["a", "b", "c"], 1).alias("even"),
+        choose(key, "weighted", ["a", "b", "c"], 1, [0.5, 0.3, 0.2]).alias("weighted"),
+        uniform_int(key, "whole", -5, 20, 1).alias("whole"),
+        uniform_date(key, "day", "2024-04-01", "2025-03-31", 1).alias("day"),
+        add_months(F.col("o_orderdate"), uniform_int(key, "months", -24, 24, 1)).alias("shifted"),
+    )
+
+
+def _assigned(spark, folder):
+    """A supplier for each order, and a customer of the same nation for each of them."""
+    orders = parquet_table(spark, folder, "orders").select("o_orderkey")
+    suppliers = parquet_table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+    customers = parquet_table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    placed = syn.assign_from(orders, suppliers, F.col("o_orderkey"), "supplier", 1)
+    return syn.assign_from(placed, customers, F.col("o_orderkey"), "customer", 1, "nation")
+
+
 QUERIES = {
+    "synthetic_draws": _draws,
+    "synthetic_assignment": _assigned,
     "synthetic_episode_ids": _generated_ids,
     **{name: _rule(*rule) for name, rule in _RULES.items()},
     "synthetic_subject_base": lambda s, d: syn.subject_base(syn.bso_organisation_code(_changed(s, d), mappings(s, d)["bso_organisations"], SEED)),
@@ -279,7 +307,22 @@ _COMBINED = [c for c in SUBJECT_COLUMNS if c != "change_db_date_time"] + [
     c for c in EPISODE_COLUMNS if c not in SUBJECT_COLUMNS
 ]
 
+def _one(name, key="o_orderkey"):
+    return draw(key, name, 1)
+
+
 ORACLE = {
+    "synthetic_draws": f"""SELECT o_orderkey, {_one('u')} AS u, {_one('flag')} < 0.25 AS flag,
+      list_extract(['a', 'b', 'c'], floor({_one('even')} * 3)::int + 1) AS even,
+      CASE WHEN {_one('weighted')} < 0.5 THEN 'a' WHEN {_one('weighted')} < 0.8 THEN 'b' ELSE 'c' END AS weighted,
+      -5 + floor({_one('whole')} * 26)::bigint AS whole, DATE '2024-04-01' + floor({_one('day')} * 365)::int AS day,
+      o_orderdate + to_months(-24 + floor({_one('months')} * 49)::int) AS shifted FROM orders""",
+    "synthetic_assignment": f"""WITH s AS (SELECT s_suppkey, s_nationkey AS nation, row_number() OVER (ORDER BY s_suppkey) - 1 AS no FROM supplier),
+      c AS (SELECT c_custkey, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS no,
+        count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer)
+      SELECT o_orderkey, s_suppkey, o.nation, c_custkey FROM (SELECT o_orderkey, s.* FROM orders
+        LEFT JOIN s ON s.no = floor({_one('supplier')} * (SELECT count(*) FROM supplier))::bigint) o
+      LEFT JOIN c ON c.nation = o.nation AND c.no = floor({_one('customer')} * c.size)::bigint""",
     "synthetic_episode_ids": _MADE_IDS,
     **{name: _REAL + f"SELECT episode_id, {', '.join(columns)} FROM everything" for name, (columns, _) in _RULES.items()},
     "synthetic_subject_base": _REAL + f"SELECT {_BASE_COLUMNS} FROM everything",

@@ -26,6 +26,9 @@ LABEL_KEYS = ("label", "name", "value")
 CODE_KEYS = ("id", "code")
 GROUP = ("dataset_id", "geo_level")
 
+# Batch plans up to this size are sent to every executor.
+BROADCAST_BYTES = 10 * 1024 * 1024
+
 _RESPONSE = "dimensions array<string>, observations array<string>, headers array<map<string,string>>, dimension_metadata array<string>"
 
 
@@ -303,9 +306,14 @@ def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     are exploded; what remains per row is an index into each axis, in generated code.
     """
     heads = batch_heads(responses)
-    most = heads.agg(F.max(F.size("dims"))).first()[0] or 0
+    text = F.length(F.to_json("dims"))
+    most, largest, batches = heads.agg(F.max(F.size("dims")), F.max(text), F.count(F.lit(1))).first()
+    most = most or 0
     laid = layouts(combined_groups(heads), areas).filter(F.col("shape") != "none")
     plan = batch_offsets(heads).join(laid, [*GROUP]).filter(F.col("offset") < F.col("keep"))
+    if (largest or 0) * batches <= BROADCAST_BYTES:
+        # checked: the documents then go from scan to result without a shuffle; else Spark decides
+        plan = F.broadcast(plan)
     pieces = (
         _lists(responses)
         .join(plan, [*GROUP, "batch_no"])

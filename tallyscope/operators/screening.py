@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyscope.functions.rules import add_months, tolerant_timestamp
 from tallyscope.operators.positions import hot_keys, number_rows
+from tallyscope.sources.sinks import by_folder
 
 # Days for uptake and for round length.
 UPTAKE_DAYS = 183
@@ -137,4 +138,5 @@ def metric_audit(df: DataFrame) -> DataFrame:
 def write_enriched(df: DataFrame, path: str) -> None:
     """Enrich once, query often: Parquet by financial year (April to March) of the offer."""
     start_year = F.year(add_months(F.col("date_of_foa"), -3))
-    df.withColumn("financial_year", start_year).write.mode("overwrite").partitionBy("financial_year").parquet(path)
+    yearly = by_folder(df.withColumn("financial_year", start_year), "financial_year")
+    yearly.write.mode("overwrite").partitionBy("financial_year").parquet(path)

@@ -43,9 +43,18 @@ def size_in_mb(df_path: str, spark) -> float:
     return files.getContentSummary(path).getLength() / (1024 * 1024)
 
 
+def by_folder(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows brought together by the columns a table is foldered by.
+
+    A rebalance, not a repartition: a folder with a third of all rows is split over several tasks
+    and files, small ones share a task.
+    """
+    return df.hint("rebalance", *columns)
+
+
 def write_csv_by(df: DataFrame, path: str, *columns: str) -> None:
     """Header CSV, one folder per value of the given columns."""
-    df.write.mode("overwrite").partitionBy(*columns).option("header", True).csv(path)
+    by_folder(df, *columns).write.mode("overwrite").partitionBy(*columns).option("header", True).csv(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:

@@ -12,7 +12,7 @@ def spark():
     from tallyscope.session import build_session
 
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions=8, spark__driver__memory="8g",
+        "tests", "local[8]", spark__sql__shuffle__partitions=4, spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -97,6 +97,17 @@ def test_areas_may_be_cut_by_batches(spark):
     assert [r[2] for r in rows] == ["p", "q", "r"] * 3
 
 
+@pytest.mark.parametrize("limit", [0, census.BROADCAST_BYTES])
+def test_large_plans_are_joined_instead_of_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(census, "BROADCAST_BYTES", limit)
+    dims = [{"name": "g", "options": ["x", "y"]}, {"name": "c", "options": ["p"]}]
+    df = responses(spark, *[(f"TS{i}", "la", 1, {"dimensions": dims, "observations": [i, i + 1]}) for i in range(9)])
+    flat = census.flatten(df)
+    assert ("ResolvedHint (strategy=broadcast)" in flat._jdf.queryExecution().analyzed().toString()) == (limit > 0)
+    got = {(r["dataset_id"], r["g"], r["observation"]) for r in census.wide(flat, ["g", "c"]).collect()}
+    assert got == {(f"TS{i}", g, str(i + j)) for i in range(9) for j, g in enumerate("xy")}
+
+
 def test_matrix_overflow_over_several_categories(spark):
     dims = [
         {"dimension_name": "g", "options": [{"id": "E", "label": "England"}]},

@@ -4,8 +4,9 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as driver_entry
+from tallyscope.plans import registry
 
-QUERIES, ORACLE = driver_entry.queries(), driver_entry.oracle_sql()
+QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,7 @@ def con(folder):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(driver_entry.queries())
 
 
 def test_entry_has_rows(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import licences, packing, secrets, sentencepiece_codec
+from tallyscope.llm import licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec
 from tallyscope.llm.common import table
 
 
@@ -19,6 +19,28 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = radix_dedup.duplicates(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op5_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = maxscore.quantised(table(spark, folder, "embeddings"))
+    return maxscore.search(vectors, F.col("id") % 50 == 0, k=5)
+
+
+_MAXSCORE_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
 def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -50,6 +72,8 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_maxscore": op5_maxscore,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_licence_scan": op10_licence_scan,
@@ -61,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_licence_scan": licences.scan_sql()}
+    return {"op4_exact_dedup": radix_dedup.DUPLICATES_SQL, "op5_maxscore": _MAXSCORE_SQL, "op10_licence_scan": licences.scan_sql()}

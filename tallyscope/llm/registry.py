@@ -5,8 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec
-from tallyscope.llm.common import table
+from tallyscope.llm import hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, toxicity
+from tallyscope.llm.common import held_out, table
+
+
+def op1_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = hmm.score(docs, ~held_out("doc_id", 10)).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,6 +47,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), folds=5)
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -71,9 +84,11 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = {
+    "op1_hidden_markov": op1_hidden_markov,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_maxscore": op5_maxscore,
+    "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_licence_scan": op10_licence_scan,

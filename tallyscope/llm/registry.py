@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, toxicity
+from tallyscope.llm import hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, toxicity
 from tallyscope.llm.common import held_out, table
 
 
@@ -25,6 +25,11 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = setsketch_dedup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = radix_dedup.duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -86,6 +91,7 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_maxscore": op5_maxscore,
     "op6_toxicity": op6_toxicity,

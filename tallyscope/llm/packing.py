@@ -26,7 +26,7 @@ from tallyscope.llm.common import staged, text_slices
 #: Entries of a task's word table, at most; longer words are not kept.
 MOST_WORDS, LONGEST = 200_000, 64
 #: Partitions whose open windows are merged together.
-MERGED = 32
+MERGED = 8
 #: Space of any kind on both sides of a space, or at its end: there a space need not begin a token.
 _RUNS = re.compile(r"\s \s|\s $|^ \s|^ $")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, toxicity
+from tallyscope.llm import hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, suffix_dedup, toxicity
 from tallyscope.llm.common import held_out, table
 
 
@@ -59,6 +59,17 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, folder, "documents"), length=200)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -95,6 +106,7 @@ _QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_maxscore": op5_maxscore,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_licence_scan": op10_licence_scan,

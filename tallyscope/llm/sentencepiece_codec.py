@@ -10,7 +10,6 @@ costs far less than moving every word of the corpus would.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

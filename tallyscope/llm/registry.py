@@ -99,6 +99,12 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 _QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_sentencepiece": op2_sentencepiece,
@@ -110,6 +116,7 @@ _QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_licence_scan": op10_licence_scan,
+    "pipeline": pipeline,
 }
 
 

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyscope.llm.common import staged, text_slices
+from tallyscope.llm.common import freed, staged, text_slices
 
 CLASSES = 1 << 16
 #: Text bytes of a block, and tokens of a training sequence (a longer text is trained on in parts).
-BLOCK_BYTES, SEQUENCE = 8 << 20, 256
+BLOCK_BYTES, SEQUENCE = 4 << 20, 256
 #: The end of a text as a token: no word holds white space.
 END = b"\n"
 
@@ -208,6 +208,7 @@ def score(docs: DataFrame, training: Column, states: int = 8, rounds: int = 6, p
     model = _first_model(class_counts, states, seed)
     for _ in range(rounds if n else 0):
         model = _iterate(blocks, model, shares, prior)
+        freed(docs.sparkSession)
 
     places = blocks.select("block", F.posexplode("vocabulary").alias("place", "word"))
     known = places.join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("known"))

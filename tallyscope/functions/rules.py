@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the decision text that counts as a recall.
@@ -28,10 +30,12 @@ def count_true(flag: Column) -> Column:
     return F.count(F.when(flag, F.lit(1)))
 
 
-def tolerant_timestamp(name: str, data_type: str) -> Column:
-    """Text becomes a timestamp or null; dates and timestamps pass through."""
+def tolerant_timestamp(name: str, data_type: str, formats: Sequence[str] = ()) -> Column:
+    """Text becomes a timestamp or null, as ISO or in the first of ``formats`` that fits; dates and
+    timestamps pass through."""
     if data_type == "string":
-        return F.col(name).try_cast("timestamp_ntz")
+        tried = [F.try_to_timestamp(F.col(name), F.lit(f)).cast("timestamp_ntz") for f in formats]
+        return F.coalesce(F.col(name).try_cast("timestamp_ntz"), *tried)
     return F.col(name)
 
 

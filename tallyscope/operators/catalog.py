@@ -97,9 +97,10 @@ def top_n_per_type(catalog: DataFrame, n: int = 5, types: Sequence[str] = TYPES)
     # equal ids are told apart by their text
     by_id = W.partitionBy("dataset_type").orderBy("id", "title", "description")
     first = typed.filter(cut).withColumn("_no", F.row_number().over(by_id)).filter(F.col("_no") <= n).drop("_no")
-    more = F.when(cut, F.greatest(F.col("_total") - n, F.lit(0))).otherwise(0).cast("bigint")
-    listed = first.unionByName(typed.filter(~cut)).join(totals, "dataset_type")
-    return listed.select("dataset_type", "id", "title", "description", more.alias("more"))
+    columns = ["dataset_type", "id", "title", "description"]
+    # only the few rows that stay of a type meet its total
+    short = first.join(totals, "dataset_type").select(*columns, F.greatest(F.col("_total") - n, F.lit(0)).cast("bigint").alias("more"))
+    return short.unionByName(typed.filter(~cut).select(*columns, F.lit(0).cast("bigint").alias("more")))
 
 
 def page_number(catalog: DataFrame, size: int = 10) -> DataFrame:

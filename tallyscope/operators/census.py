@@ -26,9 +26,6 @@ LABEL_KEYS = ("label", "name", "value")
 CODE_KEYS = ("id", "code")
 GROUP = ("dataset_id", "geo_level")
 
-# Batch plans up to this size are sent to every executor.
-BROADCAST_BYTES = 10 * 1024 * 1024
-
 _RESPONSE = "dimensions array<string>, observations array<string>, headers array<map<string,string>>, dimension_metadata array<string>"
 
 
@@ -148,20 +145,35 @@ def batch_heads(responses: DataFrame) -> DataFrame:
     return pin(parsed.select(*GROUP, "batch_no", "kind", "dims", "headers", size.alias("n")))
 
 
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Null-safe equality of the keys of two aliased tables."""
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+    return out
+
+
 def batch_offsets(heads: DataFrame) -> DataFrame:
-    """Start position of every batch that has observations, in batch order."""
+    """Start position of every batch that has observations, in batch order; a null number comes first.
+
+    A batch number that occurs twice in a data set and level is an error: it cannot be told which of
+    the two responses counts."""
     key = [*GROUP, "batch_no"]
-    return running_offset(heads.filter("n > 0").select(*key, "n"), "n", "batch_no", GROUP).drop("n")
+    name = F.concat_ws(" / ", *[F.coalesce(F.col(k).cast("string"), F.lit("(null)")) for k in key])
+    repeated = F.raise_error(F.concat(F.lit("repeated batch: "), name)).cast("bigint")
+    single = heads.filter("n > 0").groupBy(*key).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_times"))
+    sized = single.select(*key, F.when(F.col("_times") > 1, repeated).otherwise(F.col("_n")).alias("n"))
+    return running_offset(sized, "n", "batch_no", GROUP).drop("n")
 
 
 def combined_groups(heads: DataFrame) -> DataFrame:
     """One row per data set and level: total size, and dimensions and headers of the first batch
-    that has any.  Failed batches (no document) count as empty."""
+    that has any (a null batch number comes first).  Failed batches (no document) count as empty."""
     has_dims, has_headers = F.col("dims").isNotNull(), F.col("headers").isNotNull()
     return heads.groupBy(*GROUP, "kind").agg(
         F.sum("n").alias("n_total"),
-        F.min_by("dims", F.when(has_dims, F.col("batch_no"))).alias("dims"),
-        F.min_by("headers", F.when(has_headers, F.col("batch_no"))).alias("headers"),
+        F.min_by("dims", F.when(has_dims, F.struct("batch_no"))).alias("dims"),
+        F.min_by("headers", F.when(has_headers, F.struct("batch_no"))).alias("headers"),
     )
 
 
@@ -172,8 +184,9 @@ def _lists(responses: DataFrame) -> DataFrame:
 
 def combine_batches(responses: DataFrame) -> DataFrame:
     """Observations of all batches with their position in the combined list, in batch order."""
-    placed = _lists(responses).join(batch_offsets(batch_heads(responses)), [*GROUP, "batch_no"])
-    listed = placed.select(*GROUP, "offset", F.posexplode("observations").alias("_i", "observation"))
+    offsets = batch_offsets(batch_heads(responses)).alias("o")
+    placed = _lists(responses).alias("l").join(offsets, _same("l", "o", [*GROUP, "batch_no"]))
+    listed = placed.select(*[f"l.{k}" for k in GROUP], "offset", F.posexplode("observations").alias("_i", "observation"))
     return listed.select(*GROUP, (F.col("offset") + F.col("_i")).alias("pos"), "observation")
 
 
@@ -306,18 +319,16 @@ def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     are exploded; what remains per row is an index into each axis, in generated code.
     """
     heads = batch_heads(responses)
-    text = F.length(F.to_json("dims"))
-    most, largest, batches = heads.agg(F.max(F.size("dims")), F.max(text), F.count(F.lit(1))).first()
-    most = most or 0
-    laid = layouts(combined_groups(heads), areas).filter(F.col("shape") != "none")
-    plan = batch_offsets(heads).join(laid, [*GROUP]).filter(F.col("offset") < F.col("keep"))
-    if (largest or 0) * batches <= BROADCAST_BYTES:
-        # checked: the documents then go from scan to result without a shuffle; else Spark decides
-        plan = F.broadcast(plan)
+    most = heads.agg(F.max(F.size("dims"))).first()[0] or 0  # how many columns the lookup needs
+    laid = layouts(combined_groups(heads), areas).filter(F.col("shape") != "none").alias("g")
+    # joined by batch; whether the plan is sent to every executor is left to Spark's size check
+    plan = batch_offsets(heads).alias("o").join(laid, _same("o", "g", GROUP)).filter(F.col("offset") < F.col("keep"))
+    plan = plan.select("o.*", *[c for c in laid.columns if c not in GROUP]).alias("p")
     pieces = (
         _lists(responses)
-        .join(plan, [*GROUP, "batch_no"])
-        .select(*GROUP, "shape", "first_dim", "axes", "per_area", F.inline(_pieces()))
+        .alias("l")
+        .join(plan, _same("l", "p", [*GROUP, "batch_no"]))
+        .select(*[f"l.{k}" for k in GROUP], "shape", "first_dim", "axes", "per_area", F.inline(_pieces()))
     )
     if areas is not None:
         pieces = pieces.join(areas.select("geo_level", "area_no", "area_code"), ["geo_level", "area_no"], "left")

@@ -8,22 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 EVENT_SCHEMA = "id bigint, name string, timestamp string, payload array<map<string,string>>"
 
 
-def events_for(ids: DataFrame, n_pairs: int, name: str = "foo") -> DataFrame:
-    """One event per ``id`` with ``n_pairs`` one-key maps ``key_j: value_j``."""
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(n_pairs - 1)),
-        lambda j: F.create_map(F.concat(F.lit("key_"), j), F.concat(F.lit("value_"), j)),
-    )
-    payload = pairs if n_pairs > 0 else F.array().cast("array<map<string,string>>")
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return ids.select("id", F.lit(name).alias("name"), stamp.alias("timestamp"), payload.alias("payload"))
-
-
-def make_events(spark: SparkSession, n_events: int = 1000, n_pairs: int = 100) -> DataFrame:
-    """Events with ids 0 to ``n_events`` - 1."""
-    return events_for(spark.range(n_events), n_pairs)
-
-
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of events, with the declared schema."""
     return spark.read.schema(EVENT_SCHEMA).json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.sources.tables import csv_files, text_csv
+from tallyscope.sources.tables import csv_files, csv_header, text_csv
 
 # Fixed value: the stem of a file name ends in the year the period ends in.
 YEAR_SUFFIX = r"(\d{4})$"
@@ -34,29 +34,23 @@ def with_reporting_period(df: DataFrame, path: str = "source_file") -> DataFrame
     return df.withColumn("reporting_period", reporting_period(year_from_filename(F.col(path))))
 
 
-def tag_reporting_period(spark: SparkSession, in_dir: str, out_dir: str) -> DataFrame:
+def tag_reporting_period(spark: SparkSession, in_dir: str, out_dir: str, multi_line: bool = False) -> DataFrame:
     """Every CSV of a folder with a constant ``reporting_period`` column, as all-text CSV.
 
     The output has one folder per input, ``output=<stem>_preprocessed``, so that large files stay
-    split.  Files with the same header are read together; each file is read once.  The rows are
-    returned as well (read back), with ``output`` telling the files apart.
+    split.  Files with the same header are read and written together.  The tagged rows of the inputs
+    are returned as well, with ``output`` telling the files apart.
     """
     by_header: dict[tuple, list[str]] = {}
     for path in csv_files(spark, in_dir):
-        # the header line only; Spark plans no job beyond the first line of one file
-        header = tuple(text_csv(spark, path).columns)
-        by_header.setdefault(header, []).append(path)
+        by_header.setdefault(csv_header(spark, path), []).append(path)
     if not by_header:
         raise ValueError(f"no CSV files in {in_dir}")
     parts = []
     for paths in by_header.values():
-        source = F.col("_metadata.file_path")
-        part = text_csv(spark, paths).withColumn("_source", source)
-        parts.append(
-            with_reporting_period(part, "_source").withColumn(
-                "output", F.concat(file_stem(F.col("_source")), F.lit("_preprocessed"))
-            ).drop("_source")
-        )
+        part = with_reporting_period(text_csv(spark, paths, multi_line=multi_line, with_file=True), "file_name")
+        output = F.concat(file_stem(F.col("file_name")), F.lit("_preprocessed"))
+        parts.append(part.withColumn("output", output).drop("file_name"))
     for part in parts:
         # one write per header group keeps each output's own columns; a rerun replaces its outputs
         writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -19,19 +19,22 @@ THRESHOLD = 10
 SMEAR = 0.5
 
 _INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
-_FLOAT_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+_FLOAT_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 _MAX_BIGINT = 9223372036854775807
 
 
 def perturbed_integer(value: Column, u: Column, threshold: int = THRESHOLD, smear: float = SMEAR) -> Column:
-    """Above the threshold: uniform within the smear around the value; otherwise uniform 0..threshold."""
+    """Above the threshold: uniform within the smear around the value; otherwise uniform 0..threshold.
+    The upper end of the range is the largest bigint at most."""
     deviation = value * F.lit(float(smear))
     low = F.greatest(F.lit(0), (value - deviation).try_cast("bigint"))
     high = F.coalesce((value + deviation).try_cast("bigint"), F.lit(_MAX_BIGINT))
     big = value > threshold
     low = F.when(big, low).otherwise(F.lit(0)).cast("bigint")
     high = F.when(big, high).otherwise(F.lit(threshold)).cast("bigint")
-    return low + F.floor(u * (high - low + 1)).cast("bigint")
+    # in doubles, as the span of a capped range is one more than a bigint can hold
+    steps = F.floor(u * (high.cast("double") - low.cast("double") + 1)).cast("bigint")
+    return low + F.least(steps, high - low)
 
 
 def perturbed_float(u: Column) -> Column:
@@ -50,7 +53,9 @@ def perturb_cell(column: str, data_type: str, u: Column, threshold: int, smear:
         return cell
     whole = F.when(cell.rlike(_INTEGER_TEXT), F.trim(F.regexp_replace(cell, r"\s", "")).try_cast("bigint"))
     as_int = perturbed_integer(whole, u, threshold, smear).cast("string")
-    is_float = cell.rlike(_FLOAT_TEXT) & ~cell.rlike(_INTEGER_TEXT)
+    number = cell.rlike(_FLOAT_TEXT) & ~cell.rlike(_INTEGER_TEXT)
+    # a number too large for a double stays as it is; infinity in words does not
+    is_float = number & (cell.rlike("[iI]") | (F.abs(F.trim(cell).try_cast("double")) < float("inf")))
     return F.when(whole.isNotNull(), as_int).when(is_float, perturbed_float(u).cast("string")).otherwise(cell)
 
 

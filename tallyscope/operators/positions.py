@@ -1,4 +1,4 @@
-"""Row numbers and running totals that never put a whole table or group into one task."""
+"""Row numbers, running totals and neighbours that never put a whole table or group into one task."""
 
 from __future__ import annotations
 
@@ -11,82 +11,68 @@ from tallyscope.session import pin
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def number_rows(
-    df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "row_no"
-) -> DataFrame:
-    """0-based row number within ``keys`` by ``order`` (must be unique within the keys).
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows range-partitioned and sorted once, with their partition ``_part`` and place ``_idx``.
 
-    The rows are range-partitioned and sorted once, then written to the checkpoint folder, so
-    each row's partition and index are stable facts.  Only one count per partition is summed up
-    in a window.  A group that fills many partitions is numbered by all of them in parallel.
-    """
+    They are written to the checkpoint folder, so both are stable facts.  A group that fills many
+    partitions stays in all of them."""
     by = [F.col(k) for k in keys] + list(order)
     pinned = pin(df.repartitionByRange(*by).sortWithinPartitions(*by))
     mono = F.monotonically_increasing_id()
-    placed = pinned.withColumns(
+    return pinned.withColumns(
         {"_part": F.shiftright(mono, _LOCAL_BITS), "_idx": mono.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))}
     )
-    # one row per partition
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_idx"))
-    numbered = numbered.drop("_part", "_idx", "_start")
-    if not keys:
-        return numbered
-    firsts = numbered.groupBy(*[F.col(k).alias(f"_first_{k}") for k in keys]).agg(
-        F.min(name).alias("_first")
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_first_{k}")) for k in keys]
-    return numbered.join(firsts, same).select(
-        *[c for c in numbered.columns if c != name], (F.col(name) - F.col("_first")).alias(name)
-    )
 
 
-def running_offset(
-    df: DataFrame, value: str, order: str, keys: Sequence[str] = (), name: str = "offset", block: int = 65536
-) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the group, for an integer ``order`` column whose
-    values are unique and nearly consecutive (row numbers, batch numbers).
-
-    Two levels: running sums inside blocks of ``block`` consecutive order values, and running
-    sums over the block totals.  No task sees more than one block or one list of block totals.
-    """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    inner = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-        .groupBy(*keys, "_block")
-        .agg(F.sum(value).alias("_total"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
-        .select(*keys, "_block", "_base")
-    )
-    local = blocked.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return (
-        local.join(totals, [*keys, "_block"])
-        .withColumn(name, F.col("_local") + F.col("_base"))
-        .drop("_block", "_local", "_base")
-    )
+def _with_heads(placed: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins what is known of each (partition, group) to its rows: no row is joined by its group alone."""
+    renamed = heads.withColumnsRenamed({k: f"_of_{k}" for k in ["_part", *keys]})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in ["_part", *keys]]
+    return placed.join(renamed, same).drop(*[f"_of_{k}" for k in ["_part", *keys]])
+
 
+def _earlier(keys: Sequence[str]):
+    """Window over the earlier partitions of a group: one row per partition and group."""
+    return W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
 
-def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows and their ``_rows``: fewer than rows / limit of them.
 
-    One pass, combined map-side."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") > limit)
+def number_rows(
+    df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "row_no"
+) -> DataFrame:
+    """0-based row number within ``keys`` by ``order`` (must be unique within the keys).
+
+    Only one count per partition and group is summed up in a window; null keys are a group."""
+    placed = _placed(df, keys, order)
+    heads = placed.groupBy("_part", *keys).agg(F.min("_idx").alias("_from"), F.count(F.lit(1)).alias("_size"))
+    heads = heads.withColumn("_start", F.coalesce(F.sum("_size").over(_earlier(keys)), F.lit(0)) - F.col("_from")).drop("_from", "_size")
+    return _with_heads(placed, heads, keys).withColumn(name, F.col("_start") + F.col("_idx")).drop("_part", "_idx", "_start")
 
 
-def number_dimension(
-    dim: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "row_no", small: int = 10_000
+def running_offset(
+    df: DataFrame, value: str, order: str, keys: Sequence[str] = (), name: str = "offset"
 ) -> DataFrame:
-    """``number_rows`` for a table that is usually small.
-
-    Its size is checked first: up to ``small`` rows a plain window numbers them, beyond that the
-    distributed way is taken.
-    """
-    if dim.limit(small + 1).count() > small:
-        return number_rows(dim, order, keys, name)
-    window = W.partitionBy(*keys).orderBy(*order)
-    return dim.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+    """Sum of ``value`` over the earlier rows of the group, by ``order`` (unique within the keys).
+
+    Running sums inside a partition, and sums over the earlier partitions' totals.  Null orders come
+    first, null keys are a group, and a null value counts as 0."""
+    placed = _placed(df, keys, [F.col(order)])
+    amount = F.coalesce(F.col(value), F.lit(0))
+    heads = placed.groupBy("_part", *keys).agg(F.sum(amount).alias("_total"))
+    heads = heads.withColumn("_base", F.coalesce(F.sum("_total").over(_earlier(keys)), F.lit(0))).drop("_total")
+    inner = W.partitionBy("_part", *keys).orderBy("_idx").rowsBetween(W.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
+    return _with_heads(local, heads, keys).withColumn(name, F.col("_local") + F.col("_base")).drop("_part", "_idx", "_local", "_base")
+
+
+def following(df: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str], name: str) -> DataFrame:
+    """``name``: a struct of ``fields`` of the next row with the same ``key`` by ``order``, or null.
+
+    The next row is looked up inside the partition; only for its last row it is the first row of the
+    next one.  Rows with a null key have no next row."""
+    placed = _placed(df, [key], order).withColumn("_own", F.struct(F.col(key).alias("key"), F.struct(*fields).alias("fields")))
+    inner = W.partitionBy("_part").orderBy("_idx")
+    firsts = placed.filter("_idx = 0").select("_part", "_own")  # one row per partition
+    after = firsts.select("_part", F.lead("_own").over(W.orderBy("_part")).alias("_after"))
+    joined = placed.withColumn("_next", F.lead("_own").over(inner)).join(after, "_part", "left")
+    found = F.coalesce("_next", "_after")
+    return joined.withColumn(name, F.when(found["key"] == F.col(key), found["fields"])).drop("_part", "_idx", "_own", "_next", "_after")

@@ -23,8 +23,13 @@ def enrich_decisions(tables: Tables, null_safe: bool = False) -> DataFrame:
     on the appointment and screening-episode joins.
     """
 
+    # rows without a key match nothing, so each gets a key of its own: they spread over all tasks
+    nothing = F.concat(F.lit("\0"), F.xxhash64("read_decision_id", "read_episode_id", "reader_id").cast("string"))
+
     def same(left: str, right: str):
-        return F.col(left).eqNullSafe(F.col(right)) if null_safe else F.col(left) == F.col(right)
+        if null_safe:
+            return F.col(left).eqNullSafe(F.col(right))
+        return F.coalesce(F.col(left).cast("string"), nothing) == F.col(right).cast("string")
 
     image = tables["Image"].select("read_episode_id", "appointment_id", "participant_id")
     appointment = tables["Appointment"].select(

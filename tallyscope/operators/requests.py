@@ -25,6 +25,7 @@ INVALID_LEVEL = "Invalid geographic level: %s"
 NO_AREAS = "No areas found for geographic level: %s"
 NOT_FOUND = "Dataset %s not found at %s level (404)"
 HTTP_ERROR = "HTTP error %s checking dataset %s at %s level"
+REQUEST_ERROR = "Error requesting dataset: %s"
 NO_OBSERVATIONS = "Dataset %s doesn't contain observations at %s level"
 NOT_AVAILABLE = "Dataset not available at this level"
 HINT_LEVELS = "This dataset may not be available at the requested geographic levels."
@@ -64,24 +65,26 @@ def request_url(base: str, dataset_id: Column, param: Column) -> Column:
 
 
 def filter_payload(
-    dataset_id: Column, level: Column, codes: Column, extra: Column, population: Column | None = None
+    dataset_id: Column, level: Column, codes: Column, extra: Column, population: Column | None = None,
+    edition: str = EDITION, version: int = VERSION,
 ) -> Column:
     """JSON body of a filter request.
 
-    The geographic dimension is there when a level and codes are; ``extra`` is an array of names.
+    The geographic dimension is there when a level and codes are; ``extra`` is an array of names, or
+    of whole dimension objects as JSON text.
     """
     head = F.struct(
-        dataset_id.alias("id"), F.lit(EDITION).alias("edition"), F.lit(VERSION).alias("version")
+        dataset_id.alias("id"), F.lit(edition).alias("edition"), F.lit(version).alias("version")
     )
     area = F.to_json(F.struct(level.alias("name"), F.lit(True).alias("is_area_type"), codes.alias("options")))
     has_area = (F.coalesce(level, F.lit("")) != "") & (F.coalesce(F.size(codes), F.lit(0)) > 0)
-    names = F.transform(F.coalesce(extra, F.array().cast("array<string>")), lambda n: F.to_json(F.struct(n.alias("name"))))
+    names = F.transform(F.coalesce(extra, F.array().cast("array<string>")), lambda n: F.when(n.startswith("{"), n).otherwise(F.to_json(F.struct(n.alias("name")))))
     dims = F.concat_ws(",", F.when(has_area, area), names)
-    population = F.lit(POPULATION) if population is None else population
+    population = F.lit(POPULATION) if population is None else F.coalesce(population, F.lit(POPULATION))
+    kind = F.to_json(F.struct(population.alias("population_type")))
     return F.concat(
-        F.lit('{"dataset":'), F.to_json(head),
-        F.lit(',"population_type":"'), population,
-        F.lit('","dimensions":['), dims, F.lit("]}"),
+        F.lit('{"dataset":'), F.to_json(head), F.lit(","), F.substring(kind, F.lit(2), F.length(kind) - 2),
+        F.lit(',"dimensions":['), dims, F.lit("]}"),
     )
 
 
@@ -116,13 +119,16 @@ def route(level: Column, use_filter: Column) -> Column:
 def availability(responses: DataFrame) -> DataFrame:
     """``is_available`` and the message otherwise, from (n_areas, status, n_observations).
 
-    ``status`` is the HTTP status of the test request.
+    ``status`` is the HTTP status of the test request; a request that failed without one has its
+    failure in a column ``failure``, where there is such a column.
     """
     dataset, level, status = F.col("dataset_id"), F.col("geo_level"), F.col("status")
+    failure = F.col("failure") if "failure" in responses.columns else F.lit(None).cast("string")
     message = (
         F.when(F.coalesce("n_areas", F.lit(0)) == 0, F.format_string(NO_AREAS, level))
         .when(status == 404, F.format_string(NOT_FOUND, dataset, level))
         .when(status >= 400, F.format_string(HTTP_ERROR, status.cast("string"), dataset, level))
+        .when(status.isNull() & failure.isNotNull(), F.format_string(REQUEST_ERROR, failure))
         .when(F.coalesce("n_observations", F.lit(0)) == 0, F.format_string(NO_OBSERVATIONS, dataset, level))
     )
     return responses.withColumn("error_message", message).withColumn("is_available", message.isNull())
@@ -178,8 +184,6 @@ def combine_filter_batches(batches: Mapping[int, DataFrame]) -> DataFrame:
 
 
 def read_filter_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """The batch CSVs of one data set and level (same header), all text, with ``file_name``.
-
-    One scan over the folder however many batches there are.
-    """
-    return text_csv(spark, folder).withColumn("file_name", F.col("_metadata.file_name"))
+    """The batch CSVs of one data set and level, all text, with ``file_name``: columns are matched by
+    name, in one scan for each header that occurs."""
+    return text_csv(spark, folder, with_file=True)

@@ -4,83 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.functions.rules import add_months, tolerant_timestamp
-from tallyscope.operators.positions import hot_keys, number_rows
+from tallyscope.operators.positions import following
 from tallyscope.sources.sinks import by_folder
 
 # Days for uptake and for round length.
 UPTAKE_DAYS = 183
 ROUND_DAYS = 3 * 365
 
-# Rows of one person that a single task may sort.
-PERSON_LIMIT = 1_000_000
-
 
 def _within(later: Column, earlier: Column, days: int) -> Column:
     return later <= earlier + F.make_dt_interval(days=F.lit(days))
 
 
-def add_uptake_columns(df: DataFrame) -> DataFrame:
-    """Flag attendance within 183 days of the first offered appointment; null without an offer."""
+def add_uptake_columns(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+    """Flag attendance within 183 days of the first offered appointment; null without an offer.
+
+    Texts that are no ISO dates are tried with ``formats`` (such as ``dd/MM/yyyy``) in turn."""
     types = dict(df.dtypes)
     parsed = df.withColumns(
-        {name: tolerant_timestamp(name, types[name]) for name in ("date_of_as", "date_of_foa")}
+        {name: tolerant_timestamp(name, types[name], formats) for name in ("date_of_as", "date_of_foa")}
     )
     attended = F.coalesce(_within(F.col("date_of_as"), F.col("date_of_foa"), UPTAKE_DAYS), F.lit(False))
     return parsed.withColumn("uptake_six_mth_threshold", F.when(F.col("date_of_foa").isNotNull(), attended))
 
 
-def _lead_by_window(df: DataFrame, order: list[Column]) -> DataFrame:
-    per_person = W.partitionBy("nhs_number").orderBy(*order)
-    return df.withColumn("_prior", F.lead(F.struct("date_of_as", "date_of_foa")).over(per_person))
-
-
-def _lead_by_position(df: DataFrame, order: list[Column]) -> DataFrame:
-    """The same by row numbers from a distributed sort: each row meets the one numbered next."""
-    numbered = number_rows(df, order, ["nhs_number"], "_no")
-    older = numbered.select(
-        F.col("nhs_number").alias("_person"),
-        (F.col("_no") - 1).alias("_before"),
-        F.struct("date_of_as", "date_of_foa").alias("_prior"),
-    )
-    same = (F.col("nhs_number") == F.col("_person")) & (F.col("_no") == F.col("_before"))
-    return numbered.join(older, same, "left").drop("_no", "_person", "_before")
-
-
-def _lead_in_person(df: DataFrame, tie_break: str, limit: int) -> DataFrame:
-    """``_prior``: the next older row's dates within the person.
-
-    A window does it for everyone with at most ``limit`` rows.  Whether anybody has more is checked
-    first, by a map-side combined count; only those people take the way without a window.
-    """
-    order = [F.col("date_of_foa").desc_nulls_last(), F.col(tie_break).desc()]
-    busy = hot_keys(df, "nhs_number", limit).select("nhs_number")
-    if busy.isEmpty():
-        return _lead_by_window(df, order)
-    # safe to broadcast: each has more than ``limit`` rows, so there are fewer than rows / limit
-    busy = F.broadcast(busy)
-    ordinary = _lead_by_window(df.join(busy, "nhs_number", "left_anti"), order)
-    return ordinary.unionByName(_lead_by_position(df.join(busy, "nhs_number", "left_semi"), order))
-
-
-def add_round_length_columns(
-    df: DataFrame, tie_break: str = "episode_id", person_limit: int = PERSON_LIMIT
-) -> DataFrame:
+def add_round_length_columns(df: DataFrame, tie_break: str = "episode_id") -> DataFrame:
     """Previous episode of the same person and whether the new offer came within 1095 days of it.
 
     Rows are taken latest offer first, ties by ``tie_break`` descending.  Needs parsed dates (see
-    ``add_uptake_columns``).  Rows without a person have no previous episode.
+    ``add_uptake_columns``).  Rows without a person have no previous episode.  One sort spreads all
+    rows over the partitions by person and offer, so a person may have any number of rows.
     """
-    known = F.col("nhs_number").isNotNull()
-    led = _lead_in_person(df.filter(known), tie_break, person_limit)
-    types = dict(df.dtypes)
-    unknown = df.filter(~known).withColumn(
-        "_prior",
-        F.lit(None).cast(f"struct<date_of_as:{types['date_of_as']},date_of_foa:{types['date_of_foa']}>"),
-    )
-    prior = led.unionByName(unknown)
+    order = [F.col("date_of_foa").desc_nulls_last(), F.col(tie_break).desc()]
+    prior = following(df, "nhs_number", order, ["date_of_as", "date_of_foa"], "_prior")
     out = (
         prior.withColumn("prior_date_of_as", F.col("_prior.date_of_as"))
         .withColumn("prior_date_of_foa", F.col("_prior.date_of_foa"))
@@ -93,8 +52,15 @@ def add_round_length_columns(
     )
 
 
-def enrich(df: DataFrame, tie_break: str = "episode_id") -> DataFrame:
-    return add_round_length_columns(add_uptake_columns(df), tie_break)
+def unparsed_dates(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+    """How many texts of each date column are not null and cannot be parsed: one row."""
+    types = dict(df.dtypes)
+    lost = {name: F.col(name).isNotNull() & tolerant_timestamp(name, types[name], formats).isNull() for name in ("date_of_as", "date_of_foa")}
+    return df.agg(*[F.count_if(flag).alias(f"{name}_unparsed") for name, flag in lost.items()])
+
+
+def enrich(df: DataFrame, tie_break: str = "episode_id", formats: Sequence[str] = ()) -> DataFrame:
+    return add_round_length_columns(add_uptake_columns(df, formats), tie_break)
 
 
 def _share_true(

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyscope.functions.draws import bernoulli, choose, uniform_date, uniform_int, unit
 from tallyscope.functions.rules import add_months
-from tallyscope.operators.positions import number_dimension, running_offset
+from tallyscope.operators.positions import number_rows, running_offset
 
 # Fixed values of the generator.
-EPISODES_PER_PERSON = ((1, 0.2), (2, 0.3), (3, 0.5))
 FIRST_OFFER, LAST_OFFER = "2024-04-01", "2025-03-31"
 OFFER_GAPS = ((35, 0.9), (37, 0.1))
 END_POINT = "S-,W+,H-"
@@ -23,6 +22,9 @@ AUTHORISERS = ("GP", "SCREENING_OFFICE")
 RADIOTHERAPY_REASONS = ("RADIOTHERAPY_BELOW_30", "RADIOTHERAPY_LOWER", "RADIOTHERAPY_UPPER")
 GENE_REASONS = ("BRCA_RISK", "BRCA_TESTED", "HR_GENE_UNTESTED", "OTHER_GENE_MUTATIONS")
 
+# Entries of a code list, at most.
+MOST_CODES = 100_000
+
 EPISODE, PERSON = "episode_id", "nhs_number"
 
 
@@ -49,7 +51,7 @@ def assign_from(
     """
     columns = [c for c in dim.columns if c != match]
     keys = [match] if match else []
-    numbered = number_dimension(dim, [F.col(c) for c in columns], keys, "_number")
+    numbered = number_rows(dim, [F.col(c) for c in columns], keys, "_number")
     numbered = numbered.select(*[F.col(k).alias("_group") for k in keys], "_number", *columns)
     if match:
         sizes = dim.groupBy(F.col(match).alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
@@ -63,34 +65,29 @@ def assign_from(
     return drawn.join(numbered, same, "left").drop("_size", "_draw", "_number", "_group")
 
 
+def drawn_code(codes: DataFrame, key: Column, name: str, seed) -> Column:
+    """One value of a single-column code list, drawn evenly by the key: a projection without a join.
+
+    The list is one sorted array, as code lists have at most ``MOST_CODES`` entries; a longer one is an
+    error.  Repeated codes are drawn as often as they occur, nulls are no codes, and an empty list gives null."""
+    listed = codes.agg(F.sort_array(F.collect_list(codes.columns[0])).alias("codes"))
+    too_long = F.raise_error(F.lit(f"more than {MOST_CODES} codes")).cast("array<string>")
+    listed = listed.select(F.when(F.size("codes") > MOST_CODES, too_long).otherwise(F.col("codes")).alias("codes")).scalar()
+    return F.get(listed, F.floor(unit(key, name, seed) * F.size(listed)).cast("int"))
+
+
 def _code_from(df, mapping, name, seed, when: Column, otherwise: Column | None, skip: str | None = None, key=EPISODE):
     """Column ``name``: a drawn code of the mapping where ``when`` holds, else ``otherwise``."""
-    codes = mapping.select(F.col("code").alias("_code"))
+    codes = mapping.select("code")
     if skip is not None:
-        codes = codes.filter(F.col("_code") != skip)
-    drawn = assign_from(df, codes, F.col(key), f"{name}_code", seed)
+        codes = codes.filter(F.col("code") != skip)
     other = F.lit(None).cast("string") if otherwise is None else otherwise
-    return drawn.withColumn(name, F.when(when, F.col("_code")).otherwise(other)).drop("_code")
+    return df.withColumn(name, F.when(when, drawn_code(codes, F.col(key), f"{name}_code", seed)).otherwise(other))
 
 
 # --- episodes --------------------------------------------------------------------------------
 
 
-def episode_ids(
-    spark: SparkSession, n: int, seed, first_episode: int = 100000, first_person: int = 9000000000
-) -> DataFrame:
-    """Exactly ``n`` episodes, 1 to 3 per person, both ids sequential."""
-    values, weights = zip(*EPISODES_PER_PERSON)
-    persons = spark.range(n).select(
-        F.col("id").alias("person_no"),
-        choose(F.col("id"), "episodes", values, seed, weights).cast("bigint").alias("episodes"),
-    )
-    rows = explode_by(persons, "episodes", "person_no", n)
-    return rows.select(
-        (F.col("person_no") + first_person).alias(PERSON), (F.col("position") + first_episode).alias(EPISODE)
-    )
-
-
 def appointment_made(df: DataFrame, seed, p: float = 0.95) -> DataFrame:
     return df.withColumn("appointment_made", bernoulli(F.col(EPISODE), "appointment_made", p, seed))
 
@@ -176,7 +173,8 @@ def end_code_last_updated(df: DataFrame) -> DataFrame:
 
 def bso_organisation_code(df: DataFrame, organisations: DataFrame, seed) -> DataFrame:
     """One organisation per person."""
-    return assign_from(df, organisations.select("bso_organisation_code"), F.col(PERSON), "bso", seed)
+    codes = organisations.select("bso_organisation_code")
+    return df.withColumn("bso_organisation_code", drawn_code(codes, F.col(PERSON), "bso", seed))
 
 
 def bso_batch_id(df: DataFrame, seed) -> DataFrame:
@@ -309,10 +307,6 @@ def complete_episodes(ids: DataFrame, mappings: Mapping[str, DataFrame], seed) -
     return final_action_code(end_point(reason_closed_code(df)), mappings["FinalActionCode"], seed)
 
 
-def gen_episodes(spark: SparkSession, mappings: Mapping[str, DataFrame], num_records: int = 100000, seed=0) -> DataFrame:
-    return complete_episodes(episode_ids(spark, num_records, seed), mappings, seed)
-
-
 def gen_subjects(
     episodes: DataFrame, mappings: Mapping[str, DataFrame], seed=0, postcode_order: Sequence[str] = ("gp_practice_postcode",)
 ) -> DataFrame:

@@ -26,11 +26,6 @@ def events(spark, folder):
     return _as_events(parquet_table(spark, folder, "events"))
 
 
-def _generated(spark, folder):
-    ids = parquet_table(spark, folder, "events").select(F.col("event_id").alias("id"))
-    return ev.unnest_payload(ev.events_for(ids, 5)).drop("timestamp")
-
-
 def _round_trip(spark, folder):
     path = fresh_path(spark, "events")
     write_jsonl(events(spark, folder), path)
@@ -72,7 +67,6 @@ def _compacted(spark, folder):
 
 QUERIES = {
     "event_table": lambda s, d: events(s, d).select("id", "name", "timestamp", F.to_json("payload").alias("payload")),
-    "event_generated_payloads": _generated,
     "event_unnested": lambda s, d: ev.unnest_payload(events(s, d)),
     "event_json_lines": _round_trip,
     "event_landed": _landed,
@@ -86,8 +80,6 @@ _UNNESTED = """SELECT event_id AS id, event_type AS name, strftime(ts, '%Y-%m-%d
 ORACLE = {
     "event_table": """SELECT event_id AS id, event_type AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
       '[{"k":"' || json_extract_string(props, '$.k') || '"}]' AS payload FROM events""",
-    "event_generated_payloads": """SELECT event_id AS id, 'foo' AS name, j AS pair_no, 'key_' || j AS key, 'value_' || j AS value
-      FROM events CROSS JOIN range(5) AS r(j)""",
     "event_unnested": _UNNESTED,
     "event_json_lines": _UNNESTED,
     "event_landed": _UNNESTED,

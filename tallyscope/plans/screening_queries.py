@@ -9,6 +9,7 @@ from tallyscope.session import fresh_path
 from tallyscope.sources.tables import parquet_table
 
 END = "2001-03-31"
+FORMATS = ["dd/MM/yyyy", "dd-MMM-yyyy"]
 
 
 def episodes(spark, folder):
@@ -21,8 +22,11 @@ def episodes(spark, folder):
         .select(
             F.col("o_custkey").alias("nhs_number"),
             F.col("o_orderkey").alias("episode_id"),
-            F.when(F.col("o_orderpriority") != "5-LOW", F.date_format("o_orderdate", "yyyy-MM-dd"))
-            .otherwise("not offered")
+            # dates as different sites write them
+            F.when(F.col("o_orderpriority") == "5-LOW", "not offered")
+            .when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd/MM/yyyy"))
+            .when(F.col("o_orderkey") % 3 == 2, F.date_format("o_orderdate", "dd-MMM-yyyy"))
+            .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
             .alias("date_of_foa"),
             F.when(
                 F.col("o_orderstatus") != "F",
@@ -35,7 +39,7 @@ def episodes(spark, folder):
 
 
 def _enriched(spark, folder):
-    return screening.enrich(episodes(spark, folder))
+    return screening.enrich(episodes(spark, folder), formats=FORMATS)
 
 
 def _from_written(spark, folder):
@@ -46,18 +50,19 @@ def _from_written(spark, folder):
 
 
 QUERIES = {
-    "screening_uptake_flag": lambda s, d: screening.add_uptake_columns(episodes(s, d)),
+    "screening_uptake_flag": lambda s, d: screening.add_uptake_columns(episodes(s, d), FORMATS),
     "screening_round_length_flag": _enriched,
-    "screening_uptake": lambda s, d: screening.calculate_uptake(screening.add_uptake_columns(episodes(s, d)), "bso_organisation_code", END),
+    "screening_uptake": lambda s, d: screening.calculate_uptake(screening.add_uptake_columns(episodes(s, d), FORMATS), "bso_organisation_code", END),
     "screening_round_length": lambda s, d: screening.calculate_round_length(_enriched(s, d), "bso_organisation_code", END),
     "screening_uptake_by_bso_and_gp": lambda s, d: screening.calculate_uptake(
-        screening.add_uptake_columns(episodes(s, d)), ["bso_organisation_code", "gp_practice_code"], END, "1997-01-01"
+        screening.add_uptake_columns(episodes(s, d), FORMATS), ["bso_organisation_code", "gp_practice_code"], END, "1997-01-01"
     ),
     "screening_round_length_by_bso_and_gp": lambda s, d: screening.calculate_round_length(
         _enriched(s, d), ["bso_organisation_code", "gp_practice_code"], END, "1997-01-01"
     ),
     "screening_metric_audit": lambda s, d: screening.metric_audit(_enriched(s, d)),
     "screening_uptake_from_written_years": _from_written,
+    "screening_unparsed_dates": lambda s, d: screening.unparsed_dates(episodes(s, d), FORMATS),
 }
 
 _BASE = """WITH episodes AS (SELECT o_custkey AS nhs_number, o_orderkey AS episode_id,
@@ -93,4 +98,6 @@ ORACLE = {
     "screening_metric_audit": _BASE + """SELECT nhs_number, date_of_foa, date_of_as, prior_date_of_foa, prior_date_of_as,
       uptake_six_mth_threshold, round_length_three_yr_threshold FROM enriched""",
     "screening_uptake_from_written_years": _share(*_UPTAKE, "bso_organisation_code", _YEAR),
+    "screening_unparsed_dates": """SELECT 0::bigint AS date_of_as_unparsed, count(*) FILTER (o_orderpriority = '5-LOW') AS date_of_foa_unparsed
+      FROM orders JOIN customer ON o_custkey = c_custkey""",
 }

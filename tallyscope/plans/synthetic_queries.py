@@ -11,7 +11,7 @@ from tallyscope.functions.draws import bernoulli, choose, uniform_date, uniform_
 from tallyscope.functions.rules import add_months
 from tallyscope.operators import synthetic as syn
 from tallyscope.plans.table_queries import draw
-from tallyscope.sources.tables import LazyTables, check_header, parquet_table, spread
+from tallyscope.sources.tables import LazyTables, check_header, parquet_table
 
 SEED = 5
 
@@ -21,7 +21,7 @@ REASONS = [*syn.RADIOTHERAPY_REASONS, *syn.GENE_REASONS]
 
 def ids(spark, folder):
     orders = parquet_table(spark, folder, "orders")
-    return spread(orders.select(F.col("o_custkey").alias("nhs_number"), F.col("o_orderkey").alias("episode_id")))
+    return orders.select(F.col("o_custkey").alias("nhs_number"), F.col("o_orderkey").alias("episode_id"))
 
 
 def mappings(spark, folder):
@@ -66,10 +66,6 @@ def subjects(spark, folder):
     return syn.gen_subjects(episodes(spark, folder), mappings(spark, folder), SEED, ["row_no"])
 
 
-def _generated_ids(spark, folder):
-    return syn.episode_ids(spark, parquet_table(spark, folder, "orders").count(), SEED)
-
-
 def _offers(spark, folder):
     made = syn.appointment_made(ids(spark, folder), SEED)
     return syn.date_of_foa(made, SEED)
@@ -154,11 +150,6 @@ SUBJECT_COLUMNS = """nhs_number change_db_date_time bso_organisation_code early_
  is_higher_risk_active gene_code subject_postcode""".split()
 
 
-def _generated_table(spark, folder):
-    n = parquet_table(spark, folder, "orders").count()
-    return check_header(syn.gen_episodes(spark, mappings(spark, folder), n, SEED), EPISODE_COLUMNS)
-
-
 def _combined(spark, folder):
     made = episodes(spark, folder)
     return syn.combine(syn.gen_subjects(made, mappings(spark, folder), SEED, ["row_no"]), made)
@@ -173,7 +164,7 @@ def _exploded(spark, folder):
 
 def _draws(spark, folder):
     """Every kind of draw on the orders, keyed by order."""
-    orders, key = spread(parquet_table(spark, folder, "orders").select("o_orderkey", "o_orderdate")), F.col("o_orderkey")
+    orders, key = parquet_table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderkey")
     return orders.select(
         "o_orderkey",
         unit(key, "u", 1).alias("u"),
@@ -198,10 +189,8 @@ def _assigned(spark, folder):
 QUERIES = {
     "synthetic_draws": _draws,
     "synthetic_assignment": _assigned,
-    "synthetic_episode_ids": _generated_ids,
     **{name: _rule(*rule) for name, rule in _RULES.items()},
     "synthetic_subject_base": lambda s, d: syn.subject_base(syn.bso_organisation_code(_changed(s, d), mappings(s, d)["bso_organisations"], SEED)),
-    "synthetic_generated_episodes": _generated_table,
     "synthetic_episodes": lambda s, d: check_header(episodes(s, d), EPISODE_COLUMNS),
     "synthetic_subjects": lambda s, d: check_header(subjects(s, d), SUBJECT_COLUMNS),
     "synthetic_combined": _combined,
@@ -243,13 +232,6 @@ gp_sizes AS (SELECT bso, count(*) AS size FROM gps GROUP BY 1),
 practice_postcodes AS (SELECT gp, min_by(postcode, row_no) AS postcode FROM gps GROUP BY 1)"""
 
 _REAL_IDS = "SELECT o_custkey AS nhs_number, o_orderkey AS episode_id FROM orders"
-_MADE_IDS = f"""SELECT person_no + 9000000000 AS nhs_number, 100000 + before + i AS episode_id FROM (
-  SELECT person_no, before, unnest(range(k)) AS i FROM (
-    SELECT person_no, k, coalesce(sum(k) OVER (ORDER BY person_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM (
-      SELECT p AS person_no, CASE WHEN {draw('p', 'episodes', SEED)} < 0.2 THEN 1 WHEN {draw('p', 'episodes', SEED)} < 0.5 THEN 2 ELSE 3 END AS k
-      FROM range((SELECT count(*) FROM orders)) AS r(p))))
-  WHERE before + i < (SELECT count(*) FROM orders)"""
-
 
 def _chain(id_query: str) -> str:
     return f"""WITH {_MAPS},
@@ -300,7 +282,7 @@ everything AS (SELECT r.*, CASE WHEN higher_risk_referral_reason_code IN {syn.RA
 """
 
 
-_REAL, _MADE = _chain(_REAL_IDS), _chain(_MADE_IDS)
+_REAL = _chain(_REAL_IDS)
 _BASE_COLUMNS = """nhs_number, change_db_date_time, bso_organisation_code, early_recall_date, date_of_as, date_of_foa, episode_date,
   episode_id, superseded_nhs_number, removal_reason, removal_date, subject_status_code, ntdd_calculation_method"""
 _COMBINED = [c for c in SUBJECT_COLUMNS if c != "change_db_date_time"] + [
@@ -323,10 +305,8 @@ ORACLE = {
       SELECT o_orderkey, s_suppkey, o.nation, c_custkey FROM (SELECT o_orderkey, s.* FROM orders
         LEFT JOIN s ON s.no = floor({_one('supplier')} * (SELECT count(*) FROM supplier))::bigint) o
       LEFT JOIN c ON c.nation = o.nation AND c.no = floor({_one('customer')} * c.size)::bigint""",
-    "synthetic_episode_ids": _MADE_IDS,
     **{name: _REAL + f"SELECT episode_id, {', '.join(columns)} FROM everything" for name, (columns, _) in _RULES.items()},
     "synthetic_subject_base": _REAL + f"SELECT {_BASE_COLUMNS} FROM everything",
-    "synthetic_generated_episodes": _MADE + f"SELECT {', '.join(EPISODE_COLUMNS)} FROM episodes",
     "synthetic_episodes": _REAL + f"SELECT {', '.join(EPISODE_COLUMNS)} FROM episodes",
     "synthetic_subjects": _REAL + f"SELECT {', '.join(SUBJECT_COLUMNS)} FROM everything",
     "synthetic_combined": _REAL + f"""SELECT {', '.join(_COMBINED)}, change_db_date_time AS s_change_db_date_time,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     A temporary folder stands in only when the setting is absent and the master is local;
-    on a cluster an executor could not read it, so that case is an error.
+    on a cluster an executor could not read it, so that case is an error.  It goes when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -44,7 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     global _local_folder
-    _local_folder = _local_folder or tempfile.mkdtemp(prefix="tallyscope-")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="tallyscope-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 

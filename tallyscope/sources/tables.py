@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
-_known_schemas: dict[str, T.StructType] = {}
-
-
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A supplied table.  The footer is read for the schema once per path, not once per query."""
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    if path not in _known_schemas:
-        _known_schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_known_schemas[path]).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy on CPU: rows over all cores when the scan has fewer splits than cores.
-
-    A table of more splits than cores, so any large one, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    """A supplied table."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 class LazyTables(Mapping):
@@ -90,20 +78,75 @@ READING_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a CSV file from its first record, read in the driver without a job.
+
+    A name may hold line breaks inside quotes: lines are added until the quotes are balanced."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        text = reader.readLine()
+        while text is not None and text.count('"') % 2 and (more := reader.readLine()) is not None:
+            text += "\n" + more
+    finally:
+        stream.close()
+    return tuple(next(csv.reader(io.StringIO(text.removeprefix("\ufeff"))))) if text else ()
+
+
+def _data_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The files below a path (or paths) that Spark would read, sorted."""
+    paths = [path] if isinstance(path, str) else list(path)
+    found = []
+    for top in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(top)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            file = files.next().getPath()
+            if not file.getName().startswith(("_", ".")):
+                found.append(file.toString())
+    return sorted(found)
+
+
+def _by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their column names in order; empty files are left out."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in _data_files(spark, path):
+        if header := csv_header(spark, file):
+            groups.setdefault(header, []).append(file)
+    return groups
+
+
+def _reader(spark: SparkSession, null_value: str | None, multi_line: bool, base: str | None):
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
+    return reader.option("basePath", base) if base else reader
+
+
+def _base(path: str | Sequence[str]) -> str | None:
+    """Folder from which ``name=value`` folders become columns, when a single folder is read."""
+    return path if isinstance(path, str) and not path.lower().endswith(".csv") else None
+
+
 def csv_table(
-    spark: SparkSession, path: str, schema: T.StructType, null_value: str | None = None
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, null_value: str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """CSV with a header, read by declared column names so that column order may differ."""
-    header = spark.read.option("header", True).csv(path).columns
+    """CSV with headers, read by declared column names: files of one folder may order columns differently.
+
+    With ``multi_line`` cells may hold line breaks, and a file is then read by one task."""
     declared = {field.name: field.dataType for field in schema}
-    missing = [name for name in declared if name not in header]
-    if missing:
-        raise ValueError(f"{path}: missing columns {missing}")
-    as_read = T.StructType([T.StructField(name, declared.get(name, _TEXT)) for name in header])
-    reader = spark.read.option("header", True).option("escape", '"')
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    return reader.schema(as_read).csv(path).select(*declared)
+    parts = []
+    for header, files in _by_header(spark, path).items():
+        missing = [name for name in declared if name not in header]
+        if missing:
+            raise ValueError(f"{files[0]}: missing columns {missing}")
+        as_read = T.StructType([T.StructField(name, declared.get(name, _TEXT)) for name in header])
+        parts.append(_reader(spark, null_value, multi_line, None).schema(as_read).csv(files).select(*declared))
+    if not parts:
+        raise ValueError(f"no CSV with a header at {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -129,12 +172,27 @@ def reading_tables(
     return LazyTables({stem: builder(path, stem) for stem, path in stems.items()})
 
 
-def text_csv(spark: SparkSession, path: str | Sequence[str], null_value: str | None = None) -> DataFrame:
-    """CSV with every column as text, as written in the file ('007' and '1' stay as they are)."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    return reader.csv(path)
+def text_csv(
+    spark: SparkSession, path: str | Sequence[str], null_value: str | None = None, multi_line: bool = False, with_file: bool = False
+) -> DataFrame:
+    """CSV with every column as text, as written in the file ('007' and '1' stay as they are).
+
+    Files are matched by column name: those with the same header are read together, and a column that
+    a file lacks is null in its rows.  ``multi_line`` allows line breaks inside quoted cells (a file is
+    then read by one task); ``with_file`` adds the decoded name of each row's file as ``file_name``."""
+    parts = []
+    for header, files in _by_header(spark, path).items():
+        schema = T.StructType([T.StructField(name, _TEXT) for name in header])
+        part = _reader(spark, null_value, multi_line, _base(path)).schema(schema).csv(files)
+        parts.append(part.withColumn("file_name", decoded_name()) if with_file else part)
+    if not parts:
+        raise ValueError(f"no CSV with a header at {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def decoded_name() -> Column:
+    """Name of the file a row was read from, as it is on disk."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
 def json_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -14,17 +14,19 @@ from tallyscope.sources.sinks import size_in_mb
 MAX_MESSAGES = 1000
 DATASET_PREFIX = "raw-nsp-events"
 DATASET_TIME = "yyyy-MM-dd--HH-mm-ss"
+NO_TIME = "0000-00-00--00-00-00"
 
 
-def dataset_name(moment: Column, identity: Column) -> Column:
-    """``raw-nsp-events--<time>--<uuid>`` with the uuid made from ``identity``.
+def dataset_name(moment: Column, identity: Column, prefix: str = DATASET_PREFIX) -> Column:
+    """``<prefix>--<time>--<uuid>`` with the uuid made from ``identity``; zeros without a time.
 
     Both come from the data, so landing the same batch again gives the same names.
     """
     digest = F.md5(identity)
     parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     uuid = F.concat_ws("-", *[F.substring(digest, at, size) for at, size in parts])
-    return F.concat_ws("--", F.lit(DATASET_PREFIX), F.date_format(moment, DATASET_TIME), uuid)
+    stamp = F.coalesce(F.date_format(moment, DATASET_TIME), F.lit(NO_TIME))
+    return F.concat_ws("--", F.lit(prefix), stamp, uuid)
 
 
 def in_datasets(batch: DataFrame, batch_id: int, max_messages: int = MAX_MESSAGES) -> DataFrame:

@@ -29,43 +29,52 @@ def test_topic_cube(spark):
         spark,
         ("TS030", "ctry", 1, {
             "dimensions": [
-                {"name": "geography", "options": [{"id": "E92000001", "name": "England"}]},
-                {"name": "religion_tb", "options": [{"id": "1", "name": "No religion"}, {"id": "2", "name": "Christian"}]},
+                {"name": "place", "options": [{"id": "P7", "name": "Northshire"}]},
+                {"name": "heating", "options": [{"id": "g", "name": "Gas"}, {"id": "w", "name": "Wood"}]},
             ],
-            "observations": ["20715664", "26167900"],
+            "observations": ["31", "8"],
         }),
     )
     flat = census.flatten(df)
-    assert census.cell_names(flat) == ["geography", "religion_tb"]
-    assert census.wide(flat, ["geography", "religion_tb"]).columns[3:] == [
-        "geography", "geography_code", "religion_tb", "religion_tb_code", "observation",
-    ]
-    assert tidy(flat, ["geography", "religion_tb"]) == [
-        ("England", "E92000001", "No religion", "1", "20715664"),
-        ("England", "E92000001", "Christian", "2", "26167900"),
-    ]
+    assert census.cell_names(flat) == ["heating", "place"]
+    assert census.wide(flat, ["place", "heating"]).columns[3:] == ["place", "place_code", "heating", "heating_code", "observation"]
+    assert tidy(flat, ["place", "heating"]) == [("Northshire", "P7", "Gas", "g", "31"), ("Northshire", "P7", "Wood", "w", "8")]
 
 
 def test_matrix_cube_runs_the_last_dimension_fastest(spark):
     def dim(name, *options):
         return {"dimension_name": name, "options": [{"id": i, "label": label} for i, label in options]}
 
+    dims = [dim("place", ("P7", "Northshire")), dim("rooms", ("1", "one"), ("2", "two or more")), dim("let", ("y", "yes"), ("n", "no"), ("u", "unknown"))]
+    df = responses(spark, ("RM001", "ctry", 1, {"dimensions": dims, "observations": [10, 11, 12, 20, 21, 22]}))
+    rows = tidy(census.flatten(df), ["place", "rooms", "let"])
+    assert [(r[2], r[4], r[6]) for r in rows] == [
+        ("one", "yes", "10"), ("one", "no", "11"), ("one", "unknown", "12"),
+        ("two or more", "yes", "20"), ("two or more", "no", "21"), ("two or more", "unknown", "22"),
+    ]
+
+
+def test_null_levels_and_batches_are_kept(spark):
+    dims = [{"name": "g", "options": ["x"]}, {"name": "c", "options": ["p", "q", "r"]}]
     df = responses(
         spark,
-        ("RM001", "ctry", 1, {
-            "dimensions": [
-                dim("geography", ("E92000001", "England")),
-                dim("age", ("1", "0-15"), ("2", "16-64")),
-                dim("sex", ("1", "Male"), ("2", "Female")),
-            ],
-            "observations": [5123456, 4987654, 18123456, 19234567],
-        }),
+        ("TS1", None, None, {"dimensions": dims, "observations": [0]}),
+        ("TS1", None, 1, {"observations": [1, 2]}),
+        ("TS2", "la", None, {"dimensions": dims, "observations": [5]}),
     )
-    rows = tidy(census.flatten(df), ["geography", "age", "sex"])
-    assert [(r[2], r[4], r[6]) for r in rows] == [
-        ("0-15", "Male", "5123456"), ("0-15", "Female", "4987654"),
-        ("16-64", "Male", "18123456"), ("16-64", "Female", "19234567"),
+    assert sorted((r["dataset_id"], r["pos"], r["observation"]) for r in census.combine_batches(df).collect()) == [
+        ("TS1", 0, "0"), ("TS1", 1, "1"), ("TS1", 2, "2"), ("TS2", 0, "5"),
     ]
+    rows = census.wide(census.flatten(df), ["g", "c"]).collect()
+    assert sorted((r["dataset_id"], r["c"], r["observation"]) for r in rows) == [("TS1", "p", "0"), ("TS1", "q", "1"), ("TS1", "r", "2"), ("TS2", "p", "5")]
+
+
+def test_a_repeated_batch_is_an_error(spark):
+    dims = [{"name": "g", "options": ["x"]}]
+    df = responses(spark, *[("TS1", "la", 1, {"dimensions": dims, "observations": [i]}) for i in range(2)])
+    for result in (census.combine_batches, census.flatten):
+        with pytest.raises(Exception, match="repeated batch: TS1 / la / 1"):
+            result(df).collect()
 
 
 def test_topic_overflow_drops_the_incomplete_area(spark):
@@ -97,17 +106,6 @@ def test_areas_may_be_cut_by_batches(spark):
     assert [r[2] for r in rows] == ["p", "q", "r"] * 3
 
 
-@pytest.mark.parametrize("limit", [0, census.BROADCAST_BYTES])
-def test_large_plans_are_joined_instead_of_broadcast(spark, monkeypatch, limit):
-    monkeypatch.setattr(census, "BROADCAST_BYTES", limit)
-    dims = [{"name": "g", "options": ["x", "y"]}, {"name": "c", "options": ["p"]}]
-    df = responses(spark, *[(f"TS{i}", "la", 1, {"dimensions": dims, "observations": [i, i + 1]}) for i in range(9)])
-    flat = census.flatten(df)
-    assert ("ResolvedHint (strategy=broadcast)" in flat._jdf.queryExecution().analyzed().toString()) == (limit > 0)
-    got = {(r["dataset_id"], r["g"], r["observation"]) for r in census.wide(flat, ["g", "c"]).collect()}
-    assert got == {(f"TS{i}", g, str(i + j)) for i in range(9) for j, g in enumerate("xy")}
-
-
 def test_matrix_overflow_over_several_categories(spark):
     dims = [
         {"dimension_name": "g", "options": [{"id": "E", "label": "England"}]},

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyscope.operators.positions import hot_keys, number_dimension, number_rows, running_offset
+from tallyscope.operators.positions import following, number_rows, running_offset
 
 
 @pytest.fixture(scope="module")
@@ -14,10 +14,9 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, i bigint, v bigint").repartition(7)
 
 
-@pytest.mark.parametrize("numbering", [number_rows, lambda *a: number_dimension(*a), lambda *a: number_dimension(*a, small=3)])
-def test_row_numbers_within_groups(skewed, numbering):
+def test_row_numbers_within_groups(skewed):
     rows, df = skewed
-    got = {(r["k"], r["i"]): r["n"] for r in numbering(df, [F.col("i").desc()], ["k"], "n").collect()}
+    got = {(r["k"], r["i"]): r["n"] for r in number_rows(df, [F.col("i").desc()], ["k"], "n").collect()}
     want = {}
     for key in {r[0] for r in rows}:
         for n, row in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: -r[1])):
@@ -31,18 +30,27 @@ def test_row_numbers_over_everything(skewed):
     assert got == {i: i for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("block", [1, 7, 65536])
-def test_running_offsets(skewed, block):
-    rows, df = skewed
-    got = {(r["k"], r["i"]): r["offset"] for r in running_offset(df.dropna(), "v", "i", ["k"], block=block).collect()}
+@pytest.mark.parametrize("step", [1, 1_000_003])
+def test_running_offsets(spark, skewed, step):
+    """Null keys and orders, and orders far apart."""
+    rows = [(k, i * step if i else None, v) for k, i, v in skewed[0]]
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint").repartition(7)
+    got = {(r["k"], r["i"]): r["offset"] for r in running_offset(df, "v", "i", ["k"]).collect()}
     want, sums = {}, {}
-    for key, i, value in sorted((r for r in rows if r[0]), key=lambda r: r[1]):
+    for key, i, value in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
         want[(key, i)] = sums.get(key, 0)
         sums[key] = sums.get(key, 0) + value
     assert got == want
+    over_all = {r["i"]: r["offset"] for r in running_offset(df, "v", "i").collect()}
+    assert len(over_all) == len(rows) and over_all[None] == 0 and max(over_all.values()) <= sum(r[2] for r in rows)
 
 
-def test_hot_keys(skewed):
+def test_following(skewed):
     rows, df = skewed
-    n = sum(r[0] == "hot" for r in rows)
-    assert [tuple(r) for r in hot_keys(df, "k", 180).collect()] == [("hot", n)]
+    got = {r["i"]: r["next"] and r["next"]["v"] for r in following(df, "k", [F.col("i").desc()], ["v"], "next").collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: -r[1])
+        for row, after in zip(mine, [*mine[1:], None]):
+            want[row[1]] = after[2] if after and key is not None else None
+    assert got == want

@@ -7,6 +7,14 @@ from tallyscope.operators import catalog, events, requests as req
 from tallyscope.sources.sinks import jsonl_name, size_in_mb, write_jsonl
 from tallyscope.streaming.landing import compact, in_datasets, land_events
 
+def make_events(spark, n_events, n_pairs):
+    """Events 0 to n_events - 1 with n_pairs one-key maps each."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n_pairs - 1)), lambda j: F.create_map(F.concat(F.lit("key_"), j), F.concat(F.lit("value_"), j)))
+    payload = pairs if n_pairs else F.array().cast("array<map<string,string>>")
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return spark.range(n_events).select("id", F.lit("foo").alias("name"), stamp.alias("timestamp"), payload.alias("payload"))
+
+
 
 @pytest.mark.parametrize(
     "dataset, level, reason",
@@ -97,16 +105,16 @@ def test_truncation_keeps_two_hundred(spark):
 def test_events_and_their_json_lines(spark, tmp_path):
     path = str(tmp_path / jsonl_name("dummy", 20, 3))
     assert path.endswith("dummy--20-events-by-3-kv-pairs.jsonl")
-    write_jsonl(events.make_events(spark, 20, 3), path)
+    write_jsonl(make_events(spark, 20, 3), path)
     assert size_in_mb(path, spark) > 0
     rows = events.unnest_payload(events.read_events(spark, path)).collect()
     assert {(r["id"], r["key"], r["value"]) for r in rows} == {(i, f"key_{j}", f"value_{j}") for i in range(20) for j in range(3)}
-    assert events.make_events(spark, 2, 0).selectExpr("max(size(payload))").first()[0] == 0
+    assert make_events(spark, 2, 0).selectExpr("max(size(payload))").first()[0] == 0
 
 
 def test_landing_is_idempotent_and_drains(spark, tmp_path):
     source, out, offsets = (str(tmp_path / name) for name in ("source", "out", "offsets"))
-    write_jsonl(events.make_events(spark, 2500, 1).repartition(3), source)
+    write_jsonl(make_events(spark, 2500, 1).repartition(3), source)
 
     def land():
         stream = spark.readStream.schema(events.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(source)
@@ -119,7 +127,7 @@ def test_landing_is_idempotent_and_drains(spark, tmp_path):
     assert all(name.startswith("dataset=raw-nsp-events--20") for name in first)
     land()  # nothing new
     assert {p.name for p in (tmp_path / "out").glob("dataset=*")} == first
-    events.make_events(spark, 2600, 1).filter("id >= 2500").write.mode("append").json(source)
+    make_events(spark, 2600, 1).filter("id >= 2500").write.mode("append").json(source)
     land()
     assert events.read_events(spark, out).select("id").distinct().count() == 2600
     sizes = spark.read.schema(events.EVENT_SCHEMA + ", dataset string").json(out).groupBy("dataset").count()
@@ -127,7 +135,7 @@ def test_landing_is_idempotent_and_drains(spark, tmp_path):
 
 
 def test_a_replayed_batch_gets_the_same_names(spark):
-    batch = events.make_events(spark, 30, 1).withColumn("timestamp", F.lit("2024-05-06T07:08:09.1"))
+    batch = make_events(spark, 30, 1).withColumn("timestamp", F.lit("2024-05-06T07:08:09.1"))
     names = [sorted(r[0] for r in in_datasets(batch.repartition(n), 4, 10).select("dataset").distinct().collect()) for n in (1, 5)]
     assert names[0] == names[1] and len(names[0]) == 3
     assert names[0][0].startswith("raw-nsp-events--2024-05-06--07-08-09--")
@@ -135,7 +143,7 @@ def test_a_replayed_batch_gets_the_same_names(spark):
 
 def test_compaction_keeps_every_line(spark, tmp_path):
     small, large = str(tmp_path / "small"), str(tmp_path / "large")
-    write_jsonl(events.make_events(spark, 500, 4).repartition(25), small)
+    write_jsonl(make_events(spark, 500, 4).repartition(25), small)
     files = compact(spark, small, large, target_mb=size_in_mb(small, spark) / 3.5)
     assert files == 4 and len(list((tmp_path / "large").glob("part-*"))) == 4
     before, after = spark.read.text(small), spark.read.text(large)

@@ -45,8 +45,8 @@ def restated(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 5])
-def test_round_length_for_ordinary_and_busy_people(spark, limit):
+@pytest.mark.parametrize("partitions", [1, 7, 60])
+def test_round_length_for_ordinary_and_busy_people(spark, partitions):
     rng = random.Random(1)
     rows = []
     for i in range(300):
@@ -55,7 +55,9 @@ def test_round_length_for_ordinary_and_busy_people(spark, limit):
         attended = rng.choice([None, f"20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-20"])
         rows.append((person, i, offer, attended, "A"))
     parsed = screening.add_uptake_columns(spark.createDataFrame(rows, SCHEMA))
-    out = screening.add_round_length_columns(parsed, person_limit=limit)
+    with_partitions(spark, partitions)
+    out = screening.add_round_length_columns(parsed)
+    with_partitions(spark, 4)
     got = {
         r["episode_id"]: (r["prior_date_of_as"], r["prior_date_of_foa"], r["round_length_three_yr_threshold"])
         for r in out.collect()
@@ -63,13 +65,18 @@ def test_round_length_for_ordinary_and_busy_people(spark, limit):
     assert got == restated(rows)
 
 
-def test_busy_people_without_a_numeric_tie_break(spark):
-    rows = [(1, i, f"2020-0{1 + i % 9}-01", None, "A") for i in range(60)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("tag", F.format_string("%03d", "episode_id"))
-    parsed = screening.add_uptake_columns(df)
-    plain = screening.add_round_length_columns(parsed, "tag").select("tag", "prior_date_of_foa")
-    cut = screening.add_round_length_columns(parsed, "tag", person_limit=7).select("tag", "prior_date_of_foa")
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
+def with_partitions(spark, n):
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_dates_in_other_formats(spark):
+    rows = [(1, 1, "31/03/2024", "2024-04-01", "A"), (2, 2, "2024-03-30", "02/04/2025", "A"), (3, 3, "no date", None, "A"), (4, 4, "03-May-2024", "31/02/2024", "A")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    formats = ["dd/MM/yyyy", "dd-MMM-yyyy"]
+    flagged = {r["episode_id"]: (str(r["date_of_foa"])[:10], r["uptake_six_mth_threshold"]) for r in screening.add_uptake_columns(df, formats).collect()}
+    assert flagged == {1: ("2024-03-31", True), 2: ("2024-03-30", False), 3: ("None", None), 4: ("2024-05-03", False)}
+    assert screening.unparsed_dates(df, formats).first().asDict() == {"date_of_as_unparsed": 1, "date_of_foa_unparsed": 1}
+    assert screening.unparsed_dates(df).first().asDict() == {"date_of_as_unparsed": 2, "date_of_foa_unparsed": 3}
 
 
 def test_window_is_inclusive_and_defaults_to_a_year(spark):

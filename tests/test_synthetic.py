@@ -21,15 +21,6 @@ def test_draws_follow_their_distributions(spark, fast):
     assert abs(row[6] - 0.2) < 0.01 and abs(row[7] - 0.25) < 0.01 and row[8] == 365
 
 
-@pytest.mark.parametrize("n", [1, 2, 1000, 70001])
-def test_ids_are_sequential_and_exactly_n(spark, n):
-    ids = syn.episode_ids(spark, n, 3)
-    row = ids.agg(F.count("*"), F.countDistinct("episode_id"), F.min("episode_id"), F.max("episode_id"), F.min("nhs_number"), F.max("nhs_number"), F.countDistinct("nhs_number")).first()
-    assert tuple(row)[:5] == (n, n, 100000, 100000 + n - 1, 9000000000)
-    assert row[5] - row[4] + 1 == row[6]
-    assert ids.groupBy("nhs_number").count().agg(F.max("count")).first()[0] <= 3
-
-
 def test_assignment_within_groups_is_even_and_null_without_a_group(spark):
     df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("none").alias("g"))
     dim = spark.createDataFrame([("a", "a1"), ("a", "a2"), ("b", "b1")], "g string, code string")
@@ -38,14 +29,17 @@ def test_assignment_within_groups_is_even_and_null_without_a_group(spark):
     assert abs(counts[("a", "a1")] - 1000) < 120 and counts[("a", "a1")] + counts[("a", "a2")] == 2000
 
 
-def test_large_dimensions_give_the_same_assignment(spark, monkeypatch):
-    df = spark.range(300).select("id", (F.col("id") % 2).alias("g"))
-    dim = spark.range(40).select((F.col("id") % 2).alias("g"), F.format_string("c%02d", "id").alias("code"))
-    small = syn.assign_from(df, dim, F.col("id"), "x", 1, "g").collect()
-    from tallyscope.operators import positions
-
-    monkeypatch.setattr(syn, "number_dimension", lambda *a: positions.number_dimension(*a, small=5))
-    assert sorted(syn.assign_from(df, dim, F.col("id"), "x", 1, "g").collect()) == sorted(small)
+def test_codes_are_drawn_evenly_without_a_join(spark, monkeypatch):
+    codes = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "code string")
+    df = spark.range(4000).withColumn("x", syn.drawn_code(codes, F.col("id"), "x", 1))
+    counts = {r["x"]: r["count"] for r in df.groupBy("x").count().collect()}
+    assert set(counts) == {"a", "b"} and abs(counts["a"] - 2667) < 150
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    none = spark.range(3).withColumn("x", syn.drawn_code(codes.limit(0), F.col("id"), "x", 1))
+    assert {r["x"] for r in none.collect()} == {None}
+    monkeypatch.setattr(syn, "MOST_CODES", 1)
+    with pytest.raises(Exception, match="more than 1 codes"):
+        spark.range(3).withColumn("x", syn.drawn_code(codes, F.col("id"), "x", 1)).collect()
 
 
 def test_offers_go_back_three_times_only(spark):

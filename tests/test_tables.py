@@ -88,6 +88,7 @@ def test_tagging_a_folder(spark, tmp_path):
     (source / "kc_2024.csv").write_text("a,b\n2,z\n")
     (source / "other_2022.csv").write_text("b,c\nq,r\n")
     (source / "notes.txt").write_text("not read")
+    (source / "my file%20 2021.csv").write_text("b,a\n3,4\n")
     for _ in range(2):  # a rerun replaces its outputs
         tagged = periods.tag_reporting_period(spark, str(source), str(target))
     rows = {(r["output"], r["a"], r["b"], r["c"], r["reporting_period"]) for r in tagged.collect()}
@@ -96,11 +97,22 @@ def test_tagging_a_folder(spark, tmp_path):
         ("kc_2023_preprocessed", "007", None, None, "2022-2023"),
         ("kc_2024_preprocessed", "2", "z", None, "2023-2024"),
         ("other_2022_preprocessed", None, "q", "r", "2021-2022"),
+        ("my file%20 2021_preprocessed", "4", "3", None, "2020-2021"),
     }
     one = spark.read.option("header", True).csv(str(target / "output=kc_2023_preprocessed"))
     assert one.columns == ["a", "b", "reporting_period"] and one.count() == 2
 
 
+def test_csv_columns_by_name_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n"x\ny",2\n')
+    (tmp_path / "b.csv").write_text("b,a\n3,z\n")
+    (tmp_path / "c.csv").write_text("")
+    rows = {(r["a"], r["b"]) for r in tables.text_csv(spark, str(tmp_path), multi_line=True).collect()}
+    assert rows == {("x\ny", "2"), ("z", "3")}
+    schema = tables.T.StructType([tables.T.StructField("b", tables.T.IntegerType()), tables.T.StructField("a", tables.T.StringType())])
+    assert {tuple(r) for r in tables.csv_table(spark, str(tmp_path), schema, multi_line=True).collect()} == {(2, "x\ny"), (3, "z")}
+
+
 def test_quoted_export(spark, tmp_path):
     df = spark.createDataFrame([("7", 'say "hi"', None, 1.5), ("8", "a,b", "c", 2.0)], "id string, t string, n string, x double")
     path = str(tmp_path / "out")

@@ -223,13 +223,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
     chosen = [known.filter(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(labelled) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id")
-    texts = staged(texts.withColumn("_words", _words(F.col("_text"))), "labelled")
+    texts = texts.withColumn("_words", _words(F.col("_text")))
+    # written before words are exploded, so that the sketch is made once for a text
+    texts = staged(texts.withColumn("_sketch", F.array_min(F.transform("_words", lambda w: F.xxhash64(w)))), "labelled")
 
-    sketch = F.array_min(F.transform("_words", lambda w: F.xxhash64(w)))
-    per_word = texts.select("_toxic", sketch.alias("_sketch"), F.explode("_words").alias("word"))
+    per_word = texts.select("_toxic", "_sketch", F.explode("_words").alias("word"))
     counts = per_word.distinct().groupBy("word").agg(F.sum("_toxic").alias("toxic"), F.sum(1 - F.col("_toxic")).alias("clean"))
     counts = staged(counts, "words")
-    all_toxic = texts.filter("_toxic = 1").select(sketch).distinct().count()
+    all_toxic = texts.filter("_toxic = 1").select("_sketch").distinct().count()
     least = max(3, LEAST_SHARE * all_toxic)
     found = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean")))).collect()
     terms = {row["word"]: 1.0 for row in found}

@@ -85,6 +85,19 @@ def matrix_responses(spark, folder, one_dataset: bool) -> DataFrame:
     )
 
 
+def scattered_responses(spark, folder) -> DataFrame:
+    """Topic responses of two levels, one of them null, with a null batch number, a failed batch and
+    headers of their own in every batch."""
+    topic = topic_responses(spark, folder, True)
+    headers = F.concat(F.lit('{"headers":[{"code":"h'), F.col("batch_no"), F.lit('"}],'), F.expr("substring(json, 2)"))
+    return topic.select(
+        "dataset_id",
+        F.when(F.col("batch_no") % 2 == 0, "la").alias("geo_level"),
+        F.expr("nullif(batch_no, 0)").alias("batch_no"),
+        F.when(F.col("batch_no") != 6, headers).alias("json"),
+    )
+
+
 def single_dimension_responses(spark, folder) -> DataFrame:
     """One unusable dimension: only the areas, or nothing, can name the values."""
     topic = topic_responses(spark, folder, True)
@@ -184,6 +197,8 @@ def _option_texts(spark, folder):
 QUERIES = {
     "census_observations": lambda s, d: census.observations(topic_responses(s, d, True)),
     "census_combined_batches": lambda s, d: census.combine_batches(topic_responses(s, d, True)),
+    "census_scattered_batches": lambda s, d: census.combine_batches(scattered_responses(s, d)),
+    "census_scattered_headers": lambda s, d: census.combined_headers(scattered_responses(s, d)),
     "census_combined_headers": lambda s, d: census.combined_headers(matrix_responses(s, d, True)),
     "census_topic_dimensions": lambda s, d: census.dimensions_table(topic_responses(s, d, False)),
     "census_matrix_dimensions": lambda s, d: census.dimensions_table(matrix_responses(s, d, False)),
@@ -230,6 +245,12 @@ ORACLE = {
     "census_observations": _BASE + """SELECT 'TS900' AS dataset_id, 'la' AS geo_level, s_suppkey // 4 AS batch_no,
       s_suppkey % 4 * 3 + i AS pos, n AS observation FROM topic""",
     "census_combined_batches": _BASE + f"SELECT {_TOPIC_ALL}, n AS observation FROM topic",
+    "census_scattered_batches": _BASE + """SELECT 'TS900' AS dataset_id, CASE WHEN b % 2 = 0 THEN 'la' END AS geo_level,
+      row_number() OVER (PARTITION BY b % 2 ORDER BY s_suppkey, i) - 1 AS pos, n AS observation
+      FROM (SELECT *, s_suppkey // 4 AS b FROM topic) WHERE b <> 6""",
+    "census_scattered_headers": """SELECT 'TS900' AS dataset_id, CASE WHEN b % 2 = 0 THEN 'la' END AS geo_level, count(*) * 3 AS n_total,
+      ['supplier', 'returnflag'] AS dims, '[{"code":"h' || min(b) || '"}]' AS headers
+      FROM (SELECT s_suppkey // 4 AS b FROM supplier) WHERE b <> 6 GROUP BY b % 2""",
     "census_combined_headers": """SELECT 'RM900' AS dataset_id, 'la' AS geo_level, count(*) * 6 AS n_total,
       ['supplier', 'returnflag', 'linestatus'] AS dims, NULL::varchar AS headers FROM supplier""",
     "census_topic_dimensions": f"SELECT 'la' AS geo_level, 1::bigint AS batch_no, 'TS' AS kind, * FROM ({_dimension_rows('TS', _FLAG_ROWS)})",

@@ -69,6 +69,8 @@ QUERIES = {
     "reading_bso_codes": _on_summary(reading.bso_codes),
     "reading_ellipses": lambda spark, folder: _six_places(_on_summary(charts.ellipse_params)(spark, folder)),
     "reading_quadrants": lambda spark, folder: _six_places(_on_summary(charts.quadrants)(spark, folder)),
+    "reading_quadrants_of_none": lambda spark, folder: charts.quadrants(_on_summary(lambda s: s.filter(F.col("BSO Code") == "nowhere"))(spark, folder)),
+    "reading_ellipses_of_none": lambda spark, folder: charts.ellipse_params(_on_summary(lambda s: s.filter(F.col("BSO Code") == "nowhere"))(spark, folder)),
     "reading_funnel_points": _funnel_points,
     "reading_funnel_limits": _funnel_limits,
     "reading_funnel_limits_of_some": _funnel_limits_of_some,
@@ -155,6 +157,12 @@ ORACLE = {
         WHEN "Recall Rate" <= x THEN 'better specificity' ELSE 'poorer sensitivity and specificity' END AS quadrant
         FROM summary, (SELECT avg("Recall Rate") AS x, avg("Cancer Detection Rate") AS y FROM summary)"""
     ),
+    "reading_quadrants_of_none": sql(
+        """SELECT "Unique Code", "Recall Rate", "Cancer Detection Rate", 0.0 AS x_mean, 0.0 AS y_mean, '' AS quadrant FROM summary WHERE "BSO Code" = 'nowhere'"""
+    ),
+    "reading_ellipses_of_none": sql(
+        """SELECT 1 AS sigma, 0.0 AS x_mean, 0.0 AS y_mean, 0.0 AS x_std, 0.0 AS y_std, 0.0 AS width, 0.0 AS height FROM summary WHERE "BSO Code" = 'nowhere'"""
+    ),
     "reading_funnel_points": sql("SELECT * FROM points"),
     "reading_funnel_limits": sql(_limits("points")),
     "reading_funnel_limits_of_some": sql(

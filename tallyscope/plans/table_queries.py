@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyscope.operators import periods, perturb
 from tallyscope.session import fresh_path
 from tallyscope.sources.sinks import export_quoted, write_csv_by
-from tallyscope.sources.tables import parquet_table, text_csv
+from tallyscope.sources.tables import csv_parts, parquet_table, text_csv
 
 DATES = ["2023-06-30", "2022-09-14", "2021-03-01", "2020-02-29", "2017-12-31"]
 
@@ -44,7 +44,8 @@ def counts_table(spark, folder):
             F.col("n_name").alias("col_c"),
             F.coalesce("n", F.lit(0)).cast("string").alias("col_d"),
             F.col("s_acctbal").cast("string").alias("col_e"),
-            F.col("s_name").alias("col_f"),
+            # texts that look like numbers and are none stay as they are
+            F.coalesce(F.get(F.array(F.lit("NaN"), F.lit("1e400"), F.lit("nan")), (F.col("s_suppkey") % 9).cast("int")), "s_name").alias("col_f"),
             F.lit(None).cast("string").alias("col_g"),
             (F.col("s_suppkey") % 12).cast("string").alias("col_h"),
         )
@@ -119,7 +120,23 @@ def _tagged_folders(spark, folder):
     return text_csv(spark, target)
 
 
+def _tagged_files(spark, folder):
+    """Yearly regional CSV files with names of their own, tagged by the operator and read back."""
+    yearly, source, target = (fresh_path(spark, name) for name in ("yearly", "named", "tagged"))
+    files = order_files(spark, folder).withColumn("source", periods.file_stem(F.col("source_file")))
+    files.drop("source_file").repartition("source").write.partitionBy("source").option("header", True).csv(yearly)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(yearly).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(source))
+    for place in csv_parts(spark, yearly):
+        stem = place.rsplit("source=", 1)[1].split("/")[0]
+        system.rename(path(place), path(f"{source}/{stem}.csv"))
+    periods.tag_reporting_period(spark, source, target)
+    return text_csv(spark, target)
+
+
 QUERIES = {
+    "period_tagged_files": _tagged_files,
     "period_from_file_name": lambda s, d: periods.with_reporting_period(order_files(s, d)).withColumn(
         "year", periods.year_or_null(F.col("source_file"))
     ),
@@ -153,7 +170,7 @@ def draw(key: str, name: str, seed) -> str:
 
 
 _COUNTS = """WITH counts AS (SELECT s_suppkey::varchar AS kc63_output_by_run_id, 'line ' || (s_suppkey % 8) AS col_b, n_name AS col_c,
-  coalesce(n, 0)::varchar AS col_d, s_acctbal::varchar AS col_e, s_name AS col_f, NULL::varchar AS col_g, (s_suppkey % 12)::varchar AS col_h
+  coalesce(n, 0)::varchar AS col_d, s_acctbal::varchar AS col_e, coalesce(list_extract(['NaN', '1e400', 'nan'], (s_suppkey % 9 + 1)::int), s_name) AS col_f, NULL::varchar AS col_g, (s_suppkey % 12)::varchar AS col_h
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
   LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey)
 """
@@ -182,6 +199,8 @@ _LINE = "concat_ws('|', l_orderkey, l_linenumber, l_partkey)"
 ORACLE = {
     "period_from_file_name": _FILES + "SELECT * FROM files",
     "period_counts": _FILES + "SELECT reporting_period, count(*) AS n FROM files GROUP BY 1",
+    "period_tagged_files": _FILES + """SELECT o_orderkey::varchar AS o_orderkey, o_orderstatus, reporting_period,
+      replace(source_file, '.csv', '_preprocessed') AS output FROM files""",
     "period_tagged_folders": _FILES + """SELECT o_orderkey::varchar AS o_orderkey, o_orderstatus, reporting_period,
       replace(source_file, '.csv', '_preprocessed') AS output FROM files""",
     "perturb_text_cells": _COUNTS + f"SELECT {_noisy(7)} FROM counts",

@@ -95,7 +95,7 @@ def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(next(csv.reader(io.StringIO(text.removeprefix("\ufeff"))))) if text else ()
 
 
-def _data_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+def csv_parts(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     """The files below a path (or paths) that Spark would read, sorted."""
     paths = [path] if isinstance(path, str) else list(path)
     found = []
@@ -112,7 +112,7 @@ def _data_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
 def _by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by their column names in order; empty files are left out."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for file in _data_files(spark, path):
+    for file in csv_parts(spark, path):
         if header := csv_header(spark, file):
             groups.setdefault(header, []).append(file)
     return groups

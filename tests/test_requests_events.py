@@ -53,6 +53,18 @@ def test_payload_is_json(spark):
         "dimensions": [{"name": "la", "is_area_type": True, "options": ["a", 'b"']}, {"name": "sex"}],
     }
     assert no_level["dimensions"] == no_codes["dimensions"] == [{"name": "sex"}]
+    whole = F.array(F.lit('{"name":"age","options":["1"]}'))
+    odd = req.filter_payload(F.col("d"), F.col("l"), F.col("c"), whole, F.lit('x"y'), edition="2011", version=2)
+    first = json.loads(df.select(odd).first()[0])
+    assert first["population_type"] == 'x"y' and first["dimensions"][1] == {"name": "age", "options": ["1"]}
+    assert first["dataset"] == {"id": "TS030", "edition": "2011", "version": 2}
+
+
+def test_a_request_that_failed_without_a_status(spark):
+    rows = [("TS1", "la", 5, None, None, "timed out"), ("TS2", "la", 5, 200, 3, None), ("TS3", "la", 5, None, 0, None)]
+    df = spark.createDataFrame(rows, "dataset_id string, geo_level string, n_areas bigint, status int, n_observations bigint, failure string")
+    got = {r["dataset_id"]: r["error_message"] for r in req.availability(df).collect()}
+    assert got["TS1"] == "Error requesting dataset: timed out" and got["TS2"] is None and "observations" in got["TS3"]
 
 
 @pytest.mark.parametrize("level, use, route", [("lsoa", False, "filter"), ("ctry", True, "filter"), ("la", None, "batch")])

@@ -148,3 +148,11 @@ def test_header_check_names_the_difference(spark):
 def test_default_output_name(spark):
     df = spark.createDataFrame([("data/x.csv",), ("data.d/x",)], "p string")
     assert [r[0] for r in df.select(tables.flat_file_name(df["p"])).collect()] == ["data/x_flat.csv", "data.d/x_flat"]
+
+
+def test_cells_that_only_look_like_numbers_stay(spark):
+    texts = ["nan", "NaN", "1e400", "-inf", "12", "1.5", "9223372036854775807"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, v string")
+    rows = [r["v"] for r in perturb.perturb(df, ["k"], seed=1, smear=1.5).orderBy("k").collect()]
+    assert rows[:3] == texts[:3] and 0 <= float(rows[3]) <= 100 and 0 <= int(rows[4]) <= 30 and rows[5] != "1.5"
+    assert 0 <= int(rows[6]) <= 9223372036854775807

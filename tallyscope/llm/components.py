@@ -18,18 +18,32 @@ def _star(links: DataFrame) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _settled(state: DataFrame) -> bool:
+    """Whether every node has one smaller node, and that one has none."""
+    nodes = state.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    onward = nodes.join(nodes.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+    return nodes.filter("n > 1").select("a").unionByName(onward).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all linked nodes, the label being the smallest node of the component.
 
     ``links`` has integer columns a and b.  A round reads and writes one table of links, at most as
     many as there are nodes and links, and the number of rounds grows with the logarithm of the
     longest path.  No links give no rows."""
-    state, mark = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links"), None
-    while True:
-        found = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
+    state = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    while not _settled(state):
         state = staged(_star(state), "links")
     tops = state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(tops)
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after further links: only the labels that these join are looked at."""
+    one, two = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in ("a", "b"))
+    known = links.join(one, "a", "left").join(two, "b", "left")
+    edges = staged(known.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "edges")
+    tops = components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    ends = edges.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("lb").alias("label")))
+    moved = labels.unionByName(ends).distinct().join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    return moved.select("node", F.coalesce("top", "label").alias("label"))

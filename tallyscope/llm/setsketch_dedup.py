@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.llm.common import freed, staged, text_slices
-from tallyscope.llm.components import components
+from tallyscope.llm.components import components, joined_components
 
 #: Bands and registers of a band.  Sets of similarity 0.85 miss all bands once in four million pairs.
 BANDS, WIDTH = 32, 6
@@ -245,16 +245,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = staged(_sets(docs, wanted.select("node", "id", "digest"), size, id_col, text_col), "sets")
     freed(spark)
 
-    pairs, links, refuted, most = _first_pairs(buckets, classes, least, percent), None, None, 2
+    pairs, labels, refuted, most = _first_pairs(buckets, classes, least, percent), None, None, 4
     while True:
         checked = staged(_confirmed(pairs, sets, percent), "checked")
         yes, no = checked.filter("linked").select("a", "b"), checked.filter("not linked").select("a", "b")
-        links, refuted = (yes, no) if links is None else (links.unionByName(yes), refuted.unionByName(no))
-        labels = staged(components(links), "labels")
+        refuted = no if refuted is None else refuted.unionByName(no)
+        if labels is None:
+            labels = staged(components(yes), "labels")
+        elif not yes.isEmpty():
+            labels = staged(joined_components(labels, yes), "labels")
         pairs = staged(_next_pairs(buckets, classes, labels, refuted, least, percent, most), "pairs")
         if pairs.isEmpty():
             break
-        most *= 4
+        most *= 8
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -12,7 +12,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from tallyscope.llm import radix_dedup, registry, setsketch_dedup, suffix_dedup
-from tallyscope.llm.components import components
+from tallyscope.llm.components import components, joined_components
 
 
 def normal(text):
@@ -69,6 +69,8 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a bigint, b bigint")
     assert {(r.node, r.label) for r in components(df).collect()} == {(n, top(n)) for n in linked}
     assert components(df.limit(0)).count() == 0
+    halves = joined_components(components(df.filter("a % 2 = 0")), df.filter("a % 2 = 1"))
+    assert {(r.node, r.label) for r in halves.collect()} == {(n, top(n)) for n in linked} and halves.count() == len(linked)
 
 
 def shingles(text, size):

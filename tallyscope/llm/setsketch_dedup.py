@@ -173,8 +173,8 @@ def _first_pairs(buckets: DataFrame, classes: DataFrame, least: float, percent:
 
 
 def _next_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refuted: DataFrame, least: float, percent: int, most: int) -> DataFrame:
-    """(a, b): for each class outside its bucket's main component and each other component there, the
-    ``most`` nearest pairs that may be links and were not refuted yet."""
+    """(a, b): for each class outside its bucket's main component the ``most`` nearest classes of other
+    components in its buckets that it may be linked with and that were not refuted yet."""
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
     mixed = per_label.groupBy("bucket").agg(
@@ -195,7 +195,7 @@ def _next_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = ([], [], [], [])
+            found = ([], [], [])
             for k in range(batch.num_rows):
                 x, y = batch.column(0).slice(k, 1).flatten(), batch.column(1).slice(k, 1).flatten()
                 sketches, n, labels, nodes = _matrix(y.field("sketch")), y.field("n").to_numpy().astype(float), y.field("label").to_numpy(), y.field("node").to_numpy()
@@ -207,17 +207,17 @@ def _next_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refut
                         continue
                     value = estimated(np.broadcast_to(theirs[at], (len(rows), REGISTERS)), sketches[rows], np.full(len(rows), float(size)), n[rows])
                     rows, value = rows[value >= least], value[value >= least]
-                    order = np.lexsort((-value, labels[rows]))
-                    rows, value = rows[order], value[order]
-                    first = np.searchsorted(labels[rows], labels[rows], side="left")
-                    keep = np.arange(len(rows)) - first < most
-                    for out, part in zip(found, (np.full(keep.sum(), node), nodes[rows[keep]], labels[rows[keep]], value[keep])):
+                    keep = np.lexsort((nodes[rows], -value))[:most]
+                    for out, part in zip(found, (np.full(len(keep), node), nodes[rows[keep]], value[keep])):
                         out.append(part)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p or [[]]), t) for p, t in zip(found, kinds)], names=["x", "y", "label", "value"])
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p or [[]]), t) for p, t in zip(found, kinds)], names=["x", "y", "value"])
 
-    near = left.join(right, ["bucket", "i", "j"]).select("left", "right").mapInArrow(run, "x bigint, y bigint, label bigint, value double")
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = left.join(right, ["bucket", "i", "j"]).select("left", "right").mapInArrow(run, "x bigint, y bigint, value double")
+    # the nearest of all buckets: at most ``most`` of each unit were sent
+    nearest = near.groupBy("x").agg(F.sort_array(F.collect_set(F.struct((-F.col("value")).alias("far"), "y"))).alias("near"))
+    chosen = nearest.select("x", F.explode(F.slice("near", 1, most)).alias("n")).select("x", F.col("n.y").alias("y"))
+    return chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = staged(_sets(docs, wanted.select("node", "id", "digest"), size, id_col, text_col), "sets")
     freed(spark)
 
-    pairs, labels, refuted, most = _first_pairs(buckets, classes, least, percent), None, None, 4
+    pairs, labels, refuted, most = _first_pairs(buckets, classes, least, percent), None, None, 2
     while True:
         checked = staged(_confirmed(pairs, sets, percent), "checked")
         yes, no = checked.filter("linked").select("a", "b"), checked.filter("not linked").select("a", "b")
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         pairs = staged(_next_pairs(buckets, classes, labels, refuted, least, percent, most), "pairs")
         if pairs.isEmpty():
             break
-        most *= 8
+        most *= 3
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -207,7 +207,6 @@ def test_repeats_of_every_shape(spark, monkeypatch, part):
         rows.append((i, "".join(x for p in cut for x in (noise(rng.randrange(0, 150)), p)) + noise(rng.randrange(0, 100))))
     rows += [(200, "ab" * 300), (201, "x" * 61), (202, "x" * 60), (203, "abc" * 25), (204, passages[6] * 3)]
     monkeypatch.setattr(suffix_dedup, "PART", part)
-    monkeypatch.setattr(suffix_dedup, "_POWERS", [suffix_dedup._powers(b, 2 * max(part, 4096)) for b in (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)])
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert removed(df, 60) == brute_repeats(rows, 60)
 

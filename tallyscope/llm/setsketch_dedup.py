@@ -172,9 +172,9 @@ def _first_pairs(buckets: DataFrame, classes: DataFrame, least: float, percent:
     return near.groupBy("b").agg(F.min("a").alias("a"))
 
 
-def _next_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refuted: DataFrame, least: float, percent: int, most: int) -> DataFrame:
-    """(a, b): for each class outside its bucket's main component the ``most`` nearest classes of other
-    components in its buckets that it may be linked with and that were not refuted yet."""
+def _candidates(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refuted: DataFrame, least: float, percent: int, most: int) -> DataFrame:
+    """(bucket, x, y, value): for each class outside its bucket's main component the ``most`` nearest
+    classes of other components in the bucket that it may be linked with and that were not refuted yet."""
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
     mixed = per_label.groupBy("bucket").agg(
@@ -195,8 +195,8 @@ def _next_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = ([], [], [])
-            for k in range(batch.num_rows):
+            found = ([], [], [], [])
+            for k, bucket in enumerate(batch.column(2).to_pylist()):
                 x, y = batch.column(0).slice(k, 1).flatten(), batch.column(1).slice(k, 1).flatten()
                 sketches, n, labels, nodes = _matrix(y.field("sketch")), y.field("n").to_numpy().astype(float), y.field("label").to_numpy(), y.field("node").to_numpy()
                 theirs = _matrix(x.field("sketch"))
@@ -208,13 +208,16 @@ def _next_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refut
                     value = estimated(np.broadcast_to(theirs[at], (len(rows), REGISTERS)), sketches[rows], np.full(len(rows), float(size)), n[rows])
                     rows, value = rows[value >= least], value[value >= least]
                     keep = np.lexsort((nodes[rows], -value))[:most]
-                    for out, part in zip(found, (np.full(len(keep), node), nodes[rows[keep]], value[keep])):
+                    for out, part in zip(found, (np.full(len(keep), bucket), np.full(len(keep), node), nodes[rows[keep]], value[keep])):
                         out.append(part)
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p or [[]]), t) for p, t in zip(found, kinds)], names=["x", "y", "value"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p or [[]]), t) for p, t in zip(found, kinds)], names=["bucket", "x", "y", "value"])
 
-    near = left.join(right, ["bucket", "i", "j"]).select("left", "right").mapInArrow(run, "x bigint, y bigint, value double")
-    # the nearest of all buckets: at most ``most`` of each unit were sent
+    return left.join(right, ["bucket", "i", "j"]).select("left", "right", "bucket").mapInArrow(run, "bucket bigint, x bigint, y bigint, value double")
+
+
+def _nearest(near: DataFrame, most: int) -> DataFrame:
+    """(a, b): the ``most`` nearest candidates of each class over all its buckets."""
     nearest = near.groupBy("x").agg(F.sort_array(F.collect_set(F.struct((-F.col("value")).alias("far"), "y"))).alias("near"))
     chosen = nearest.select("x", F.explode(F.slice("near", 1, most)).alias("n")).select("x", F.col("n.y").alias("y"))
     return chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -245,6 +248,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = staged(_sets(docs, wanted.select("node", "id", "digest"), size, id_col, text_col), "sets")
     freed(spark)
 
+    # a bucket without candidates has none later either, as components only grow: rounds get smaller
     pairs, labels, refuted, most = _first_pairs(buckets, classes, least, percent), None, None, 2
     while True:
         checked = staged(_confirmed(pairs, sets, percent), "checked")
@@ -254,10 +258,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             labels = staged(components(yes), "labels")
         elif not yes.isEmpty():
             labels = staged(joined_components(labels, yes), "labels")
-        pairs = staged(_next_pairs(buckets, classes, labels, refuted, least, percent, most), "pairs")
-        if pairs.isEmpty():
+        near = staged(_candidates(buckets, classes, labels, refuted, least, percent, most), "candidates")
+        if near.isEmpty():
             break
-        most *= 3
+        pairs = _nearest(near, most)
+        buckets = staged(buckets.join(near.select("bucket").distinct(), "bucket", "left_semi"), "buckets")
+        most *= 4
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -142,14 +142,15 @@ class WordHits(dict):
 
     def __missing__(self, word: str):
         found = None
+        bare = plain(word)
         if word in self.model.terms:
             found = (word, 1.0)
         elif stem := next((word[:n] for n in STEM_LENGTHS if word[:n] in self.model.stems), None):
             found = (word, 1.0) if len(word) <= 40 else (stem, 1.0)
-        elif len(word) <= 40:
-            hit = self.automaton.match(plain(word))
+        elif len(bare) <= 40:  # a stretched word may be of any length
+            hit = self.automaton.match(bare)
             if hit and word not in self.model.clean:
-                found = (hit[0], 1.0 if plain(word) in self.model.terms else self.model.terms[hit[0]])
+                found = (hit[0], 1.0 if bare in self.model.terms else self.model.terms[hit[0]])
         if len(self) >= MOST_WORDS:
             self.clear()
         if len(word) <= 40:
@@ -206,8 +207,8 @@ def _fitted(rows: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
 
 
 def _words(text: Column) -> Column:
-    """Different words of a text, as the scorer sees them."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[\w$@]+"), F.lit(0)))
+    """Words of a text in order, as the scorer sees them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[\w$@]+"), F.lit(0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model:
@@ -215,8 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
 
     At most ``labelled`` ids of each class are taken, a bounded sample chosen by hash; their number
     bounds all that is collected here.  Rows without id or label are left out; of several labels of
-    an id the largest counts.  Copies and near copies of a text count once for a term, as texts are
-    told apart by their smallest word hash.
+    an id the largest counts.  Texts with the same words in the same order count once for a term; all
+    others are texts of their own, however many words they share.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, folds))
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_toxic"))
@@ -224,13 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id")
     texts = texts.withColumn("_words", _words(F.col("_text")))
-    # written before words are exploded, so that the sketch is made once for a text
-    texts = staged(texts.withColumn("_sketch", F.array_min(F.transform("_words", lambda w: F.xxhash64(w)))), "labelled")
+    # written before words are exploded, so that the digest is made once for a text
+    texts = texts.withColumn("_digest", F.sha2(F.array_join("_words", " "), 256)).withColumn("_words", F.array_distinct("_words"))
+    texts = staged(texts, "labelled")
 
-    per_word = texts.select("_toxic", "_sketch", F.explode("_words").alias("word"))
+    per_word = texts.select("_toxic", "_digest", F.explode("_words").alias("word"))
     counts = per_word.distinct().groupBy("word").agg(F.sum("_toxic").alias("toxic"), F.sum(1 - F.col("_toxic")).alias("clean"))
     counts = staged(counts, "words")
-    all_toxic = texts.filter("_toxic = 1").select("_sketch").distinct().count()
+    all_toxic = texts.filter("_toxic = 1").select("_digest").distinct().count()
     least = max(3, LEAST_SHARE * all_toxic)
     found = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean")))).collect()
     terms = {row["word"]: 1.0 for row in found}
@@ -244,10 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [w not in terms and (automaton.match(plain(w)) or ("",))[0] or None for w in batch.column(0).to_pylist()]
+            words = [(w, plain(w)) for w in batch.column(0).to_pylist()]
+            hit = [w not in terms and len(bare) <= 40 and (automaton.match(bare) or ("",))[0] or None for w, bare in words]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.string())], names=["word", "toxic", "clean", "term"]).filter(pa.array([h is not None for h in hit]))
 
-    misses = counts.filter("length(word) <= 40").mapInArrow(near, "word string, toxic bigint, clean bigint, term string").collect() if terms else []
+    misses = counts.mapInArrow(near, "word string, toxic bigint, clean bigint, term string").collect() if terms else []
     toxic, clean = Counter(), Counter()
     for row in misses:
         toxic[row["term"]] += row["toxic"]

@@ -198,3 +198,15 @@ def test_toxicity_without_labels(spark, odd):
     for table in (labels, labels.limit(0)):
         model = toxicity.fit(odd, table, 5)
         assert not model.terms and all(0 <= r.score < 0.5 for r in toxicity.score(odd, model).collect())
+
+
+def test_texts_that_share_words_are_all_evidence(spark):
+    """Twelve toxic and twelve clean texts share their most frequent words; a stretched term may be of any length."""
+    rows = [(i, f"you are all the same to me number{i} gromble") for i in range(12)] + [(100 + i, f"you are all the same to me thing{i}") for i in range(12)]
+    rows += [(200 + i, "You are, a   copied wozzle!") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(not 100 <= i < 200)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, 1000)
+    assert "gromble" in model.terms and "wozzle" not in model.terms
+    table = toxicity.WordHits(model)
+    assert toxicity.features("you gr" + "o" * 60 + "mble", table) == toxicity.features("you gromble", table) != [0.0] * 5

@@ -31,8 +31,8 @@ MERGED = 8
 _RUNS = re.compile(r"\s \s|\s $|^ \s|^ $")
 
 
-def byte_level_ranks(tokenizer_file: str) -> tuple[dict[bytes, int], str]:
-    """Ranks and pattern of a byte-level BPE tokenizer file, whose ids must be its merge order."""
+def byte_level_ranks(tokenizer_file: str) -> tuple[dict[bytes, int], str, dict[str, int]]:
+    """Ranks and pattern of a byte-level BPE tokenizer file, whose ids must be its merge order, and its added tokens."""
     spec = json.load(open(tokenizer_file, encoding="utf-8"))
     if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
         raise ValueError("not a byte-level BPE without normaliser")
@@ -42,9 +42,11 @@ def byte_level_ranks(tokenizer_file: str) -> tuple[dict[bytes, int], str]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {token["content"] for token in spec.get("added_tokens", ())}
-    ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return ranks, r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    if any(token.get(flag) for token in spec.get("added_tokens", ()) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("only added tokens that match as they stand are supported")
+    added = {token["content"]: token["id"] for token in spec.get("added_tokens", ())}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
+    return ranks, r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", added
 
 
 class WordTable(dict):
@@ -53,8 +55,11 @@ class WordTable(dict):
     def __init__(self, tokenizer_file: str):
         import tiktoken
 
-        ranks, pattern = byte_level_ranks(tokenizer_file)
+        ranks, pattern, added = byte_level_ranks(tokenizer_file)
         self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {content: np.asarray([i], "<u4").tobytes() for content, i in added.items()}
+        # of added tokens that begin at one place the longest counts
+        self.marks = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
 
     def __missing__(self, word: str) -> bytes:
         ids = np.asarray(self.model.encode_ordinary(word), "<u4").tobytes()
@@ -65,6 +70,16 @@ class WordTable(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        """The ids of a text: of its added tokens, and of the stretches between them, each for itself."""
+        if self.marks is None:
+            return self.between(text)
+        ids, at = [], 0
+        for mark in self.marks.finditer(text):
+            ids += [self.between(text[at : mark.start()]), self.added[mark[0]]]
+            at = mark.end()
+        return b"".join([*ids, self.between(text[at:])]) if at else self.between(text)
+
+    def between(self, text: str) -> bytes:
         """A single space between other characters always begins a token, so words are independent."""
         if not text:
             return b""

@@ -66,6 +66,25 @@ def test_words_join_to_the_whole_encoding(byte_level, text):
     assert np.frombuffer(table.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def by_default():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BYTES)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab <|>\n", "the", "  ", "<|endoftext|>", "<|endoftext", " <|endoftext|> "]), max_size=20).map("".join))
+def test_added_tokens_have_their_own_ids(by_default, byte_level, text):
+    assert np.frombuffer(byte_level[1].encode(text), "<u4").tolist() == by_default.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_added_token(spark):
+    df = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id bigint, text string")
+    (row,) = packing.pack(df, BYTES, size=8).collect()
+    assert row.doc_tokens == 4 and row.ids_crc32 == zlib.crc32(np.asarray([64, 50256, 65, 1], "<u4").tobytes())
+
+
 def check_packing(rows, texts, tokenizer, size):
     """Every id in one piece, sequences gapless and within the size; returns the padding."""
     want = {}

@@ -3,10 +3,13 @@ digests of known licences.  DataFrame functions only."""
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Notices that name a licence, and short licences in full.
-KNOWN = (
+SHORT = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -54,12 +57,44 @@ KNOWN = (
         "may not be removed or altered from any source distribution.",
     ),
 )
+#: Published texts in full, in files named after the licence (and a variant of it, behind ~).
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Headings that a licence is published with, or without.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License", "The BSD License"),
+}
+_APPENDIX = re.compile(r"^[ \t]*(?:APPENDIX: |Appendix: )?How to [Aa]pply ", re.MULTILINE)
+
+
+def _spellings(licence: str, text: str) -> set[tuple[str, str]]:
+    """The text as it stands, without the appendix that tells how to apply it, and under each heading or none."""
+    found = {text}
+    if appendix := _APPENDIX.search(text):
+        found.add(text[: appendix.start()])
+    if "\n" in text and licence in HEADINGS:
+        first, rest = text.split("\n", 1)
+        body = rest if first in HEADINGS[licence] else text
+        found |= {body, *(f"{heading}\n{body}" for heading in HEADINGS[licence])}
+    return {(licence, t) for t in found}
+
+
+_PUBLISHED = tuple((path.stem.split("~")[0], path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt")))
+KNOWN = tuple(sorted(set().union(*(_spellings(licence, text) for licence, text in SHORT + _PUBLISHED))))
 #: Spellings taken as one, as parts of words.
 SPELLINGS = (("licenc", "licens"), ("organis", "organiz"), ("recognis", "recogniz"), ("authoris", "authoriz"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("https", "http"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that begins with a copyright sign or word and a year, behind comment marks.
-COPYRIGHT = r"^[ \t\r*#/;-]*(?:copyright|\(c\)|©)[^a-z0-9]*(?:(?:copyright|c)[^a-z0-9]+)?[0-9]{4}|^[ \t\r*#/;-]*all rights reserved[ \t\r.]*$"
+#: A line that begins, behind comment marks, with a copyright sign or word and a year, with the word and the sign, or with the sign
+#: ©; one that begins with the word and ends with a year; and the reservation of all rights.
+COPYRIGHT = (
+    r"^[ \t\r*#/;-]*(?:copyright|\(c\)|©)[^a-z0-9]*(?:(?:copyright|c)[^a-z0-9]+)?[0-9]{4}|^[ \t\r*#/;-]*all rights reserved[ \t\r.]*$"
+    r"|^[ \t\r*#/;-]*(?:copyright[ \t]*(?:\(c\)|©)|©)|^[ \t\r*#/;-]*copyright[ \t:].*[^a-z0-9](?:19|20)[0-9]{2}[ \t\r.,]*$"
+)
 #: ASCII characters other than letters and digits, and typographic punctuation.
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F ‐-‧«»]+"
 

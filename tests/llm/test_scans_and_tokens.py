@@ -209,3 +209,24 @@ def test_licence_scan_equals_sql(spark, folder):
 def test_licence_scan_is_native(spark, folder):
     plan = registry.queries()["op10_licence_scan"](spark, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_entire_published_texts(spark):
+    """Texts as projects carry them: their own copyright line, another heading, other line breaks, no appendix."""
+    body = {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    mit = next(text for name, text in licences.SHORT if name == "MIT" and "WARRANTY" in text).split("\n", 1)[1]
+    texts = [
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) Facebook, Inc. and its affiliates.\n" + mit),
+        ("MIT", "copyright Jane Doe 2015\n" + mit),
+        ("BSD-2-Clause", "# Copyright © Jane Doe\n# All rights reserved.\n" + body["BSD-2-Clause"].split("\n", 1)[1]),
+        ("BSD-3-Clause", " ".join(body["BSD-3-Clause"].split())),
+        ("BSD-3-Clause", "Copyright (c) The Regents of the University of California.\n" + body["BSD-3-Clause~regents"]),
+        ("Unlicense", body["Unlicense"]),
+        ("Apache-2.0", body["Apache-2.0"]),
+        ("Apache-2.0", body["Apache-2.0"].split("   APPENDIX")[0]),
+        *((name, body[name]) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")),
+        (None, "copyright notice of no year\n" + mit),
+        (None, "(c) You must retain this\n" + mit),
+    ]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id bigint, text string")
+    assert [r.licence for r in sorted(licences.scan(df).collect(), key=lambda r: r.id)] == [name for name, _ in texts]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, suffix_dedup, toxicity
+from tallyscope.llm import byte_bpe, hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, suffix_dedup, toxicity
 from tallyscope.llm.common import held_out, table
 
 
@@ -99,6 +99,17 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    done = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return done.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,6 +127,7 @@ _QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_licence_scan": op10_licence_scan,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
 

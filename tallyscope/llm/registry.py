@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import byte_bpe, hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, suffix_dedup, toxicity
+from tallyscope.llm import byte_bpe, hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, source_audit, suffix_dedup, toxicity
 from tallyscope.llm.common import held_out, table
 
 
@@ -99,6 +99,10 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(table(spark, folder, "documents"), least_docs=30, most_terms=50)
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     done = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -127,6 +131,7 @@ _QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_licence_scan": op10_licence_scan,
+    "op12_source_audit": op12_source_audit,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
@@ -137,4 +142,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": radix_dedup.DUPLICATES_SQL, "op5_maxscore": _MAXSCORE_SQL, "op10_licence_scan": licences.scan_sql()}
+    return {
+        "op4_exact_dedup": radix_dedup.DUPLICATES_SQL,
+        "op5_maxscore": _MAXSCORE_SQL,
+        "op10_licence_scan": licences.scan_sql(),
+        "op12_source_audit": source_audit.AUDIT_SQL,
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import byte_bpe, hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, source_audit, suffix_dedup, toxicity
+from tallyscope.llm import anchor_codes, byte_bpe, hmm, licences, maxscore, packing, radix_dedup, secrets, sentencepiece_codec, setsketch_dedup, source_audit, suffix_dedup, toxicity
 from tallyscope.llm.common import held_out, table
 
 
@@ -99,6 +99,13 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_anchor_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = anchor_codes.compress(table(spark, folder, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return anchor_codes.with_label_errors(coded).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(anchor_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
 def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     return source_audit.audit(table(spark, folder, "documents"), least_docs=30, most_terms=50)
 
@@ -131,6 +138,7 @@ _QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_licence_scan": op10_licence_scan,
+    "op11_anchor_codes": op11_anchor_codes,
     "op12_source_audit": op12_source_audit,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
@@ -146,5 +154,6 @@ def oracle_sql() -> dict:
         "op4_exact_dedup": radix_dedup.DUPLICATES_SQL,
         "op5_maxscore": _MAXSCORE_SQL,
         "op10_licence_scan": licences.scan_sql(),
+        "op11_anchor_codes": anchor_codes.codes_sql(),
         "op12_source_audit": source_audit.AUDIT_SQL,
     }

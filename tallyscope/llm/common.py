@@ -27,6 +27,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Empties the folders of staged tables that nothing reads any more."""
+    for table_ in tables:
+        for folder in {path.rsplit("/", 1)[0] for path in table_.inputFiles()}:
+            table_.sparkSession.createDataFrame([], table_.schema).write.mode("overwrite").parquet(folder)
+
+
 def freed(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, which it does on a JVM collection."""
     spark.sparkContext._jvm.System.gc()

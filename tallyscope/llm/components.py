@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyscope.llm.common import staged
+from tallyscope.llm.common import discarded, staged
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     longest path.  No links give no rows."""
     state = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     while not _settled(state):
-        state = staged(_star(state), "links")
+        before, state = state, staged(_star(state), "links")
+        discarded(before)
     tops = state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(tops)
 

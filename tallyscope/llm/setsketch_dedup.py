@@ -3,13 +3,13 @@
 A register is the truncated, exponentially spaced minimum of one hash function over a set's shingles,
 so sketches merge by their maxima and two sets agree in a register with a probability that follows
 their similarity.  Texts with equal sets form one class first.  Classes that agree in all registers
-of a band share a bucket; a pair from a bucket is estimated from all registers, and only then its
-full sets are compared.
+of a band share a bucket, and classes joined by buckets form a group.
 
-Buckets are never expanded into all pairs.  Each class is first compared with the smallest class of
-its buckets.  What the confirmed links join needs no further look; classes of a bucket that are still
-in different components are compared in rounds, nearest estimates first, until no pair is left that
-could be a link.  Every link between components is therefore found, and copies cost nothing.
+A group is compared inside tasks, a chunk of classes with another: pairs that are not yet in one
+component are estimated from all registers, and those that may be links are compared on their full
+sets at once, the nearest first.  Only links that join two components leave a task, so no list of
+pairs is ever written, neither of links nor of refuted ones.  Every chunk meets itself and the first
+chunk of its group; what is then still outside the largest component of its group meets all chunks.
 """
 
 from __future__ import annotations
@@ -21,22 +21,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyscope.llm.common import freed, staged, text_slices
+from tallyscope.llm.common import discarded, freed, staged, text_slices
 from tallyscope.llm.components import components, joined_components
 
-#: Bands and registers of a band.  Sets of similarity 0.85 miss all bands once in four million pairs.
-BANDS, WIDTH = 32, 6
-REGISTERS = BANDS * WIDTH
+#: Registers of a sketch, and the share of pairs at the threshold that may miss all bands.
+REGISTERS, MISSED = 192, 3e-7
+#: A pair is compared on its sets unless its estimate is so many deviations below the threshold.
+DEVIATIONS = 5
 #: Base, rate and limit of the registers.
 BASE, RATE, LIMIT = 1.02, 20.0, (1 << 16) - 1
-#: Classes on either side of one comparison of a large bucket.
-CHUNK = 512
+#: Classes of a chunk and bytes of their sets, about: what a task holds twice.
+CHUNK, CHUNK_BYTES = 512, 16 << 20
 
 _random = np.random.default_rng(20)
 _FLIPS = _random.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _FACTORS = _random.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
 
 
+def band_width(percent: int) -> int:
+    """Registers of a band: the most with which a pair at the threshold still shares a bucket, but for ``MISSED``."""
+    like = percent / 100
+    return max([w for w in range(1, REGISTERS + 1) if (1 - like**w) ** (REGISTERS // w) <= MISSED], default=1)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -119,108 +126,109 @@ def _sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n bigint, digest binary, sketch binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the wanted classes (node, id, digest): the one pass that moves texts."""
+def _members(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(group, node, n, sketch, shingles) of the wanted classes: the one pass that moves texts.
+    A class comes once for each row with its id and text."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    joined = source.join(wanted, F.col("_id").eqNullSafe(F.col("id"))).select("node", "text", "digest")
+    joined = source.join(wanted, F.col("_id").eqNullSafe(F.col("id"))).select("group", "node", "n", "sketch", "text", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, 1):
-            values, offsets = shingle_sets(part.column(1).to_pylist(), size)
+        for part in text_slices(batches, 4):
+            values, offsets = shingle_sets(part.column(4).to_pylist(), size)
             rows = [values[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
             # another text may carry the same id
-            same = [xxhash.xxh3_128_digest(row) == digest for row, digest in zip(rows, part.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["node", "shingles"]).filter(pa.array(same))
-
-    return joined.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked): whether 100 * intersection >= percent * union, on the full sets."""
+            same = [xxhash.xxh3_128_digest(row) == digest for row, digest in zip(rows, part.column(5).to_pylist())]
+            found = pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(rows, pa.binary())], names=["group", "node", "n", "sketch", "shingles"])
+            yield found.filter(pa.array(same, pa.bool_()))
+
+    return joined.mapInArrow(run, "group bigint, node bigint, n bigint, sketch binary, shingles binary")
+
+
+class Chunk:
+    """Classes of one task, ascending by side and node: numbers as arrays, sets as they come."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        if not self.rows or self.rows[-1][:2] != row[:2]:  # a class may come several times
+            self.rows.append(row)
+
+    def links(self, both: bool, least: float, percent: int) -> list[tuple[int, int]]:
+        """Links between left and right classes, and between left ones if ``both``, that join two labels."""
+        if len(self.rows) < 2:
+            return []
+        side, node, label, n, sketch, sets = zip(*self.rows)
+        side, node, label = np.array(side), np.array(node), np.array(label)
+        sketches, size = np.frombuffer(b"".join(sketch), np.uint16).reshape(-1, REGISTERS), np.array(n, float)
+        found = []
+        for x in np.flatnonzero(side == 0):
+            fit = (label != label[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])) & (side == 1)
+            if both:
+                fit[x + 1 :] |= (label[x + 1 :] != label[x]) & (side[x + 1 :] == 0) & (100 * np.minimum(size[x + 1 :], size[x]) >= percent * np.maximum(size[x + 1 :], size[x]))
+            rows = np.flatnonzero(fit)
+            if not len(rows):
+                continue
+            value = estimated(np.broadcast_to(sketches[x], (len(rows), REGISTERS)), sketches[rows], np.full(len(rows), size[x]), size[rows])
+            mine = np.frombuffer(sets[x], np.uint64)
+            for y in rows[np.argsort(-value, kind="stable")][: np.count_nonzero(value >= least)]:
+                if label[y] == label[x]:
+                    continue
+                theirs = np.frombuffer(sets[y], np.uint64)
+                common = len(mine) + len(theirs) - len(np.union1d(mine, theirs))
+                if 100 * common >= percent * (len(mine) + len(theirs) - common):
+                    found.append((int(node[x]), int(node[y])))
+                    label[label == label[y]] = label[x]
+        return found
+
+
+def _links(rows: DataFrame, least: float, percent: int) -> DataFrame:
+    """(a, b) from rows (group, i, j, side, node, label, n, sketch, shingles) dealt by group, i and j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                linked.append(100 * common >= percent * (len(left) + len(right) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}")) for k in ("a", "b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint, linked boolean")
-
+        held, key = Chunk(), None
 
-def _matrix(binaries: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(binaries.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        def found() -> pa.RecordBatch:
+            # a chunk meets itself where it is both sides' (i = j)
+            a, b = zip(*links) if (links := held.links(key is not None and key[1] == key[2], least, percent)) else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-
-def _first_pairs(buckets: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
-    """(a, b): each class with the smallest class among those first in its buckets that it may be linked with."""
-    firsts = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = buckets.join(firsts, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    one, two = (classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in ("a", "b"))
-    sized = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                values = estimated(_matrix(batch.column(4)), _matrix(batch.column(5)), *(batch.column(i).to_numpy().astype(float) for i in (2, 3)))
-                yield batch.select(["a", "b"]).filter(pa.array(values >= least))
-
-    near = sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
-    return near.groupBy("b").agg(F.min("a").alias("a"))
-
-
-def _candidates(buckets: DataFrame, classes: DataFrame, labels: DataFrame, refuted: DataFrame, least: float, percent: int, most: int) -> DataFrame:
-    """(bucket, x, y, value): for each class outside its bucket's main component the ``most`` nearest
-    classes of other components in the bucket that it may be linked with and that were not refuted yet."""
-    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
-    mixed = per_label.groupBy("bucket").agg(
-        F.max_by("label", "members").alias("main"), F.max("members").alias("in_main"), F.sum("members").alias("members")
-    ).filter("members > in_main")
-    tried = refuted.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(refuted.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    tried = tried.groupBy("node").agg(F.collect_set("other").alias("tried"))
-    members = labelled.join(mixed, "bucket").join(classes.select("node", "n", "sketch"), "node").join(tried, "node", "left")
-    # large buckets meet in chunks: (others - in main) / CHUNK by all / CHUNK
-    chunks = {"_i": F.expr(f"1 + (members - in_main) div {CHUNK}"), "_j": F.expr(f"1 + members div {CHUNK}")}
-    members = members.withColumns(chunks)
-    entry = F.struct("node", "label", "n", "sketch", F.coalesce("tried", F.array().cast("array<bigint>")).alias("tried"))
+            for at in range(0, batch.num_rows, 64):
+                for group, i, j, *row in zip(*(column.to_pylist() for column in batch.slice(at, 64).columns)):
+                    if (group, i, j) != key:
+                        yield found()
+                        held, key = Chunk(), (group, i, j)
+                    held.add(tuple(row))
+        yield found()
+
+    keys = ["group", "i", "j"]
+    dealt = rows.select(*keys, "side", "node", "label", "n", "sketch", "shingles").repartition(*keys).sortWithinPartitions(*keys, "side", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _within(members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every chunk with itself, and with the first chunk of its group."""
+    dealt = members.join(chunks, "group").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).withColumn("label", F.col("node"))
+    own = dealt.withColumns({"i": F.col("chunk"), "j": F.col("chunk"), "side": F.lit(0)})
+    many = dealt.filter("chunks > 1").withColumn("i", F.lit(0).cast("bigint"))
+    first = many.filter("chunk = 0").withColumns({"j": F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("chunks") - 1)), "side": F.lit(0)})
+    other = many.filter("chunk > 0").withColumns({"j": F.col("chunk"), "side": F.lit(1)})
+    return own.unionByName(first).unionByName(other)
+
+
+def _outside(members: DataFrame, chunks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of groups with several chunks, the classes outside the largest component with all classes."""
+    many = members.join(chunks.filter("chunks > 1"), "group").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # a row for each class again, as its rows may repeat
+    counts = many.groupBy("group", "label").agg(F.count_distinct("node").alias("m"))
+    main = counts.groupBy("group").agg(F.max_by("label", "m").alias("main"), (F.sum("m") - F.max("m")).alias("others"))
+    known = many.join(main, "group").withColumn("lefts", F.expr(f"1 + others div {CHUNK}")).filter("others > 0")
     row = F.xxhash64("node", F.lit(7))
-    outside = members.filter("label <> main").withColumn("i", F.pmod(row, F.col("_i"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_j") - 1)))
-    everyone = members.withColumn("j", F.pmod(row, F.col("_j"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_i") - 1)))
-    left = outside.groupBy("bucket", "i", "j").agg(F.collect_list(entry).alias("left"))
-    right = everyone.groupBy("bucket", "i", "j").agg(F.collect_list(entry.dropFields("tried")).alias("right"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = ([], [], [], [])
-            for k, bucket in enumerate(batch.column(2).to_pylist()):
-                x, y = batch.column(0).slice(k, 1).flatten(), batch.column(1).slice(k, 1).flatten()
-                sketches, n, labels, nodes = _matrix(y.field("sketch")), y.field("n").to_numpy().astype(float), y.field("label").to_numpy(), y.field("node").to_numpy()
-                theirs = _matrix(x.field("sketch"))
-                for at, (node, label, size, tried) in enumerate(zip(*(x.field(f).to_pylist() for f in ("node", "label", "n", "tried")))):
-                    fit = (labels != label) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ~np.isin(nodes, tried)
-                    rows = np.flatnonzero(fit)
-                    if not len(rows):
-                        continue
-                    value = estimated(np.broadcast_to(theirs[at], (len(rows), REGISTERS)), sketches[rows], np.full(len(rows), float(size)), n[rows])
-                    rows, value = rows[value >= least], value[value >= least]
-                    keep = np.lexsort((nodes[rows], -value))[:most]
-                    for out, part in zip(found, (np.full(len(keep), bucket), np.full(len(keep), node), nodes[rows[keep]], value[keep])):
-                        out.append(part)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p or [[]]), t) for p, t in zip(found, kinds)], names=["bucket", "x", "y", "value"])
-
-    return left.join(right, ["bucket", "i", "j"]).select("left", "right", "bucket").mapInArrow(run, "bucket bigint, x bigint, y bigint, value double")
-
-
-def _nearest(near: DataFrame, most: int) -> DataFrame:
-    """(a, b): the ``most`` nearest candidates of each class over all its buckets."""
-    nearest = near.groupBy("x").agg(F.sort_array(F.collect_set(F.struct((-F.col("value")).alias("far"), "y"))).alias("near"))
-    chosen = nearest.select("x", F.explode(F.slice("near", 1, most)).alias("n")).select("x", F.col("n.y").alias("y"))
-    return chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # i and j are never equal: a right chunk is numbered from the last left one on
+    left = known.filter("label <> main").withColumns({"i": F.pmod(row, F.col("lefts")), "j": F.explode(F.expr("sequence(lefts, lefts + chunks - 1)")), "side": F.lit(0)})
+    right = known.withColumns({"j": F.col("lefts") + F.pmod(row, F.col("chunks")), "i": F.explode(F.expr("sequence(0L, lefts - 1)")), "side": F.lit(1)})
+    return left.unionByName(right)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,42 +240,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     null text or one without words has none and is linked with nothing.  A null id is kept, and names a
     component only where it has no other.  Repeated rows have equal sets and so one component.  An
     empty table gives no rows.  Only the two named columns are read; ids may be of any type with an order.
+
+    A link is missed if its two texts are in no common group, by a chance of at most ``MISSED`` at the
+    threshold and less above it, or if its estimate is ``DEVIATIONS`` deviations too low, by a like chance.
     """
     spark = docs.sparkSession
     rows = staged(_sketches(docs, size, id_col, text_col), "sketches")
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
-    step = 2 * WIDTH
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * step + 1, step)) for i in range(BANDS)])
+    width = band_width(percent)
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * width * i + 1, 2 * width)) for i in range(REGISTERS // width)])
     entries = classes.select("node", F.explode(bands).alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
-    buckets = staged(entries.join(shared, "bucket"), "buckets")
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi")
-    sets = staged(_sets(docs, wanted.select("node", "id", "digest"), size, id_col, text_col), "sets")
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    stars = staged(entries.join(shared, "bucket").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
+    groups = components(stars)
+    wanted = staged(classes.join(groups.withColumnRenamed("label", "group"), "node"), "wanted")
+    discarded(stars, groups)
+    chunks = wanted.groupBy("group").agg(F.expr(f"1 + greatest(count(1) div {CHUNK}, sum(8 * n) div {CHUNK_BYTES})").alias("chunks"))
+    members = staged(_members(docs, wanted, size, id_col, text_col), "members")
     freed(spark)
 
-    # a bucket without candidates has none later either, as components only grow: rounds get smaller
-    pairs, labels, refuted, most = _first_pairs(buckets, classes, least, percent), None, None, 2
-    while True:
-        checked = staged(_confirmed(pairs, sets, percent), "checked")
-        yes, no = checked.filter("linked").select("a", "b"), checked.filter("not linked").select("a", "b")
-        refuted = no if refuted is None else refuted.unionByName(no)
-        if labels is None:
-            labels = staged(components(yes), "labels")
-        elif not yes.isEmpty():
-            labels = staged(joined_components(labels, yes), "labels")
-        near = staged(_candidates(buckets, classes, labels, refuted, least, percent, most), "candidates")
-        if near.isEmpty():
-            break
-        pairs = _nearest(near, most)
-        buckets = staged(buckets.join(near.select("bucket").distinct(), "bucket", "left_semi"), "buckets")
-        most *= 4
-
+    links = staged(_links(_within(members, chunks), least, percent), "links")
+    labels = components(links)
+    if not chunks.filter("chunks > 1").isEmpty():
+        more = staged(_links(_outside(members, chunks, labels), least, percent), "links")
+        labels = staged(joined_components(labels, more), "labels")
+        discarded(more)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    whole = named.join(smallest, "label").select("digest", "component_id")
+    whole = staged(named.join(smallest, "label").select("digest", "component_id"), "components")
+    discarded(members, wanted, links, classes)
+    freed(spark)
     filled = rows.filter("n > 0").join(whole, "digest").select("id", F.col("n").alias("n_shingles"), "component_id")
     return filled.unionByName(rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 

@@ -137,6 +137,33 @@ def test_near_large_buckets_in_chunks(spark, monkeypatch):
     test_near_chains_and_crowds(spark)
 
 
+def test_near_links_grow_with_members(spark, monkeypatch):
+    """Of a crowd with many pairs on both sides of the bound, only links that join components leave the tasks."""
+    monkeypatch.setattr(setsketch_dedup, "CHUNK", 40)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    for members in (100, 200, 400):
+        rows = []
+        for i in range(members):
+            words = list(base)
+            for _ in range(rng.randrange(2, 9)):
+                words[rng.randrange(len(words))] = word()
+            rows.append((i, " ".join(words)))
+        counts = []
+        real = setsketch_dedup.staged
+        monkeypatch.setattr(setsketch_dedup, "staged", lambda df, name: counts.append((name, (out := real(df, name)).count())) or out)  # noqa: B023
+        assert near_rows(spark.createDataFrame(rows, "doc_id bigint, text string"), size=3, percent=85) == sorted(brute_near(rows, 3, 85), key=repr)
+        monkeypatch.setattr(setsketch_dedup, "staged", real)
+        assert sum(n for name, n in counts if name == "links") <= 3 * members, counts
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_bands_follow_the_threshold(percent):
+    width = setsketch_dedup.band_width(percent)
+    assert (1 - (percent / 100) ** width) ** (setsketch_dedup.REGISTERS // width) <= setsketch_dedup.MISSED or width == 1
+
+
 def test_near_table(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, n, c, i == c) for i, n, c in brute_near(rows, 3, 85))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyscope.sources.tables import csv_files, csv_header, text_csv
+from tallyscope.sources.sinks import write_named_csv
+from tallyscope.sources.tables import csv_files, text_csv_groups
 
 # Fixed value: the stem of a file name ends in the year the period ends in.
 YEAR_SUFFIX = r"(\d{4})$"
@@ -34,28 +35,32 @@ def with_reporting_period(df: DataFrame, path: str = "source_file") -> DataFrame
     return df.withColumn("reporting_period", reporting_period(year_from_filename(F.col(path))))
 
 
-def tag_reporting_period(spark: SparkSession, in_dir: str, out_dir: str, multi_line: bool = False) -> DataFrame:
+def tag_reporting_period(spark: SparkSession, in_dir: str, out_dir: str, multi_line: bool = False, single_files: bool = False) -> DataFrame:
     """Every CSV of a folder with a constant ``reporting_period`` column, as all-text CSV.
 
     The output has one folder per input, ``output=<stem>_preprocessed``, so that large files stay
-    split.  Files with the same header are read and written together.  The tagged rows of the inputs
-    are returned as well, with ``output`` telling the files apart.
+    split; with ``single_files`` it is one file per input, ``<stem>_preprocessed.csv``, with the rows in
+    the input's order and the header alone for an input without rows.  Files with the same header are
+    read and written together.  The tagged rows of the inputs are returned as well, with ``output``
+    telling the files apart.
     """
-    by_header: dict[tuple, list[str]] = {}
-    for path in csv_files(spark, in_dir):
-        by_header.setdefault(csv_header(spark, path), []).append(path)
-    if not by_header:
+    groups = text_csv_groups(spark, csv_files(spark, in_dir), multi_line)
+    if not groups:
         raise ValueError(f"no CSV files in {in_dir}")
-    parts = []
-    for paths in by_header.values():
-        part = with_reporting_period(text_csv(spark, paths, multi_line=multi_line, with_file=True), "file_name")
+    tagged = None
+    for rows, files in groups:
         output = F.concat(file_stem(F.col("file_name")), F.lit("_preprocessed"))
-        parts.append(part.withColumn("output", output).drop("file_name"))
-    for part in parts:
-        # one write per header group keeps each output's own columns; a rerun replaces its outputs
-        writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("output").option("header", True).csv(out_dir)
-    tagged = parts[0]
-    for part in parts[1:]:
-        tagged = tagged.unionByName(part, allowMissingColumns=True)
+        if single_files:
+            # a split's rows follow each other in their task
+            placed = rows.withColumns({"_start": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
+            part = with_reporting_period(placed, "file_name").withColumn("output", F.concat(output, F.lit(".csv"))).drop("file_name")
+            names = [f"{path.rsplit('/', 1)[1].rsplit('.', 1)[0]}_preprocessed.csv" for path in files]
+            write_named_csv(part, out_dir, "output", ["_start", "_row"], names)
+            part = part.drop("_start", "_row")
+        else:
+            part = with_reporting_period(rows, "file_name").withColumn("output", output).drop("file_name")
+            # one write per header group keeps each output's own columns; a rerun replaces its outputs
+            writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("output").option("header", True).csv(out_dir)
+        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
     return tagged

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tallyscope.operators import periods, perturb
 from tallyscope.session import fresh_path
-from tallyscope.sources.sinks import export_quoted, write_csv_by
-from tallyscope.sources.tables import csv_parts, parquet_table, text_csv
+from tallyscope.sources.files import renamed, touched
+from tallyscope.sources.sinks import export_quoted, write_csv_by, write_named_csv
+from tallyscope.sources.tables import checked_documents, csv_parts, csv_table, json_documents, parquet_table, text_csv
 
 DATES = ["2023-06-30", "2022-09-14", "2021-03-01", "2020-02-29", "2017-12-31"]
 
@@ -125,17 +126,51 @@ def _tagged_files(spark, folder):
     yearly, source, target = (fresh_path(spark, name) for name in ("yearly", "named", "tagged"))
     files = order_files(spark, folder).withColumn("source", periods.file_stem(F.col("source_file")))
     files.drop("source_file").repartition("source").write.partitionBy("source").option("header", True).csv(yearly)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(yearly).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(path(source))
     for place in csv_parts(spark, yearly):
         stem = place.rsplit("source=", 1)[1].split("/")[0]
-        system.rename(path(place), path(f"{source}/{stem}.csv"))
+        renamed(spark, place, f"{source}/{stem}.csv")
     periods.tag_reporting_period(spark, source, target)
     return text_csv(spark, target)
 
 
+def _named_files(spark, folder):
+    """The same files, each tagged into one file of its own name, read back with their names."""
+    source, target = fresh_path(spark, "named"), fresh_path(spark, "tagged")
+    files = order_files(spark, folder).withColumnRenamed("source_file", "output")
+    write_named_csv(files.withColumn("at", F.col("o_orderkey")), source, order=["at"])
+    periods.tag_reporting_period(spark, source, target, single_files=True)
+    return text_csv(spark, target, with_file=True)
+
+
+def _scanned_declared(spark, folder):
+    """Line items as 1,000 CSV files in two orders of columns, read by declared names and types."""
+    path = fresh_path(spark, "declared")
+    lines = parquet_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag")
+    half = F.col("l_orderkey") % 2
+    lines.filter(half == 0).repartition(500).write.option("header", True).csv(f"{path}/even")
+    lines.filter(half == 1).select(*reversed(lines.columns)).repartition(500).write.option("header", True).csv(f"{path}/odd")
+    return csv_table(spark, path, T.StructType([lines.schema[c] for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")]))
+
+
+def _scanned_json(spark, folder):
+    """A JSON document of its customers for each nation: some cut off, one file empty, one that is no object."""
+    path = fresh_path(spark, "documents")
+    customer, nation = (parquet_table(spark, folder, name) for name in ("customer", "nation"))
+    of = customer.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("customers"))
+    whole = nation.join(of, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(
+        "n_nationkey", F.to_json(F.struct(F.col("n_name").alias("nation"), F.coalesce("customers", F.array()).alias("customers"))).alias("json")
+    )
+    cut = F.when(F.col("n_nationkey") % 5 == 0, F.expr("left(json, length(json) - 3)")).when(F.col("n_nationkey") == 7, "[1]").otherwise(F.col("json"))
+    whole.select(cut.alias("json"), F.format_string("%02d.json", "n_nationkey").alias("output")).repartition("output").write.partitionBy("output").text(path)
+    touched(spark, f"{path}/output=99.json/empty.txt")
+    documents = checked_documents(json_documents(spark, f"{path}/*"), "nation string, customers array<struct<c_custkey:bigint,c_name:string>>")
+    return documents.select("parsed.nation", F.size("parsed.customers").cast("bigint").alias("customers"), F.length("corrupt").cast("bigint").alias("corrupt_length"))
+
+
 QUERIES = {
+    "period_named_files": _named_files,
+    "scan_declared_csv": _scanned_declared,
+    "scan_json_documents": _scanned_json,
     "period_tagged_files": _tagged_files,
     "period_from_file_name": lambda s, d: periods.with_reporting_period(order_files(s, d)).withColumn(
         "year", periods.year_or_null(F.col("source_file"))
@@ -197,6 +232,16 @@ _QUOTED = " || ',' || ".join(f"'\"' || coalesce({c}, '') || '\"'" for c in "col_
 _LINE = "concat_ws('|', l_orderkey, l_linenumber, l_partkey)"
 
 ORACLE = {
+    "period_named_files": _FILES + """SELECT o_orderkey::varchar AS o_orderkey, o_orderstatus, reporting_period,
+      replace(source_file, '.csv', '_preprocessed.csv') AS file_name FROM files""",
+    "scan_declared_csv": "SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem",
+    "scan_json_documents": """WITH texts AS (
+      SELECT n_nationkey, n_name, count(c_custkey) AS n, '{"nation":"' || n_name || '","customers":[' ||
+        coalesce(string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ',') FILTER (c_custkey IS NOT NULL), '') || ']}' AS json
+      FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name)
+      SELECT CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey <> 7 THEN n_name END AS nation,
+        CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey <> 7 THEN n END AS customers,
+        CASE WHEN n_nationkey % 5 = 0 THEN length(json) - 3 WHEN n_nationkey = 7 THEN 3 END + 1 AS corrupt_length FROM texts""",
     "period_from_file_name": _FILES + "SELECT * FROM files",
     "period_counts": _FILES + "SELECT reporting_period, count(*) AS n FROM files GROUP BY 1",
     "period_tagged_files": _FILES + """SELECT o_orderkey::varchar AS o_orderkey, o_orderstatus, reporting_period,

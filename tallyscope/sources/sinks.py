@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tallyscope.sources.files import listed, removed, renamed
 
 
 def _quoted(text: Column) -> Column:
@@ -36,13 +42,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def size_in_mb(df_path: str, spark) -> float:
-    """Bytes below a path in MB."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.getContentSummary(path).getLength() / (1024 * 1024)
-
-
 def by_folder(df: DataFrame, *columns: str) -> DataFrame:
     """Rows brought together by the columns a table is foldered by.
 
@@ -57,6 +56,35 @@ def write_csv_by(df: DataFrame, path: str, *columns: str) -> None:
     by_folder(df, *columns).write.mode("overwrite").partitionBy(*columns).option("header", True).csv(path)
 
 
+def size_in_mb(path: str, spark: SparkSession) -> float:
+    """Bytes of the files below a path in MB."""
+    return sum(listed(spark, path).values()) / (1024 * 1024)
+
+
+def write_named_csv(df: DataFrame, out_dir: str, name: str = "output", order: Sequence[str] = (), empty: Iterable[str] = ()) -> list[str]:
+    """Header CSV files named by the values of the column ``name`` (with their extension), one each.
+
+    In two phases: a Spark job writes all files below a hidden folder, and only when it is done the
+    driver gives them their names, each by one rename that replaces an earlier file.  A job that fails
+    leaves the names as they were, and a repeated job gives the same files.  Each file is written by one
+    task, its rows sorted by the columns ``order``, which are not written; ``empty`` are names that get
+    the header alone unless they have rows.  The names are returned."""
+    spark = df.sparkSession
+    staging = f"{out_dir.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    dealt = df.repartition(name).sortWithinPartitions(name, *order).drop(*order)
+    dealt.write.partitionBy(name).option("header", True).csv(f"{staging}/rows")
+    parts = {unquote(path.rsplit(f"{name}=", 1)[1].split("/")[0]): path for path in listed(spark, f"{staging}/rows")}
+    if missing := sorted(set(empty) - set(parts)):
+        heads = spark.createDataFrame([(one,) for one in missing], f"`{name}` string")
+        header = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r') else c for c in dealt.columns if c != name)
+        heads.select(name, F.lit(header).alias("value")).repartition(name).write.partitionBy(name).text(f"{staging}/heads")
+        parts |= {unquote(path.rsplit(f"{name}=", 1)[1].split("/")[0]): path for path in listed(spark, f"{staging}/heads")}
+    for target, part in parts.items():
+        renamed(spark, part, f"{out_dir.rstrip('/')}/{target}")
+    removed(spark, staging)
+    return sorted(parts)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
     """A catalog table clustered by ``key``.
 

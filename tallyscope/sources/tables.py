@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tallyscope.sources.files import by_header, listed
+
 
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A supplied table."""
@@ -78,44 +78,9 @@ READING_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of a CSV file from its first record, read in the driver without a job.
-
-    A name may hold line breaks inside quotes: lines are added until the quotes are balanced."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        text = reader.readLine()
-        while text is not None and text.count('"') % 2 and (more := reader.readLine()) is not None:
-            text += "\n" + more
-    finally:
-        stream.close()
-    return tuple(next(csv.reader(io.StringIO(text.removeprefix("\ufeff"))))) if text else ()
-
-
 def csv_parts(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     """The files below a path (or paths) that Spark would read, sorted."""
-    paths = [path] if isinstance(path, str) else list(path)
-    found = []
-    for top in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(top)
-        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
-        while files.hasNext():
-            file = files.next().getPath()
-            if not file.getName().startswith(("_", ".")):
-                found.append(file.toString())
-    return sorted(found)
-
-
-def _by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by their column names in order; empty files are left out."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in csv_parts(spark, path):
-        if header := csv_header(spark, file):
-            groups.setdefault(header, []).append(file)
-    return groups
+    return list(listed(spark, path))
 
 
 def _reader(spark: SparkSession, null_value: str | None, multi_line: bool, base: str | None):
@@ -138,7 +103,7 @@ def csv_table(
     With ``multi_line`` cells may hold line breaks, and a file is then read by one task."""
     declared = {field.name: field.dataType for field in schema}
     parts = []
-    for header, files in _by_header(spark, path).items():
+    for header, files in by_header(spark, csv_parts(spark, path)).items():
         missing = [name for name in declared if name not in header]
         if missing:
             raise ValueError(f"{files[0]}: missing columns {missing}")
@@ -151,11 +116,7 @@ def csv_table(
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
     """CSV files directly in a folder, sorted by name."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listing = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
-    return sorted(
-        str(f.getPath().toString()) for f in listing if f.isFile() and f.getPath().getName().lower().endswith(".csv")
-    )
+    return [path for path in listed(spark, folder, deep=False) if path.lower().endswith(".csv")]
 
 
 def reading_tables(
@@ -180,16 +141,27 @@ def text_csv(
     Files are matched by column name: those with the same header are read together, and a column that
     a file lacks is null in its rows.  ``multi_line`` allows line breaks inside quoted cells (a file is
     then read by one task); ``with_file`` adds the decoded name of each row's file as ``file_name``."""
-    parts = []
-    for header, files in _by_header(spark, path).items():
-        schema = T.StructType([T.StructField(name, _TEXT) for name in header])
-        part = _reader(spark, null_value, multi_line, _base(path)).schema(schema).csv(files)
-        parts.append(part.withColumn("file_name", decoded_name()) if with_file else part)
+    groups = by_header(spark, csv_parts(spark, path))
+    parts = [_text_part(spark, header, files, null_value, multi_line, _base(path), with_file) for header, files in groups.items()]
     if not parts:
         raise ValueError(f"no CSV with a header at {path}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _text_part(
+    spark: SparkSession, header: Sequence[str], files: list[str], null_value: str | None = None, multi_line: bool = False,
+    base: str | None = None, with_file: bool = False,
+) -> DataFrame:
+    schema = T.StructType([T.StructField(name, _TEXT) for name in header])
+    part = _reader(spark, null_value, multi_line, base).schema(schema).csv(files)
+    return part.withColumn("file_name", decoded_name()) if with_file else part
+
+
+def text_csv_groups(spark: SparkSession, files: list[str], multi_line: bool = False) -> list[tuple[DataFrame, list[str]]]:
+    """The rows of the files as text with ``file_name``, one table for each header, and the table's files."""
+    return [(_text_part(spark, header, some, multi_line=multi_line, with_file=True), some) for header, some in by_header(spark, files).items()]
+
+
 def decoded_name() -> Column:
     """Name of the file a row was read from, as it is on disk."""
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
@@ -204,6 +176,18 @@ def json_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def checked_documents(documents: DataFrame, schema: str, text: str = "json") -> DataFrame:
+    """The documents with ``parsed`` by the schema, and ``corrupt``: the text of those that are no JSON
+    object of this schema, whose ``parsed`` is null.  A broken response is then told from an empty one,
+    and ``corrupt IS NOT NULL`` counts them.  A null text is neither."""
+    kept = T._parse_datatype_string(schema).add("_corrupt", _TEXT)
+    read = F.from_json(text, kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # text that is white space only parses to null
+    corrupt = F.coalesce(F.col("_read._corrupt"), F.when(F.col("_read").isNull(), F.col(text)))
+    fields = [F.col(f"_read.{field.name}").alias(field.name) for field in kept if field.name != "_corrupt"]
+    return documents.withColumn("_read", read).withColumns({"corrupt": corrupt, "parsed": F.when(corrupt.isNull() & F.col(text).isNotNull(), F.struct(*fields))}).drop("_read")
+
+
 def missing_and_extra(df: DataFrame, template: Sequence[str]) -> tuple[list[str], list[str]]:
     """Columns the template has and the table lacks, and the reverse."""
     return sorted(set(template) - set(df.columns)), sorted(set(df.columns) - set(template))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.operators import periods, perturb
-from tallyscope.sources import sinks, tables
+from tallyscope.sources import files, sinks, tables
 
 TEXTS = ["12", " 12 ", "0012", "+7", "-4", "10", "11", "12.0", "1e3", "inf", ".5", "abc", "True", "1,000", "", "12d", "9" * 30, None]
 
@@ -103,6 +103,57 @@ def test_tagging_a_folder(spark, tmp_path):
     assert one.columns == ["a", "b", "reporting_period"] and one.count() == 2
 
 
+def test_named_output_files(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    lines = "".join(f"{i},row {i}\n" for i in range(5000))
+    (source / "kc 2023.csv").write_text("a,b\n" + lines)
+    (source / "other%20_2022.csv").write_text('c,"d\n,e"\n')
+    (source / "third_2021.csv").write_text("b,c\nq,\n")
+    for _ in range(2):  # a rerun replaces its outputs
+        tagged = periods.tag_reporting_period(spark, str(source), str(target), multi_line=True, single_files=True)
+    visible = sorted(p.name for p in target.iterdir() if not p.name.startswith("."))
+    assert visible == ["kc 2023_preprocessed.csv", "other%20_2022_preprocessed.csv", "third_2021_preprocessed.csv"]
+    whole = "a,b,reporting_period\n" + "".join(f"{i},row {i},2022-2023\n" for i in range(5000))
+    assert (target / visible[0]).read_text() == whole
+    assert (target / visible[1]).read_text() == 'c,"d\n,e",reporting_period\n'
+    assert tagged.count() == 5001 and set(tagged.columns) == {"a", "b", "c", "d\n,e", "reporting_period", "output"}
+
+
+def test_headers_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    import gzip
+
+    texts = {
+        "a.csv": "x,y\n1,2\n", "b.csv": "\ufeffx,y\r\n1,2\r\n", "c.csv": '"x\n1",y\n1,2\n', "d.csv": "", "e.csv": "y,x", "f.csv": '"x\r\n1",y\r\n3,4',
+        "long.csv": ",".join(f"column {i}" for i in range(20_000)) + "\n1\n", "z y%20.csv": "x,y\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "g.csv.gz").write_bytes(gzip.compress(b"x,y\n5,6\n"))
+    names = tables.csv_parts(spark, str(tmp_path))
+    found = {header: [f.rsplit("/", 1)[1] for f in names] for header, names in files.by_header(spark, names).items()}
+    assert found.pop(tuple(f"column {i}" for i in range(20_000))) == ["long.csv"]
+    same = {("x", "y"): ["a.csv", "b.csv", "g.csv.gz", "z y%20.csv"], ("x\n1", "y"): ["c.csv"], ("x\r\n1", "y"): ["f.csv"], ("y", "x"): ["e.csv"]}
+    assert found == same
+    # where tasks cannot open the files, Spark's own reader finds the same headers
+    scanned = {r.file.rsplit("/", 1)[1]: r.record for r in files.scanned_records(spark, names).collect()}
+    direct = {r.file.rsplit("/", 1)[1]: r.record for r in files.first_records(spark, names).collect()}
+    assert {k: v.replace("\r\n", "\n").removeprefix("\ufeff") for k, v in direct.items() if v} == {k: v.removeprefix("\ufeff") for k, v in scanned.items()}
+    monkeypatch.setattr(files, "first_records", lambda spark, names: spark.createDataFrame([(n, None) for n in names], "file string, record string"))
+    assert ("x", "y") in files.by_header(spark, names) and files.by_header(spark, []) == {}
+
+
+def test_broken_documents_are_kept(spark):
+    schema = "a int, b array<string>"
+    texts = ['{"a": 1, "b": ["x"]}', "{}", '{"a": 1, "b"', "[1]", "", "  ", "null", None, '{"a": "x"}', '{"a": 1} trailing']
+    rows = tables.checked_documents(spark.createDataFrame([(t,) for t in texts], "json string"), schema).collect()
+    assert rows[0].parsed == (1, ["x"]) and rows[1].parsed == (None, None) and rows[0].corrupt is None and rows[1].corrupt is None
+    broken = {r.json for r in rows if r.corrupt is not None}
+    assert broken == {'{"a": 1, "b"', "[1]", "", "  ", "null", '{"a": "x"}'}  # the reader stops behind an object
+    assert all(r.parsed is None and r.corrupt == r.json for r in rows if r.json in broken)
+    assert rows[7].parsed is None and rows[7].corrupt is None
+
+
 def test_csv_columns_by_name_and_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n"x\ny",2\n')
     (tmp_path / "b.csv").write_text("b,a\n3,z\n")

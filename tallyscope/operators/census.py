@@ -154,7 +154,8 @@ def _same(left: str, right: str, keys: Sequence[str]) -> Column:
 
 
 def batch_offsets(heads: DataFrame) -> DataFrame:
-    """Start position of every batch that has observations, in batch order; a null number comes first.
+    """Start position ``offset`` and size ``n`` of every batch that has observations, in batch order; a
+    null number comes first.
 
     A batch number that occurs twice in a data set and level is an error: it cannot be told which of
     the two responses counts."""
@@ -163,7 +164,7 @@ def batch_offsets(heads: DataFrame) -> DataFrame:
     repeated = F.raise_error(F.concat(F.lit("repeated batch: "), name)).cast("bigint")
     single = heads.filter("n > 0").groupBy(*key).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_times"))
     sized = single.select(*key, F.when(F.col("_times") > 1, repeated).otherwise(F.col("_n")).alias("n"))
-    return running_offset(sized, "n", "batch_no", GROUP).drop("n")
+    return running_offset(sized, "n", "batch_no", GROUP)
 
 
 def combined_groups(heads: DataFrame) -> DataFrame:
@@ -284,19 +285,40 @@ def layouts(groups: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _areas_met(start: Column, stop: Column) -> Column:
+    """Numbers of the areas whose values lie between two positions."""
+    size = F.col("per_area")
+    return F.sequence(F.call_function("div", start, size), F.call_function("div", stop - 1, size))
+
+
+def _area_codes(batches: DataFrame, areas: DataFrame) -> DataFrame:
+    """``_codes`` of the areas that a batch meets, in order: null where the level's list has no such area.
+
+    Only (batch, area number) rows meet the list, which may be of any size; neither observations nor
+    dimensions go through that join.  A batch meets at most as many areas as it has observations."""
+    key = [*GROUP, "batch_no"]
+    met = batches.filter("per_area IS NOT NULL").select(*key, F.explode(_areas_met(F.col("offset"), F.least(F.col("offset") + F.col("n"), "keep"))).alias("area_no"))
+    named = met.join(areas.select("geo_level", "area_no", "area_code"), ["geo_level", "area_no"], "left")
+    listed = F.sort_array(F.collect_list(F.struct("area_no", "area_code")))
+    return named.groupBy(*key).agg(F.transform(listed, lambda a: a["area_code"]).alias("_codes"))
+
+
 def _pieces() -> Column:
-    """A batch cut at area borders, or whole: array of (area_no, start, part)."""
+    """A batch cut at area borders, or whole: array of (area_no, area_code, start, part)."""
     start, values = F.col("offset"), F.col("observations")
     stop = F.least(start + F.size(values), F.col("keep"))
 
-    def piece(area: Column, low: Column, high: Column) -> Column:
+    def piece(area: Column, code: Column, low: Column, high: Column) -> Column:
         part = F.slice(values, (low - start + 1).cast("int"), (high - low).cast("int"))
-        return F.struct(area.cast("bigint").alias("area_no"), low.alias("start"), part.alias("part"))
+        return F.struct(area.cast("bigint").alias("area_no"), code.alias("area_code"), low.alias("start"), part.alias("part"))
 
     size = F.col("per_area")
-    areas = F.sequence(F.call_function("div", start, size), F.call_function("div", stop - 1, size))
-    cut = F.transform(areas, lambda a: piece(a, F.greatest(a * size, start), F.least((a + 1) * size, stop)))
-    return F.when(size.isNotNull(), cut).otherwise(F.array(piece(F.lit(None), start, stop)))
+    cut = F.transform(
+        _areas_met(start, stop),
+        lambda a, i: piece(a, F.get("_codes", i), F.greatest(a * size, start), F.least((a + 1) * size, stop)),
+    )
+    whole = piece(F.lit(None), F.lit(None).cast("string"), start, stop)
+    return F.when(size.isNotNull(), cut).otherwise(F.array(whole))
 
 
 def _area_cells() -> Column:
@@ -314,26 +336,29 @@ def _area_cells() -> Column:
 def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     """All observations as rows with their cells; see the module text for the columns.
 
-    ``areas`` meets the data once per area (not per cell) and by key, so the list of areas may be
-    of any size.  Whatever does not depend on the single observation is settled before the lists
+    ``areas`` meets one row per batch and area, so the list of areas may be of any size, and the
+    documents are joined once, to one row per batch.  Whatever does not depend on the single observation is settled before the lists
     are exploded; what remains per row is an index into each axis, in generated code.
     """
     heads = batch_heads(responses)
     most = heads.agg(F.max(F.size("dims"))).first()[0] or 0  # how many columns the lookup needs
     laid = layouts(combined_groups(heads), areas).filter(F.col("shape") != "none").alias("g")
     # joined by batch; whether the plan is sent to every executor is left to Spark's size check
-    plan = batch_offsets(heads).alias("o").join(laid, _same("o", "g", GROUP)).filter(F.col("offset") < F.col("keep"))
+    offsets = batch_offsets(heads)
+    key = [*GROUP, "batch_no"]
+    plan = offsets.alias("o").join(laid, _same("o", "g", GROUP)).filter(F.col("offset") < F.col("keep"))
     plan = plan.select("o.*", *[c for c in laid.columns if c not in GROUP]).alias("p")
+    if areas is not None:
+        codes = _area_codes(plan.select(*key, "offset", "n", "per_area", "keep"), areas).alias("c")
+        plan = plan.join(codes, _same("p", "c", key), "left").select("p.*", "_codes").alias("p")
+    else:
+        plan = plan.withColumn("_codes", F.array().cast("array<string>")).alias("p")
     pieces = (
         _lists(responses)
         .alias("l")
-        .join(plan, _same("l", "p", [*GROUP, "batch_no"]))
+        .join(plan, _same("l", "p", key))
         .select(*[f"l.{k}" for k in GROUP], "shape", "first_dim", "axes", "per_area", F.inline(_pieces()))
     )
-    if areas is not None:
-        pieces = pieces.join(areas.select("geo_level", "area_no", "area_code"), ["geo_level", "area_no"], "left")
-    else:
-        pieces = pieces.withColumn("area_code", F.lit(None).cast("string"))
 
     within = F.col("start") - F.coalesce(F.col("area_no") * F.col("per_area"), F.lit(0))
     axes = range(max(most, 1))

@@ -64,15 +64,21 @@ def running_offset(
     return _with_heads(local, heads, keys).withColumn(name, F.col("_local") + F.col("_base")).drop("_part", "_idx", "_local", "_base")
 
 
-def following(df: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str], name: str) -> DataFrame:
+def following(df: DataFrame, key: str, order: Sequence[Column], fields: Sequence[str], name: str, bucket: Column) -> DataFrame:
     """``name``: a struct of ``fields`` of the next row with the same ``key`` by ``order``, or null.
 
-    The next row is looked up inside the partition; only for its last row it is the first row of the
-    next one.  Rows with a null key have no next row."""
-    placed = _placed(df, [key], order).withColumn("_own", F.struct(F.col(key).alias("key"), F.struct(*fields).alias("fields")))
-    inner = W.partitionBy("_part").orderBy("_idx")
-    firsts = placed.filter("_idx = 0").select("_part", "_own")  # one row per partition
-    after = firsts.select("_part", F.lead("_own").over(W.orderBy("_part")).alias("_after"))
-    joined = placed.withColumn("_next", F.lead("_own").over(inner)).join(after, "_part", "left")
-    found = F.coalesce("_next", "_after")
-    return joined.withColumn(name, F.when(found["key"] == F.col(key), found["fields"])).drop("_part", "_idx", "_own", "_next", "_after")
+    ``bucket`` is a whole number, never null, that does not grow along the order (the month, for rows by
+    falling date).  The rows are dealt once, by key and bucket, so the rows of one key are spread over
+    its buckets; the next row is looked up inside the bucket, and the last one of a bucket is followed
+    by the first row of the key's next bucket.  Only these first rows, with no other columns than
+    ``fields``, move a second time.  Rows with a null key have no next row; their bucket should be
+    spread by the caller."""
+    own = W.partitionBy(key, "_bucket").orderBy(*order)
+    dealt = df.withColumn("_bucket", bucket).repartition(key, "_bucket")
+    found = dealt.withColumns({"_own": F.struct(*fields)}).withColumns({"_next": F.lead("_own").over(own), "_n": F.row_number().over(own)})
+    firsts = found.filter((F.col("_n") == 1) & F.col(key).isNotNull()).select(key, "_bucket", "_own")
+    after = F.lead("_own").over(W.partitionBy(key).orderBy(F.col("_bucket").desc()))
+    heads = firsts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_of"), after.alias("_after")).filter("_after IS NOT NULL")
+    joined = found.join(heads, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_of")), "left")
+    last = F.when(F.col(key).isNotNull(), F.coalesce("_next", "_after"))
+    return joined.withColumn(name, last).drop("_bucket", "_own", "_next", "_n", "_key", "_of", "_after")

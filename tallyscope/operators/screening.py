@@ -35,11 +35,15 @@ def add_round_length_columns(df: DataFrame, tie_break: str = "episode_id") -> Da
     """Previous episode of the same person and whether the new offer came within 1095 days of it.
 
     Rows are taken latest offer first, ties by ``tie_break`` descending.  Needs parsed dates (see
-    ``add_uptake_columns``).  Rows without a person have no previous episode.  One sort spreads all
-    rows over the partitions by person and offer, so a person may have any number of rows.
+    ``add_uptake_columns``).  Rows without a person have no previous episode.  The rows are spread by
+    person and month of the offer, so a person may have a large share of all rows.
     """
     order = [F.col("date_of_foa").desc_nulls_last(), F.col(tie_break).desc()]
-    prior = following(df, "nhs_number", order, ["date_of_as", "date_of_foa"], "_prior")
+    offer = F.col("date_of_foa")
+    month = F.coalesce(F.year(offer) * 12 + F.month(offer), F.lit(-(2**31)))
+    # rows without a person are no neighbours: any bucket will do
+    bucket = F.when(F.col("nhs_number").isNull(), F.hash(tie_break)).otherwise(month)
+    prior = following(df, "nhs_number", order, ["date_of_as", "date_of_foa"], "_prior", bucket)
     out = (
         prior.withColumn("prior_date_of_as", F.col("_prior.date_of_as"))
         .withColumn("prior_date_of_foa", F.col("_prior.date_of_foa"))

@@ -108,6 +108,18 @@ def single_dimension_responses(spark, folder) -> DataFrame:
     return topic.select("dataset_id", "geo_level", "batch_no", json.alias("json"))
 
 
+def cut_responses(spark, folder) -> DataFrame:
+    """Matrix responses whose last batch lacks its last two values, so the last area is incomplete."""
+    matrix = matrix_responses(spark, folder, True)
+    last = matrix.agg(F.max("batch_no")).scalar()
+    listed = F.from_json(F.get_json_object("json", "$.observations"), "array<string>")
+    json = F.concat(
+        F.lit('{"dimensions":'), F.get_json_object("json", "$.dimensions"), F.lit(',"observations":'),
+        F.to_json(F.slice(listed, 1, F.size(listed) - F.when(F.col("batch_no") == last, 2).otherwise(0))), F.lit("}"),
+    )
+    return matrix.select("dataset_id", "geo_level", "batch_no", json.alias("json"))
+
+
 def areas(spark, folder) -> DataFrame:
     supplier = parquet_table(spark, folder, "supplier")
     return supplier.select(
@@ -209,6 +221,7 @@ QUERIES = {
     "census_topic_overflow": lambda s, d: _tidy(topic_responses(s, d, True), TOPIC, areas(s, d)),
     "census_topic_overflow_unknown_areas": lambda s, d: _tidy(topic_responses(s, d, True), TOPIC),
     "census_matrix_overflow": lambda s, d: _tidy(matrix_responses(s, d, True), MATRIX, areas(s, d)),
+    "census_matrix_overflow_incomplete": lambda s, d: _tidy(cut_responses(s, d), MATRIX, areas(s, d).filter("area_no % 3 <> 1")),
     "census_area_values": _area_values,
     "census_row_values": _row_values,
     "census_ready_columns": lambda s, d: census.zip_columns(ready_columns(s, d)),
@@ -269,6 +282,10 @@ ORACLE = {
       flag AS returnflag, i::varchar AS returnflag_code, n AS observation FROM topic""",
     "census_matrix_overflow": _BASE + f"""SELECT {_MATRIX_ALL}, {_AREA}, 'S' || s_suppkey AS supplier_code, flag AS returnflag,
       i::varchar AS returnflag_code, status AS linestatus, j::varchar AS linestatus_code, n AS observation FROM matrix""",
+    "census_matrix_overflow_incomplete": _BASE + f"""SELECT {_MATRIX_ALL}, {_AREA},
+      CASE WHEN s_suppkey % 3 = 1 THEN printf('AREA%06d', s_suppkey + 1) ELSE 'S' || s_suppkey END AS supplier_code, flag AS returnflag,
+      i::varchar AS returnflag_code, status AS linestatus, j::varchar AS linestatus_code, n AS observation FROM matrix
+      WHERE s_suppkey < (SELECT max(s_suppkey) FROM supplier)""",
     "census_area_values": _BASE + f"""SELECT {_TOPIC_ALL}, 'Area ' || (s_suppkey + 1) AS la, 'S' || s_suppkey AS la_code,
       i::bigint AS value_index, n AS observation FROM topic""",
     "census_row_values": _BASE + "SELECT s_suppkey * 3 + i AS row_index, n AS observation FROM topic",

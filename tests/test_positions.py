@@ -45,12 +45,26 @@ def test_running_offsets(spark, skewed, step):
     assert len(over_all) == len(rows) and over_all[None] == 0 and max(over_all.values()) <= sum(r[2] for r in rows)
 
 
-def test_following(skewed):
+@pytest.mark.parametrize("bucket", ["0", "cast(i div 7 as int)", "cast(i as int)", "if(k is null, hash(i), cast(i div 100 as int))"])
+def test_following(skewed, bucket):
     rows, df = skewed
-    got = {r["i"]: r["next"] and r["next"]["v"] for r in following(df, "k", [F.col("i").desc()], ["v"], "next").collect()}
+    found = following(df, "k", [F.col("i").desc()], ["v"], "next", F.expr(bucket))
+    assert found.columns == [*df.columns, "next"]
+    got = {r["i"]: r["next"] and r["next"]["v"] for r in found.collect()}
     want = {}
     for key in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == key), key=lambda r: -r[1])
         for row, after in zip(mine, [*mine[1:], None]):
             want[row[1]] = after[2] if after and key is not None else None
     assert got == want
+
+
+def test_following_moves_the_rows_once(skewed):
+    """One exchange of all columns; what else moves has the looked-up field only."""
+    rows, df = skewed
+    found = following(df.withColumn("wide", F.lit("x")), "k", [F.col("i").desc()], ["v"], "next", F.expr("cast(i div 7 as int)"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and "checkpoint" not in plan.lower()
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in executed.splitlines() if "Exchange" in line and "REPARTITION_BY_COL" in line]
+    assert len(wide) <= 2, executed

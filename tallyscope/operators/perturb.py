@@ -6,12 +6,14 @@ partitioning and a retried task repeats it.  One projection per table, no shuffl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import struct
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.functions.draws import unit
-from tallyscope.operators.positions import number_rows
+from tallyscope.session import pin
 
 # The key columns, which are never changed, and the two parameters.
 KEY_COLUMNS = ("kc63_output_by_run_id", "col_b", "col_c")
@@ -87,62 +89,94 @@ def replicate_for_dates(
     return perturb(copies, [*exclude, "as_of"], seed=seed, **options)
 
 
+def order_bits(value: Column) -> Column:
+    """A double that is not negative as the whole number of its bits, which has the same order.
+
+    Infinity comes after all numbers, and then NaN."""
+    e = F.floor(F.log2(value))
+    # the logarithm may round to the wrong side of a power of two
+    e = e - F.when(value < F.pow(F.lit(2.0), e), 1).otherwise(0)
+    e = e + F.when(value >= F.pow(F.lit(2.0), e + 1), 1).otherwise(0)
+    mantissa = ((value / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0**52)).cast("bigint")
+    top = F.lit(2047 << 52)
+    return (
+        F.when(F.isnan(value), top + 1)
+        .when(value == float("inf"), top)
+        .when(value < F.lit(2.0**-1022), (value / F.lit(2.0**-1074)).cast("bigint"))
+        .otherwise(F.shiftleft((e + 1023).cast("bigint"), 52) + mantissa)
+    )
+
+
+def _of_bits(bits: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", bits))[0]
+
+
+def ranked_values(df: DataFrame, wanted: Mapping[str, Sequence[int]]) -> dict[str, dict[int, float]]:
+    """The values of the wanted 0-based ranks of each column of doubles that are not negative or null.
+
+    By selection, digit by digit: a pass counts the values of each column by their next bits, among
+    those that share the bits of a wanted rank so far.  Counts are made in the tasks and only they
+    move, at most 2,048 (in the first pass: exponents and eight more bits) for each column and rank.
+    Five passes find any rank of any number of rows, and no rows are sorted or sent anywhere."""
+    names = list(wanted)
+    state = {(name, rank): (0, rank) for name in names for rank in wanted[name]}  # bits so far, rank among these
+    bits = df.select(*[order_bits(F.col(name)).alias(f"_{i}") for i, name in enumerate(names)])
+    before = 63
+    for shift in (44, 33, 22, 11, 0):
+        open_ = {name: sorted({state[name, rank][0] for rank in wanted[name]}) for name in names}
+        digits = [
+            F.when(F.shiftright(f"_{i}", before).isin(open_[name]), F.shiftright(f"_{i}", shift))
+            for i, name in enumerate(names)
+        ]
+        cells = bits.select(F.posexplode(F.array(*digits)).alias("at", "digit")).filter("digit IS NOT NULL")
+        counts: dict[str, list[tuple[int, int]]] = {}
+        for row in cells.groupBy("at", "digit").count().collect():
+            counts.setdefault(names[row["at"]], []).append((row["digit"], row["count"]))
+        for (name, rank), (prefix, left) in state.items():
+            for digit, count in sorted(counts[name]):
+                if digit >> (before - shift) != prefix:
+                    continue
+                if left < count:
+                    state[name, rank] = digit, left
+                    break
+                left -= count
+        before = shift
+    return {name: {rank: _of_bits(state[name, rank][0]) for rank in wanted[name]} for name in names}
+
+
 def perturbation_report(
     new: DataFrame, old: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of the absolute differences, rounded
-    to whole numbers: one row per column.  Raises on cells that are not numbers.
+    to whole numbers: one row per column that has differences.  Raises on cells that are not numbers.
 
-    The quartiles interpolate between two ranked values.  Ranks come from a distributed sort, so a
-    column's values are never gathered in one task.
+    The quartiles interpolate between two ranked values, which are found by ``ranked_values``: a
+    column's values are never gathered, sorted or dealt by the column's name.
     """
     columns = list(columns or [c for c in old.columns if c not in keys])
     joined = new.select(*keys, *[F.col(c).cast("double").alias(f"new_{c}") for c in columns]).join(
         old.select(*keys, *[F.col(c).cast("double").alias(f"old_{c}") for c in columns]), list(keys)
     )
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.abs(F.col(f"new_{c}") - F.col(f"old_{c}")).alias("diff"))
-            for c in columns
-        ]
-    )
-    diffs = joined.select(*keys, F.inline(pairs)).filter(F.col("diff").isNotNull())
-    # the differences are computed once: everything below reads the numbered (checkpointed) rows
-    ranked = number_rows(diffs, [F.col("diff"), *[F.col(k) for k in keys]], ["column"], "rank")
-    moments = ranked.groupBy("column").agg(
-        F.count("diff").alias("count"),
-        F.avg("diff").alias("mean"),
-        F.stddev_samp("diff").alias("std"),
-        F.min("diff").alias("min"),
-        F.max("diff").alias("max"),
-    )
-    sized = ranked.join(moments.select("column", "count"), "column")
-
-    def at(share: float, edge) -> Column:
-        place = edge(F.lit(share) * (F.col("count") - 1)).cast("bigint")
-        return F.max(F.when(F.col("rank") == place, F.col("diff")))
-
+    # computed once: the passes below read the checkpointed differences
+    diffs = pin(joined.select(*[F.abs(F.col(f"new_{c}") - F.col(f"old_{c}")).alias(c) for c in columns]))
+    statistics = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    moments = diffs.agg(*[of(F.col(c)).alias(f"{name} {i}") for i, c in enumerate(columns) for name, of in statistics.items()]).first()
+    found = {c: {name: moments[f"{name} {i}"] for name in statistics} for i, c in enumerate(columns)}
+    found = {c: stats for c, stats in found.items() if stats["count"]}
     shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    picked = sized.groupBy("column").agg(
-        *[at(share, F.floor).alias(f"{name}_low") for name, share in shares.items()],
-        *[at(share, F.ceil).alias(f"{name}_high") for name, share in shares.items()],
-    )
-    whole = lambda value: F.bround(value, 0)
-
-    def quartile(name: str, share: float) -> Column:
-        place = F.lit(share) * (F.col("count") - 1)
-        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        return whole(low + (high - low) * (place - F.floor(place))).alias(name)
-
-    return moments.join(picked, "column").select(
-        "column",
-        "count",
-        whole(F.col("mean")).alias("mean"),
-        whole(F.col("std")).alias("std"),
-        whole(F.col("min")).alias("min"),
-        *[quartile(name, share) for name, share in shares.items()],
-        whole(F.col("max")).alias("max"),
-    )
+    places = {c: {name: share * (stats["count"] - 1) for name, share in shares.items()} for c, stats in found.items()}
+    ranks = {c: sorted({edge(at) for at in of.values() for edge in (math.floor, math.ceil)}) for c, of in places.items()}
+    values = ranked_values(diffs, ranks) if ranks else {}
+    rows = []
+    for c, stats in found.items():
+        quartiles = {}
+        for name, at in places[c].items():
+            low, high = values[c][math.floor(at)], values[c][math.ceil(at)]
+            quartiles[name] = low if low == high else low + (high - low) * (at - math.floor(at))
+        rows.append((c, stats["count"], stats["mean"], stats["std"], stats["min"], *quartiles.values(), stats["max"]))
+    names = ["mean", "std", "min", *shares, "max"]
+    table = old.sparkSession.createDataFrame(rows, "column string, count bigint, " + ", ".join(f"{name} double" for name in names))
+    return table.select("column", "count", *[F.bround(name, 0).alias(name) for name in names])
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:

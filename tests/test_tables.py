@@ -55,6 +55,29 @@ def test_report_equals_linear_quartiles(spark):
         assert row[name] == np.round(value), name
 
 
+def test_ranked_values_of_every_size(spark):
+    """Ranks among ties, tiny and huge numbers, zeros, infinity and NaN."""
+    rng = np.random.default_rng(7)
+    a = np.concatenate([rng.uniform(0, 1, 300), rng.integers(0, 4, 500), 2.0 ** rng.integers(-1074, 1023, 200), np.nextafter(2.0 ** rng.integers(-60, 60, 100), 0), [0.0, 5e-324, 1.7976931348623157e308, np.inf, 2.0**-1022]])
+    b = np.where(np.arange(len(a)) % 3 == 0, np.nan, 7.25)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(6)
+    ranks = list(range(0, len(a), 37)) + [len(a) - 1]
+    got = perturb.ranked_values(df, {"a": ranks, "b": ranks})
+    for name, values in (("a", np.sort(a)), ("b", np.sort(b))):  # NaN sorts last in both
+        for rank in ranks:
+            assert got[name][rank] == values[rank] or np.isnan(values[rank]) and np.isnan(got[name][rank]), (name, rank)
+    with_nulls = df.select(perturb.F.when(df["a"] >= 1, df["a"]).alias("a"))
+    assert perturb.ranked_values(with_nulls, {"a": [0]}) == {"a": {0: 1.0}}
+
+
+def test_report_of_few_rows(spark):
+    one = spark.createDataFrame([("1", "4", None, "1")], "k string, v string, w string, x string")
+    two = spark.createDataFrame([("1", "9", "1", "1")], "k string, v string, w string, x string")
+    rows = {r["column"]: r for r in perturb.perturbation_report(one, two, ["k"]).collect()}
+    assert set(rows) == {"v", "x"} and (rows["v"]["p25"], rows["v"]["max"], rows["v"]["std"], rows["x"]["p50"]) == (5.0, 5.0, None, 0.0)
+    assert perturb.perturbation_report(one.limit(0), two, ["k"]).count() == 0
+
+
 def test_report_refuses_words(spark):
     df = spark.createDataFrame([("1", "word")], "k string, v string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):

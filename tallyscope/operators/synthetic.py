@@ -22,8 +22,10 @@ AUTHORISERS = ("GP", "SCREENING_OFFICE")
 RADIOTHERAPY_REASONS = ("RADIOTHERAPY_BELOW_30", "RADIOTHERAPY_LOWER", "RADIOTHERAPY_UPPER")
 GENE_REASONS = ("BRCA_RISK", "BRCA_TESTED", "HR_GENE_UNTESTED", "OTHER_GENE_MUTATIONS")
 
-# Entries of a code list, at most.
+# Entries of a code list that is drawn from in a projection; longer lists are joined by slot.
 MOST_CODES = 100_000
+# Parts of equal chance that every group of rows to draw from is cut into.
+SLOTS = 256
 
 EPISODE, PERSON = "episode_id", "nhs_number"
 
@@ -41,48 +43,77 @@ def explode_by(df: DataFrame, count: str, order: str, n: int | None = None, posi
     return numbered if n is None else numbered.filter(F.col(position) < n)
 
 
+def _slots(dim: DataFrame, columns: Sequence[str], match: str | None) -> DataFrame:
+    """(_group, _slot, _first, _size, _rows): for each slot of a group's chances the rows it may hit, in order.
+
+    A group of n rows has n / ``SLOTS`` of them in a slot, and a small group the same row in several."""
+    keys = [match] if match else []
+    numbered = number_rows(dim, [F.col(c) for c in columns], keys, "_number")
+    sizes = dim.groupBy(*[F.col(k).alias("_of") for k in keys]).agg(F.count(F.lit(1)).alias("_size"))
+    sized = numbered.join(sizes, F.col(match) == F.col("_of")) if match else numbered.withColumn("_size", F.lit(sizes.scalar()))
+    # one slot more at either end, as a product may round up to the next row
+    low = F.greatest(F.expr(f"-((-_number * {SLOTS}L) div _size) - 2"), F.lit(0))
+    high = F.least(F.expr(f"((_number + 1) * {SLOTS}L) div _size"), F.lit(SLOTS - 1))
+    placed = sized.select(*[F.col(k).alias("_group") for k in keys], "_size", "_number", F.struct(*columns).alias("_row"), F.explode(F.sequence(low, high)).alias("_slot"))
+    listed = F.sort_array(F.collect_list(F.struct("_number", "_row")))
+    return placed.groupBy(*["_group" for _ in keys], "_slot").agg(
+        F.min("_number").alias("_first"), F.first("_size").alias("_size"), F.transform(listed, lambda x: x["_row"]).alias("_rows")
+    )
+
+
 def assign_from(
     df: DataFrame, dim: DataFrame, key: Column, name: str, seed, match: str | None = None
 ) -> DataFrame:
     """One row of ``dim`` per key, drawn evenly; with ``match``, among the rows of the same group.
 
-    ``dim`` is numbered, the draw picks a number, and a join fetches it: ``dim`` may be of any size
-    (Spark broadcasts it if it is small).  Nulls where the group is empty.
+    Drawn in two steps: the draw falls into one of ``SLOTS`` slots of its group, which the rows of ``df``
+    know without looking anything up, and a join by (group, slot) fetches the few rows that the slot can
+    hit.  A group with most of ``df`` is so spread over its slots, and ``dim`` may be of any size.
+    Nulls where the group is empty.
     """
     columns = [c for c in dim.columns if c != match]
-    keys = [match] if match else []
-    numbered = number_rows(dim, [F.col(c) for c in columns], keys, "_number")
-    numbered = numbered.select(*[F.col(k).alias("_group") for k in keys], "_number", *columns)
-    if match:
-        sizes = dim.groupBy(F.col(match).alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
-        sized = df.join(sizes, F.col(match) == F.col("_of"), "left").drop("_of")
-    else:
-        sized = df.withColumn("_size", dim.agg(F.count(F.lit(1)).alias("n")).scalar())
-    drawn = sized.withColumn("_draw", F.floor(unit(key, name, seed) * F.col("_size")).cast("bigint"))
-    same = F.col("_draw") == F.col("_number")
+    drawn = df.withColumn("_draw", unit(key, name, seed)).withColumn("_at", F.floor(F.col("_draw") * SLOTS).cast("bigint"))
+    same = F.col("_at") == F.col("_slot")
     if match:
         same = same & (F.col(match) == F.col("_group"))
-    return drawn.join(numbered, same, "left").drop("_size", "_draw", "_number", "_group")
+    joined = drawn.join(_slots(dim, columns, match), same, "left")
+    place = (F.floor(F.col("_draw") * F.col("_size")).cast("bigint") - F.col("_first")).cast("int")
+    found = joined.withColumn("_row", F.get("_rows", place))
+    return found.withColumns({c: F.col(f"_row.{c}") for c in columns}).drop("_draw", "_at", "_slot", "_group", "_first", "_size", "_rows", "_row")
 
 
 def drawn_code(codes: DataFrame, key: Column, name: str, seed) -> Column:
     """One value of a single-column code list, drawn evenly by the key: a projection without a join.
 
-    The list is one sorted array, as code lists have at most ``MOST_CODES`` entries; a longer one is an
-    error.  Repeated codes are drawn as often as they occur, nulls are no codes, and an empty list gives null."""
-    listed = codes.agg(F.sort_array(F.collect_list(codes.columns[0])).alias("codes"))
+    The list is one sorted array; a list of more than ``MOST_CODES`` entries is an error here (see
+    ``assign_from``).  Repeated codes are drawn as often as they occur, nulls are no codes, and an empty
+    list gives null."""
+    some = codes.limit(MOST_CODES + 1)  # no more is ever gathered
+    listed = some.agg(F.sort_array(F.collect_list(codes.columns[0])).alias("codes"), F.count(F.lit(1)).alias("n"))
     too_long = F.raise_error(F.lit(f"more than {MOST_CODES} codes")).cast("array<string>")
-    listed = listed.select(F.when(F.size("codes") > MOST_CODES, too_long).otherwise(F.col("codes")).alias("codes")).scalar()
+    listed = listed.select(F.when(F.col("n") > MOST_CODES, too_long).otherwise(F.col("codes")).alias("codes")).scalar()
     return F.get(listed, F.floor(unit(key, name, seed) * F.size(listed)).cast("int"))
 
 
+def with_code(df: DataFrame, codes: DataFrame, key: Column, name: str, seed, column: str) -> DataFrame:
+    """``column``: a code drawn as by ``drawn_code``, from a list of any length.
+
+    Lists of up to ``MOST_CODES`` entries are drawn from in a projection, longer ones by ``assign_from``;
+    the draws are the same."""
+    listed = codes.select(F.col(codes.columns[0]).alias(column)).filter(F.col(column).isNotNull())
+    if listed.limit(MOST_CODES + 1).count() <= MOST_CODES:
+        return df.withColumn(column, drawn_code(listed, key, name, seed))
+    return assign_from(df, listed, key, name, seed)
+
+
 def _code_from(df, mapping, name, seed, when: Column, otherwise: Column | None, skip: str | None = None, key=EPISODE):
     """Column ``name``: a drawn code of the mapping where ``when`` holds, else ``otherwise``."""
     codes = mapping.select("code")
     if skip is not None:
         codes = codes.filter(F.col("code") != skip)
     other = F.lit(None).cast("string") if otherwise is None else otherwise
-    return df.withColumn(name, F.when(when, drawn_code(codes, F.col(key), f"{name}_code", seed)).otherwise(other))
+    drawn = with_code(df, codes, F.col(key), f"{name}_code", seed, "_code")
+    return drawn.withColumn(name, F.when(when, F.col("_code")).otherwise(other)).drop("_code")
 
 
 # --- episodes --------------------------------------------------------------------------------
@@ -174,7 +205,7 @@ def end_code_last_updated(df: DataFrame) -> DataFrame:
 def bso_organisation_code(df: DataFrame, organisations: DataFrame, seed) -> DataFrame:
     """One organisation per person."""
     codes = organisations.select("bso_organisation_code")
-    return df.withColumn("bso_organisation_code", drawn_code(codes, F.col(PERSON), "bso", seed))
+    return with_code(df, codes, F.col(PERSON), "bso", seed, "bso_organisation_code")
 
 
 def bso_batch_id(df: DataFrame, seed) -> DataFrame:

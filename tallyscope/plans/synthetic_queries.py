@@ -11,6 +11,7 @@ from tallyscope.functions.draws import bernoulli, choose, uniform_date, uniform_
 from tallyscope.functions.rules import add_months
 from tallyscope.operators import synthetic as syn
 from tallyscope.plans.table_queries import draw
+from tallyscope.session import fresh_path
 from tallyscope.sources.tables import LazyTables, check_header, parquet_table
 
 SEED = 5
@@ -151,7 +152,10 @@ SUBJECT_COLUMNS = """nhs_number change_db_date_time bso_organisation_code early_
 
 
 def _combined(spark, folder):
-    made = episodes(spark, folder)
+    """The episodes are written once, as a table that the subjects are made from and joined to."""
+    path = fresh_path(spark, "episodes")
+    episodes(spark, folder).write.parquet(path)
+    made = spark.read.parquet(path)
     return syn.combine(syn.gen_subjects(made, mappings(spark, folder), SEED, ["row_no"]), made)
 
 

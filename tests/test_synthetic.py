@@ -42,6 +42,35 @@ def test_codes_are_drawn_evenly_without_a_join(spark, monkeypatch):
         spark.range(3).withColumn("x", syn.drawn_code(codes, F.col("id"), "x", 1)).collect()
 
 
+@pytest.mark.parametrize("size", [1, 2, 255, 256, 257, 1000, 5000])
+def test_slots_give_every_row_its_number(spark, size):
+    """The two steps draw the same rows as one product with the size of the list."""
+    dim = spark.range(size).select(F.format_string("c%06d", "id").alias("code"), F.col("id").alias("no"))
+    df = spark.range(3000).select("id", unit(F.col("id"), "x", 1).alias("u"))
+    rows = syn.assign_from(df, dim, F.col("id"), "x", 1).collect()
+    assert len(rows) == 3000 and all(r["no"] == int(r["u"] * size) for r in rows)
+
+
+def test_slots_at_their_edges(spark, monkeypatch):
+    """Draws on and just below every border between rows and slots."""
+    borders = [k / 256 for k in range(256)] + [k / 7 for k in range(7)] + [0.1, 1 / 3]
+    draws = sorted({max(0.0, x + e) for x in borders for e in (0.0, -1e-16, 1e-16, -2**-32)})
+    monkeypatch.setattr(syn, "unit", lambda key, name, seed: key)
+    for size in (7, 300):
+        dim = spark.range(size).select(F.col("id").alias("no"))
+        rows = syn.assign_from(spark.createDataFrame([(x,) for x in draws], "u double"), dim, F.col("u"), "x", 1).collect()
+        assert [(r["u"], r["no"]) for r in rows if r["no"] != int(r["u"] * size)] == []
+
+
+def test_long_code_lists(spark):
+    codes = spark.range(200_000).select(F.format_string("c%07d", "id").alias("code"))
+    df = spark.range(5000).select(F.col("id").alias("episode_id"))
+    got = syn.with_code(df, codes, F.col("episode_id"), "x", 1, "code").withColumn("u", unit(F.col("episode_id"), "x", 1))
+    assert all(int(r["code"][1:]) == int(r["u"] * 200_000) for r in got.collect())
+    mapped = syn.episode_type(df, codes.union(codes.limit(0)), 1).groupBy((F.col("episode_type") == "R").alias("routine")).count()
+    assert {r["routine"]: r["count"] for r in mapped.collect()}[False] > 800
+
+
 def test_offers_go_back_three_times_only(spark):
     made = spark.range(500).select((F.col("id") / 5).cast("bigint").alias("nhs_number"), F.col("id").alias("episode_id"), F.lit(True).alias("appointment_made"))
     rows = syn.date_of_foa(made, 1).withColumn("turn", F.col("episode_id") % 5)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tallyscope.operators import events as ev
 from tallyscope.session import fresh_path
 from tallyscope.sources.sinks import write_jsonl
 from tallyscope.sources.tables import parquet_table
-from tallyscope.streaming.landing import compact, land_events
+from tallyscope.streaming.landing import compact, land_events, read_landed
 
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -32,32 +33,55 @@ def _round_trip(spark, folder):
     return ev.unnest_payload(ev.read_events(spark, path))
 
 
-def _land(spark, folder, out):
+def _stream(spark, folder, files=1):
+    """The supplied events as a stream of files, one to a micro-batch."""
     supplied = parquet_table(spark, folder, "events")
-    stream = (
-        spark.readStream.schema(supplied.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(folder)
-    )
-    land_events(_as_events(stream), out, fresh_path(spark, "offsets")).awaitTermination()
+    path = fresh_path(spark, "arriving")
+    supplied.repartition(files, "event_id").write.parquet(path)
+    return _as_events(spark.readStream.schema(supplied.schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
 def _landed(spark, folder):
     out = fresh_path(spark, "landed")
-    _land(spark, folder, out)
-    return ev.unnest_payload(ev.read_events(spark, out))
+    land_events(_stream(spark, folder), out, fresh_path(spark, "offsets")).awaitTermination()
+    return ev.unnest_payload(read_landed(spark, out, ev.EVENT_SCHEMA))
 
 
 def _landed_sizes(spark, folder):
     """How many data sets hold how many events."""
     out = fresh_path(spark, "landed")
-    _land(spark, folder, out)
-    landed = spark.read.schema(ev.EVENT_SCHEMA + ", dataset string").json(out)
-    sizes = landed.groupBy("dataset").agg(F.count(F.lit(1)).alias("events"))
+    land_events(_stream(spark, folder), out, fresh_path(spark, "offsets")).awaitTermination()
+    sizes = read_landed(spark, out, ev.EVENT_SCHEMA).groupBy("dataset").agg(F.count(F.lit(1)).alias("events"))
     return sizes.groupBy("events").agg(F.count(F.lit(1)).alias("datasets"))
 
 
+def land_restarted(spark, stream, out, stops):
+    """Lands a stream that stops at each (step, batch) of ``stops`` once, and is started again."""
+    offsets, left = fresh_path(spark, "offsets"), set(stops)
+
+    def stop(step, batch):
+        if (step, batch) in left:
+            left.discard((step, batch))
+            raise RuntimeError(f"stopped when {step}")
+
+    while True:
+        try:
+            land_events(stream, out, offsets, after=stop).awaitTermination()
+            return
+        except StreamingQueryException as error:
+            if "stopped when" not in str(error):
+                raise
+
+
+def _landed_restarted(spark, folder):
+    """Events of eight files; batches that stop before and behind their manifest are replayed, and a
+    folder that no manifest names is not read."""
+    out = fresh_path(spark, "landed")
+    write_jsonl(events(spark, folder).limit(5), f"{out}/data/3-unnamed/dataset=unfinished")
+    land_restarted(spark, _stream(spark, folder, 8), out, [("written", 2), ("named", 4), ("written", 4)])
+    return ev.unnest_payload(read_landed(spark, out, ev.EVENT_SCHEMA))
+
+
 def _compacted(spark, folder):
     small, large = fresh_path(spark, "small"), fresh_path(spark, "compacted")
     write_jsonl(events(spark, folder).repartition(40), small)
@@ -71,6 +95,7 @@ QUERIES = {
     "event_json_lines": _round_trip,
     "event_landed": _landed,
     "event_landed_sizes": _landed_sizes,
+    "event_landed_restarted": _landed_restarted,
     "event_compacted": _compacted,
 }
 
@@ -83,6 +108,7 @@ ORACLE = {
     "event_unnested": _UNNESTED,
     "event_json_lines": _UNNESTED,
     "event_landed": _UNNESTED,
+    "event_landed_restarted": _UNNESTED,
     "event_landed_sizes": """SELECT events, count(*) AS datasets FROM (SELECT count(*) AS events FROM (
       SELECT (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS chunk FROM events) GROUP BY chunk) GROUP BY 1""",
     "event_compacted": _UNNESTED,

@@ -34,6 +34,11 @@ def listed(spark: SparkSession, path: str | Sequence[str], deep: bool = True) ->
     return dict(sorted(found.items()))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _system(spark, path)
+    return system.exists(place)
+
+
 def renamed(spark: SparkSession, source: str, target: str) -> None:
     """Gives a file its final name, in place of an earlier file of that name."""
     place, system = _system(spark, source)

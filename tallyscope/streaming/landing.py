@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import math
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyscope.operators.positions import number_rows
-from tallyscope.sources.sinks import size_in_mb
+from tallyscope.sources.files import exists, listed
 
 # Messages per data set, and the name of a landed data set.
 MAX_MESSAGES = 1000
 DATASET_PREFIX = "raw-nsp-events"
 DATASET_TIME = "yyyy-MM-dd--HH-mm-ss"
 NO_TIME = "0000-00-00--00-00-00"
+MANIFEST = "batch bigint, attempt string"
 
 
 def dataset_name(moment: Column, identity: Column, prefix: str = DATASET_PREFIX) -> Column:
@@ -42,18 +44,31 @@ def in_datasets(batch: DataFrame, batch_id: int, max_messages: int = MAX_MESSAGE
 
 
 def land_events(
-    stream: DataFrame, out: str, checkpoint: str, max_messages: int = MAX_MESSAGES
+    stream: DataFrame, out: str, checkpoint: str, max_messages: int = MAX_MESSAGES,
+    after: Callable[[str, int], None] | None = None,
 ) -> StreamingQuery:
-    """Write the stream as JSON-lines data sets until it is drained.
+    """Write the stream as JSON-lines data sets until it is drained; ``read_landed`` reads them.
 
-    Each micro-batch writes data sets of its own, each by one task.  The source offsets are
-    committed after the write; a batch that is replayed overwrites exactly its own data sets.
+    Each attempt at a micro-batch writes its data sets, each by one task, below a folder of its own and
+    then a manifest of one row that names the folder.  Manifests are added, never changed.  A writer
+    that stops before its manifest, or a second one at the same batch, is therefore never seen: a reader
+    takes one attempt of each batch, and all attempts of a batch hold the same events.  The source
+    offsets are committed after the manifest, so a stop in between replays the batch.
+
+    ``after(step, batch)`` is called when the data sets (``written``) and the manifest (``named``) of a
+    batch are there; an error raised in it stops the query at that place.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        attempt = f"{batch_id}-{uuid.uuid4().hex}"
         named = in_datasets(batch, batch_id, max_messages).repartition("dataset")
-        writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("dataset").json(out)
+        named.write.partitionBy("dataset").json(f"{out}/data/{attempt}")
+        if after:
+            after("written", batch_id)
+        manifest = batch.sparkSession.createDataFrame([(batch_id, attempt)], MANIFEST)
+        manifest.coalesce(1).write.json(f"{out}/manifest/{attempt}")
+        if after:
+            after("named", batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -63,12 +78,36 @@ def land_events(
     )
 
 
+def committed(spark: SparkSession, out: str) -> list[str]:
+    """The data folders that count: of each batch the attempt that comes first by name."""
+    if not exists(spark, f"{out}/manifest"):
+        return []
+    manifests = spark.read.schema(MANIFEST).json(f"{out}/manifest/*")
+    chosen = manifests.groupBy("batch").agg(F.min("attempt").alias("attempt")).orderBy("batch")
+    return [f"{out}/data/{row.attempt}" for row in chosen.collect()]
+
+
+def read_landed(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """Rows of all committed data sets, with their name as ``dataset``."""
+    schema = f"{schema}, dataset string"
+    folders = committed(spark, out)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    # data set folders are columns; the folders of attempts are not
+    rows = spark.read.schema(schema.rsplit(",", 1)[0]).option("recursiveFileLookup", True).json(folders)
+    name = F.regexp_extract(F.col("_metadata.file_path"), "/dataset=([^/]+)/[^/]*$", 1)
+    return rows.withColumn("dataset", F.url_decode(name))
+
+
 def compact(spark: SparkSession, source: str, target: str, target_mb: float = 128.0) -> int:
     """Rewrite a folder of many small text files (JSON lines, say) as files of about ``target_mb``.
 
-    Lines stay as they are.  Returns the number of files asked for.
+    Small files are packed into read splits of that size, and larger ones cut at lines, by the scan
+    itself: each split is written by the task that reads it, without a shuffle.  Lines stay as they
+    are.  Returns the number of files written.
     """
-    files = max(1, math.ceil(size_in_mb(source, spark) / target_mb))
-    reader = spark.read.option("recursiveFileLookup", True)
-    reader.text(source).repartition(files).write.mode("overwrite").text(target)
-    return files
+    packed = spark.newSession()  # the sizes hold for this scan only
+    for name, value in {"maxPartitionBytes": max(1, int(target_mb * 1024 * 1024)), "openCostInBytes": 0, "minPartitionNum": 1}.items():
+        packed.conf.set(f"spark.sql.files.{name}", str(value))
+    packed.read.option("recursiveFileLookup", True).text(source).write.mode("overwrite").text(target)
+    return len(listed(spark, target))

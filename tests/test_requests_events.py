@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators import catalog, events, requests as req
 from tallyscope.sources.sinks import jsonl_name, size_in_mb, write_jsonl
-from tallyscope.streaming.landing import compact, in_datasets, land_events
+from tallyscope.plans.event_queries import land_restarted
+from tallyscope.streaming.landing import committed, compact, in_datasets, land_events, read_landed
 
 def make_events(spark, n_events, n_pairs):
     """Events 0 to n_events - 1 with n_pairs one-key maps each."""
@@ -132,18 +133,33 @@ def test_landing_is_idempotent_and_drains(spark, tmp_path):
         stream = spark.readStream.schema(events.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(source)
         land_events(stream, out, offsets, 400).awaitTermination()
 
+    def names():
+        return {r["dataset"] for r in read_landed(spark, out, events.EVENT_SCHEMA).select("dataset").distinct().collect()}
+
+    assert read_landed(spark, out, events.EVENT_SCHEMA).count() == 0  # nothing there yet
     land()
-    first = {p.name for p in (tmp_path / "out").glob("dataset=*")}
-    landed = events.read_events(spark, out)
+    first, landed = names(), read_landed(spark, out, events.EVENT_SCHEMA)
     assert (landed.count(), landed.select("id").distinct().count()) == (2500, 2500)
-    assert all(name.startswith("dataset=raw-nsp-events--20") for name in first)
+    assert all(name.startswith("raw-nsp-events--20") for name in first)
     land()  # nothing new
-    assert {p.name for p in (tmp_path / "out").glob("dataset=*")} == first
+    assert names() == first
     make_events(spark, 2600, 1).filter("id >= 2500").write.mode("append").json(source)
     land()
-    assert events.read_events(spark, out).select("id").distinct().count() == 2600
-    sizes = spark.read.schema(events.EVENT_SCHEMA + ", dataset string").json(out).groupBy("dataset").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 400
+    landed = read_landed(spark, out, events.EVENT_SCHEMA)
+    assert landed.select("id").distinct().count() == landed.count() == 2600
+    assert landed.groupBy("dataset").count().agg(F.max("count")).first()[0] <= 400
+
+
+@pytest.mark.parametrize("stops", [[("written", 0)], [("named", 1)], [("written", 1), ("named", 1), ("named", 2)], [("written", b) for b in range(4)]])
+def test_stopped_landings_are_replayed_once(spark, tmp_path, stops):
+    source, out = str(tmp_path / "source"), str(tmp_path / "out")
+    make_events(spark, 900, 1).repartition(4).write.json(source)
+    stream = spark.readStream.schema(events.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(source)
+    land_restarted(spark, stream, out, stops)
+    # every stopped attempt left a folder, and none of them counts twice
+    assert len(list((tmp_path / "out" / "data").iterdir())) == 4 + len(stops) and len(committed(spark, out)) == 4
+    landed = read_landed(spark, out, events.EVENT_SCHEMA)
+    assert sorted(r["id"] for r in landed.select("id").collect()) == list(range(900))
 
 
 def test_a_replayed_batch_gets_the_same_names(spark):
@@ -153,10 +169,14 @@ def test_a_replayed_batch_gets_the_same_names(spark):
     assert names[0][0].startswith("raw-nsp-events--2024-05-06--07-08-09--")
 
 
-def test_compaction_keeps_every_line(spark, tmp_path):
+@pytest.mark.parametrize("parts,share", [(25, 3.5), (25, 1), (2, 9)])
+def test_compaction_keeps_every_line(spark, tmp_path, parts, share):
     small, large = str(tmp_path / "small"), str(tmp_path / "large")
-    write_jsonl(make_events(spark, 500, 4).repartition(25), small)
-    files = compact(spark, small, large, target_mb=size_in_mb(small, spark) / 3.5)
-    assert files == 4 and len(list((tmp_path / "large").glob("part-*"))) == 4
+    write_jsonl(make_events(spark, 2000, 4).repartition(parts), small)
+    target = size_in_mb(small, spark) / share
+    files = compact(spark, small, large, target_mb=target)
+    sizes = [p.stat().st_size for p in (tmp_path / "large").glob("part-*")]
+    assert share <= files == len(sizes) <= 2 * share + 1 and max(sizes) <= target * 1024 * 1024 * 1.05
     before, after = spark.read.text(small), spark.read.text(large)
     assert before.exceptAll(after).count() == 0 and after.exceptAll(before).count() == 0
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != "0"

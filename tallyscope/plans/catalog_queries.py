@@ -187,7 +187,7 @@ def _read_batches(spark, folder):
     """Batch files whose columns come in two orders, read as one table."""
     path = fresh_path(spark, "batches")
     orders = parquet_table(spark, folder, "orders").select(F.col("o_orderkey").alias("area"), F.col("o_orderstatus").alias("status"))
-    for status, columns in (("F", ["area", "status"]), ("O", ["status", "area"])):
+    for status, columns in (("F", ["area", "status"]), ("O", ["status", "area"]), ("P", ["area", "status"])):
         orders.filter(F.col("status") == status).select(*columns).write.mode("append").option("header", True).csv(path)
     return req.read_filter_batches(spark, path).drop("file_name")
 
@@ -327,7 +327,7 @@ ORACLE = {
       WHEN levels = 1 AND oa AND skipped > 0 THEN 'Output Area (OA) level data is not available for all datasets.' END AS hint FROM counted""",
     "request_combined_batches": """SELECT o_orderkey AS area, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS observation,
       CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS file_no, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS note FROM orders""",
-    "request_read_batches": "SELECT o_orderkey::varchar AS area, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('F', 'O')",
+    "request_read_batches": "SELECT o_orderkey::varchar AS area, o_orderstatus AS status FROM orders",
     "request_picked_dimensions": """SELECT dataset_id, 'oa' AS geo_level, file_no, '["{\\"name\\":\\"d' || file_no || '\\"}"]' AS dimensions, sample_response FROM (
       SELECT 'TS' || o_custkey AS dataset_id, o_orderkey AS file_no, o_orderpriority = '1-URGENT' AS sample_response FROM orders WHERE o_orderstatus <> 'F'
       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority <> '1-URGENT', o_orderkey) = 1)""",

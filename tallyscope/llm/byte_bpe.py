@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding by backtracking over longest matches.
 
-Tokens are written as Latin-1 strings, one character a byte.  An automaton over the reversed tokens
-finds, in one pass over the reversed word, the longest token that starts at each byte.  The encoder
-takes the longest match, or the next shorter token that is a prefix of it, as long as it is compatible
-with the token before; where none is, it takes back the last token and marks the place as a dead end.
+Tokens are written as Latin-1 strings, one character a byte.  An automaton over them finds the longest
+token that starts at a byte.  The encoder takes the longest match, or the next shorter token that is a
+prefix of it, as long as it is compatible with the token before; where none is, it takes back the last
+token and marks the place as a dead end.
 Two adjacent tokens are compatible if merging their bytes by rank leaves them apart, which is read off
 by undoing their merges from the last to the first along the border, and remembered.  An encoding whose
 neighbours are all compatible is the one that the merges give, and each place is left at most once
 as a dead end, so the time is linear in the bytes.
 
 A space before a character that is no white space always begins a match of the splitting pattern.  A
-text therefore falls into independent chunks at these spaces; a task keeps a table of distinct chunks.
+text therefore falls into independent chunks at these spaces; a Python worker keeps a table of distinct
+chunks, which only saves work: it may be emptied or lost at any time.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from tallyscope.llm.common import text_slices
 
-#: Entries of a task's chunk table, at most, and the longest chunk kept there.
-MOST_CHUNKS, LONGEST = 300_000, 64
+#: Entries of a worker's chunk table, at most, and the longest chunk kept there.
+MOST_CHUNKS, LONGEST = 500_000, 64
 #: Remembered pairs of adjacent tokens, at most; the memory is emptied when full.
 MOST_PAIRS = 1_000_000
 _CHUNK = re.compile(r" ?[^ ]+(?: (?!\S)[^ ]*)*|(?: (?!\S)[^ ]*)+")
@@ -67,6 +68,7 @@ class BytePairs:
         for token, rank in self.reached.items():
             self.shorter[rank] = next((self.reached[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.reached), -1)
         self.size = [len(token) for token in self.token]
+        self.widest = max(self.size)
         self._prepare()
 
     def _split(self, token: str, rank: int) -> tuple[int, int] | None:
@@ -82,7 +84,7 @@ class BytePairs:
     def _prepare(self) -> None:
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.reached.items():
-            self.automaton.add_word(token[::-1], rank)
+            self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
 
     def __getstate__(self) -> dict:
@@ -118,14 +120,16 @@ class BytePairs:
         whole = self.ranks.get(text)
         if whole is not None or not text:
             return [] if whole is None else [whole]
-        n = len(text)
-        longest = [-1] * n
-        for end, token in self.automaton.iter(text[::-1]):  # of the tokens at one end the longest comes first
-            if longest[n - 1 - end] < 0:
-                longest[n - 1 - end] = token
-        size, shorter, known = self.size, self.shorter, self.known
-        alive, ids, at, token = bytearray(b"\1") * (n + 1), [], 0, longest[0]
-        last = -1
+        n, size, shorter, known, matches = len(text), self.size, self.shorter, self.known, self.automaton.iter_long
+        ids, at, last, token = [], 0, -1, -1
+        for _, token in matches(text):  # the longest match at each end of the one before
+            if last >= 0:
+                fits = known.get((last, token))
+                if not (self.compatible(last, token) if fits is None else fits):
+                    break
+            ids.append(token)
+            at, last = at + size[token], token
+        alive = bytearray(b"\1") * (n + 1) if at < n else b""
         while at < n:
             while token >= 0:
                 end = at + size[token]
@@ -137,7 +141,7 @@ class BytePairs:
             if token >= 0:
                 ids.append(token)
                 at, last = end, token
-                token = longest[at] if at < n else -1
+                token = next(matches(text[at : at + self.widest]))[1] if at < n else -1
             else:
                 alive[at] = 0
                 taken = ids.pop()
@@ -157,6 +161,9 @@ class ChunkTable(dict):
     def __init__(self, pairs: BytePairs, pattern: str):
         self.pairs, self.pattern = pairs, regex.compile(pattern)
 
+    def __reduce__(self):
+        return ChunkTable, (self.pairs, self.pattern.pattern)
+
     def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
         ids = [i for word in self.pattern.findall(chunk) for i in self.pairs.encode(word.encode())]
         found = pack(f"<{len(ids)}I", *ids), self.pairs.decode(ids)
@@ -181,10 +188,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     named columns are read.  A text of any length is one row; a task holds one slice of rows at a time.
     There is no shuffle: the merges, fixed in size by the rank table, are sent to the executors once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(BytePairs(ranks))
+    shared = docs.sparkSession.sparkContext.broadcast(ChunkTable(BytePairs(ranks), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkTable(shared.value, pattern)
+        known = shared.value
         for part in text_slices(batches, 1):
             done = [known.encode(text or "") for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

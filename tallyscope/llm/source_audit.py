@@ -105,16 +105,17 @@ def _share(n: str, total: str, terms: str) -> Column:
 def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
     """(lang, term, lang_n, level, block, bit): terms in at least ``least_docs`` documents of a language.
 
-    A block holds about ``BLOCK_TERMS`` terms whose counts have the same power of two, and ``bit``
-    numbers them in it."""
+    A block holds terms of a language whose counts have the same power of two, about ``BLOCK_TERMS`` of
+    them in the language with most, and ``bit`` numbers them in it."""
     found = counts.filter("term != ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
     kept = staged(
         found.filter(F.col("docs") >= least_docs).select("lang", "term", "lang_n", F.length(F.bin("lang_n")).alias("level")), "audit-kept"
     )
-    blocks = kept.groupBy("lang", "level").agg(F.ceil(F.count("*") / BLOCK_TERMS).alias("blocks"))
-    dealt = kept.join(blocks, ["lang", "level"]).withColumn("block", F.expr("pmod(xxhash64(term), blocks)"))
+    most = kept.groupBy("lang", "level").count().groupBy("level").agg(F.max("count").alias("most")).collect()  # a row for each bit of a long
+    blocks = F.coalesce(*[F.when(F.col("level") == row.level, F.lit(-(-row.most // BLOCK_TERMS))) for row in most], F.lit(1))
+    dealt = kept.withColumn("block", F.pmod(F.xxhash64("term"), blocks))
     place = F.row_number().over(W.partitionBy("lang", "level", "block").orderBy("term")) - 1
-    return dealt.withColumn("bit", place).drop("blocks")
+    return dealt.withColumn("bit", place)
 
 
 def _distances(p: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ a word that reports speech, counts as quoted.  A logistic regression turns the c
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,7 +17,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import regex
+from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.llm.common import held_out, staged, text_slices
 
@@ -30,13 +32,14 @@ STEM_LENGTHS, STEM_WORDS = range(4, 8), 4
 ERRORS_FROM = (5, 10)
 #: Words on each side of a hit that are its context window.
 WINDOW = 5
-#: Entries of a task's table of words.
-MOST_WORDS = 200_000
+#: Entries of a task's table of words, and the longest word kept there.
+MOST_WORDS, LONGEST = 200_000, 64
 #: Words that report what others said.
 REPORTING = frozenset("said says wrote quote quoted quotes called term word phrase slur dijo dice palabra sagte schrieb wort zitat dit mot citation".split())
 
-_WORD = re.compile(r"[\w$@]+")
-_QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]")
+#: Letters with their marks, digits and joiners in all scripts, and the signs that stand for letters.
+_WORD = regex.compile(r"[\w$@]+")
+_QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]")
 _STRETCHED = re.compile(r"(.)\1{2,}")
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 
@@ -130,7 +133,7 @@ class LexiconAutomaton:
 class Model(NamedTuple):
     stems: frozenset  # beginnings of words that mark toxic texts
     terms: dict[str, float]  # weight of an exact hit's near misses: how often they were toxic
-    clean: frozenset  # words near a term that clean texts use
+    clean: frozenset  # words near a term, or with a stem, that clean texts use
     weights: tuple[float, ...]
 
 
@@ -145,15 +148,14 @@ class WordHits(dict):
         bare = plain(word)
         if word in self.model.terms:
             found = (word, 1.0)
-        elif stem := next((word[:n] for n in STEM_LENGTHS if word[:n] in self.model.stems), None):
-            found = (word, 1.0) if len(word) <= 40 else (stem, 1.0)
-        elif len(bare) <= 40:  # a stretched word may be of any length
-            hit = self.automaton.match(bare)
-            if hit and word not in self.model.clean:
+        elif word not in self.model.clean:
+            if any(word[:n] in self.model.stems for n in STEM_LENGTHS):
+                found = (word, 1.0)
+            elif hit := self.automaton.match(bare):  # ends at the first letter that no term allows
                 found = (hit[0], 1.0 if bare in self.model.terms else self.model.terms[hit[0]])
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        if len(word) <= 40:
+        if len(word) <= LONGEST:
+            if len(self) >= MOST_WORDS:
+                self.clear()
             self[word] = found
         return found
 
@@ -206,9 +208,13 @@ def _fitted(rows: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def _words(text: Column) -> Column:
-    """Words of a text in order, as the scorer sees them."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[\w$@]+"), F.lit(0))
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text, digest of the words in order, different words) of (toxic, text), cut as for scoring."""
+    for part in text_slices(batches, 1):
+        words = [_WORD.findall((text or "").lower()) for text in part.column(1).to_pylist()]
+        digests = [hashlib.sha256(" ".join(w).encode()).digest() for w in words]
+        different = pa.array([list(dict.fromkeys(w)) for w in words], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary()), different], names=["_toxic", "_text", "_digest", "_words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model:
@@ -224,10 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
     chosen = [known.filter(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(labelled) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id")
-    texts = texts.withColumn("_words", _words(F.col("_text")))
-    # written before words are exploded, so that the digest is made once for a text
-    texts = texts.withColumn("_digest", F.sha2(F.array_join("_words", " "), 256)).withColumn("_words", F.array_distinct("_words"))
-    texts = staged(texts, "labelled")
+    # written before words are exploded, so that each text is cut once
+    cut = texts.select("_toxic", "_text").mapInArrow(_cut, "_toxic int, _text string, _digest binary, _words array<string>")
+    texts = staged(cut, "labelled")
 
     per_word = texts.select("_toxic", "_digest", F.explode("_words").alias("word"))
     counts = per_word.distinct().groupBy("word").agg(F.sum("_toxic").alias("toxic"), F.sum(1 - F.col("_toxic")).alias("clean"))
@@ -241,16 +246,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_i
     begun = begun.filter((F.col("words") >= STEM_WORDS) & (F.col("toxic") >= least) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
     stems = frozenset(row["stem"] for row in begun.collect())
 
-    # how often near misses of each term were toxic, and which of them clean texts use
+    # how often near misses of each term were toxic, and which of them and of words with a stem clean texts use
     automaton = LexiconAutomaton(list(terms))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(w, plain(w)) for w in batch.column(0).to_pylist()]
-            hit = [w not in terms and len(bare) <= 40 and (automaton.match(bare) or ("",))[0] or None for w, bare in words]
+            begun = ["" if any(w[:n] in stems for n in STEM_LENGTHS) else None for w, _ in words]
+            hit = [None if w in terms else (automaton.match(bare) or (stem,))[0] for (w, bare), stem in zip(words, begun)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.string())], names=["word", "toxic", "clean", "term"]).filter(pa.array([h is not None for h in hit]))
 
-    misses = counts.mapInArrow(near, "word string, toxic bigint, clean bigint, term string").collect() if terms else []
+    # words near a term, and those that only begin like one (of no term): a part of the sample's words
+    misses = counts.mapInArrow(near, "word string, toxic bigint, clean bigint, term string").collect() if terms or stems else []
     toxic, clean = Counter(), Counter()
     for row in misses:
         toxic[row["term"]] += row["toxic"]
@@ -288,7 +295,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is below ``threshold``, with all their columns."""
+    """The rows whose score is below ``threshold``, with all their columns, whatever those are called.
+
+    A null or empty text has no hits and the score of a text without any, which a fitted model keeps.
+    Rows with null ids stay, repeated rows stay or go together, and an empty table gives no rows."""
     column = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -210,3 +211,40 @@ def test_texts_that_share_words_are_all_evidence(spark):
     assert "gromble" in model.terms and "wozzle" not in model.terms
     table = toxicity.WordHits(model)
     assert toxicity.features("you gr" + "o" * 60 + "mble", table) == toxicity.features("you gromble", table) != [0.0] * 5
+
+
+def test_long_words_long_quotations_and_stems():
+    long_term = "gromble" * 7
+    table = toxicity.WordHits(toxicity.Model(frozenset({"idio"}), {long_term: 0.8, "idiots": 0.8}, frozenset({"idiomatic"}), (0.0,) * 6))
+    assert toxicity.features(f"you {long_term}", table)[0] > 0 and toxicity.features(f"you {long_term[:-1]}", table)[1] > 0
+    said = "they are such a lot of " + "very " * 80 + "bad idiots"
+    assert toxicity.features(f'"{said}"', table)[0] == 0 < toxicity.features(f'"{said}"', table)[2]
+    assert toxicity.features(said, table)[0] > 0
+    assert toxicity.features("an idiomatic phrase", table) == [0.0] * 5 != toxicity.features("idiotically so", table)
+
+
+def test_one_rule_for_words(spark):
+    """Words of every script are cut alike for learning and for scoring."""
+    term = "हिन्दीगाली"
+    rows = [(i, f"{term} text number{i} a‍b") for i in range(8)] + [(100 + i, f"clean text number{i}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, 1000)
+    assert term in model.terms and toxicity.features(f"so {term} ist", toxicity.WordHits(model))[0] > 0
+
+
+def test_scores_follow_the_definition(spark):
+    """The operator's scores are those of the features and the regression, worked out row by row without Spark."""
+    rng = random.Random(2)
+    filler = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(filler, k=12) + (rng.choices(["grackle", "vomble"], k=2) if i % 3 == 0 else []))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, 7)
+    kept = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7]
+    counts = {w: (sum(w in t.split() for i, t in kept if i % 3 == 0), sum(w in t.split() for i, t in kept if i % 3)) for w in {*filler, "grackle", "vomble"}}
+    least = max(3, toxicity.LEAST_SHARE * sum(i % 3 == 0 for i, _ in kept))
+    assert set(model.terms) == {w for w, (a, b) in counts.items() if a >= least and a >= toxicity.LEAST_PRECISION * (a + b)} >= {"grackle", "vomble"}
+    for r in toxicity.score(docs, model).collect():
+        x = toxicity.features(dict(rows)[r.id], toxicity.WordHits(model))
+        assert abs(r.score - 1 / (1 + math.exp(-(model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x)))))) < 1e-12

@@ -99,8 +99,31 @@ COPYRIGHT = (
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F ‐-‧«»]+"
 
 
-def canonical_lines(text: Column) -> Column:
-    """The text's lines in canonical form, those left empty and copyright lines dropped."""
+#: What follows the first sentence of a copyright line, which names its holder.
+HOLDER = r"^[^.]*\.[ \t]+"
+#: Line ends: CR LF, LF or CR.
+LINE_ENDS = r"\r\n|\n|\r"
+
+
+def canonical_words(text: str) -> str:
+    """The canonical form of one line, as ``canonical_lines`` makes it."""
+    line = re.sub(PUNCTUATION, " ", text.translate(str.maketrans(_UPPER, _LOWER)))
+    for old, new in SPELLINGS:
+        line = line.replace(old, new)
+    return line.strip(" ")
+
+
+def notices_of(known: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
+    """Known texts of one line: notices, which may also stand behind the holder in a copyright line."""
+    return tuple(sorted({canonical_words(text) for _, text in known if "\n" not in text and not re.search(COPYRIGHT, text.lower())}))
+
+
+NOTICES = notices_of(KNOWN)
+
+
+def canonical_lines(text: Column, notices: tuple[str, ...] = NOTICES) -> Column:
+    """The text's lines in canonical form, those left empty dropped; of a copyright line a known notice
+    behind its first sentence is left, or nothing."""
     lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
     def canonical(line: Column) -> Column:
@@ -109,21 +132,25 @@ def canonical_lines(text: Column) -> Column:
             line = F.replace(line, F.lit(old), F.lit(new))
         return F.trim(line)
 
-    lines = F.filter(F.split(lower, "\n"), lambda line: ~line.rlike(COPYRIGHT))
-    return F.filter(F.transform(lines, canonical), lambda line: line != "")
+    def kept(line: Column) -> Column:
+        rest = canonical(F.regexp_replace(line, HOLDER, ""))
+        return F.when(line.rlike(COPYRIGHT), F.when(rest.isin(list(notices)), rest).otherwise("")).otherwise(canonical(line))
+
+    return F.filter(F.transform(F.split(lower, LINE_ENDS), kept), lambda line: line != "")
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """(digest, licence) of known licences; of equal texts the smallest name counts."""
     rows = spark.createDataFrame(list(known), "licence string, text string")
-    whole = F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256)
+    whole = F.sha2(F.array_join(canonical_lines(F.col("text"), notices_of(known)), " "), 256)
     return rows.select(whole.alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_digest, licence, notices) of each row: the digest of the entire canonical text, the
     licence with that digest (null: none), and an array of (line number, licence) of the entire lines
-    that are known, by canonical line number from 1.
+    that are known, by canonical line number from 1; a notice broken over two lines has the first one's
+    number, and one behind the holder in a copyright line counts as a line.
 
     A null or empty text has the digest of the empty text and no licence; null ids are kept; repeated
     rows give repeated results; an empty table gives none.  Only the two named columns are read.
@@ -131,18 +158,22 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: st
     lines that were found and one narrow row per document.
     """
     spark = docs.sparkSession
-    digests = F.broadcast(known_digests(spark, known))
+    digests, notices = F.broadcast(known_digests(spark, known)), notices_of(known)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), canonical_lines(F.col(text_col)).alias("_lines")
+        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), canonical_lines(F.col(text_col), notices).alias("_lines")
     )
-    lines = rows.select("id", "_text", F.posexplode("_lines").alias("_no", "_line"))
+    longest = max(map(len, notices), default=0)
+    wrapped = F.transform("_lines", lambda line, i: F.concat_ws(" ", line, F.get("_lines", i + 1)))
+    two = lambda x: F.when((F.length(x["two"]) <= longest) & (x["two"] != x["one"]), F.array(x["one"], x["two"])).otherwise(F.array(x["one"]))
+    tried = F.transform(F.arrays_zip(F.col("_lines").alias("one"), wrapped.alias("two")), two)
+    lines = rows.select("id", "_text", F.posexplode(tried).alias("_no", "_tried")).select("id", "_text", "_no", F.explode("_tried").alias("_line"))
     found = lines.select("id", "_text", (F.col("_no") + 1).cast("bigint").alias("line"), F.sha2("_line", 256).alias("digest")).join(digests, "digest")
     # rows repeated with the same id and text find the same lines
-    notices = found.groupBy("id", "_text").agg(F.sort_array(F.collect_set(F.struct("line", "licence"))).alias("notices"))
+    by_row = found.groupBy("id", "_text").agg(F.sort_array(F.collect_set(F.struct("line", "licence"))).alias("notices"))
     whole = rows.select("id", "_text", F.sha2(F.array_join("_lines", " "), 256).alias("digest")).join(digests, "digest", "left").alias("w")
     same = F.col("w.id").eqNullSafe(F.col("n.id")) & (F.col("w._text") == F.col("n._text"))
     none = F.array().cast("array<struct<line:bigint,licence:string>>")
-    return whole.join(notices.alias("n"), same, "left").select(
+    return whole.join(by_row.alias("n"), same, "left").select(
         F.col("w.id").alias("id"), F.col("w.digest").alias("text_digest"), F.col("w.licence").alias("licence"), F.coalesce(F.col("n.notices"), none).alias("notices")
     )
 
@@ -153,12 +184,18 @@ def _sql_text(value: str) -> str:
 
 def canonical_lines_sql(text: str) -> str:
     """The same lines in DuckDB."""
-    line = f"regexp_replace(l, {_sql_text(PUNCTUATION)}, ' ', 'g')"
-    for old, new in SPELLINGS:
-        line = f"replace({line}, '{old}', '{new}')"
+
+    def canonical(line: str) -> str:
+        line = f"regexp_replace({line}, {_sql_text(PUNCTUATION)}, ' ', 'g')"
+        for old, new in SPELLINGS:
+            line = f"replace({line}, '{old}', '{new}')"
+        return f"trim({line}, ' ')"
+
     lower = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
-    lines = f"list_filter(string_split({lower}, chr(10)), lambda l: NOT regexp_matches(l, {_sql_text(COPYRIGHT)}))"
-    return f"list_filter(list_transform({lines}, lambda l: trim({line}, ' ')), lambda l: l <> '')"
+    rest = canonical(f"regexp_replace(l, {_sql_text(HOLDER)}, '')")
+    notices = ", ".join(map(_sql_text, NOTICES))
+    kept = f"CASE WHEN regexp_matches(l, {_sql_text(COPYRIGHT)}) THEN CASE WHEN {rest} IN ({notices}) THEN {rest} ELSE '' END ELSE {canonical('l')} END"
+    return f"list_filter(list_transform(regexp_split_to_array({lower}, {_sql_text(LINE_ENDS)}), lambda l: {kept}), lambda l: l <> '')"
 
 
 def scan_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
@@ -169,8 +206,12 @@ WITH known AS (
   FROM (VALUES {values}) AS t(licence, text) GROUP BY 1),
 rows AS (SELECT doc_id, row_number() OVER () AS n, {canonical_lines_sql("text")} AS lines FROM documents),
 found AS (
-  SELECT n, string_agg(line || ':' || licence, ',' ORDER BY line) AS notices, count(*) AS n_notices
-  FROM (SELECT n, unnest(lines) AS l, generate_subscripts(lines, 1) AS line FROM rows) JOIN known ON digest = sha256(l) GROUP BY n)
+  SELECT n, string_agg(line || ':' || licence, ',' ORDER BY line, licence) AS notices, count(*) AS n_notices
+  FROM (
+    SELECT DISTINCT n, line, licence FROM (
+      SELECT n, line, unnest(CASE WHEN length(concat_ws(' ', l, following)) <= {max(map(len, notices_of(known)), default=0)} THEN [l, concat_ws(' ', l, following)] ELSE [l] END) AS tried
+      FROM (SELECT n, unnest(lines) AS l, unnest(list_append(lines[2:], NULL)) AS following, generate_subscripts(lines, 1) AS line FROM rows))
+    JOIN known ON digest = sha256(tried)) GROUP BY n)
 SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest, licence, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
 FROM rows LEFT JOIN known ON digest = sha256(array_to_string(lines, ' ')) LEFT JOIN found USING (n)
 """

@@ -230,3 +230,17 @@ def test_entire_published_texts(spark):
     ]
     df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id bigint, text string")
     assert [r.licence for r in sorted(licences.scan(df).collect(), key=lambda r: r.id)] == [name for name, _ in texts]
+
+
+def test_notices_wrapped_after_holders_and_in_old_lines(spark):
+    """A notice behind a holder, between lone carriage returns, broken over two lines; holders alone say nothing."""
+    notice = "Released under the MIT License."
+    texts = [
+        f"(c) 2020 me. {notice}", f"a\r{notice}\rb", "x\nReleased under\nthe MIT License.\ny", "Copyright 2020 Foo, Inc. and its affiliates.\r\nb",
+        f"Copyright (c) 2019 A. B. {notice}", f"{notice} {notice}", "Released\nunder the\nMIT License.", None,
+    ]
+    rows = {r.id: [(n.line, n.licence) for n in r.notices] for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert rows == {0: [(1, "MIT")], 1: [(2, "MIT")], 2: [(2, "MIT")], 3: [], 4: [], 5: [], 6: [], 7: []}
+    custom = (("X", "one line of mine"), ("Y", "two\nlines"))
+    df = spark.createDataFrame([(1, "one line\nof mine"), (2, "two\nlines"), (3, "© 2001 us. One line of mine")], "doc_id int, text string")
+    assert {r.id: (r.licence, [(n.line, n.licence) for n in r.notices]) for r in licences.scan(df, custom).collect()} == {1: ("X", [(1, "X")]), 2: ("Y", [(1, "Y")]), 3: ("X", [(1, "X")])}

@@ -24,7 +24,7 @@ from tallyscope.llm.common import freed, staged, text_slices
 
 CLASSES = 1 << 16
 #: Text bytes of a block, and tokens of a training sequence (a longer text is trained on in parts).
-BLOCK_BYTES, SEQUENCE = 4 << 20, 256
+BLOCK_BYTES, SEQUENCE = 12 << 20, 256
 #: The end of a text as a token: no word holds white space.
 END = b"\n"
 

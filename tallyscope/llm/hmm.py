@@ -82,24 +82,34 @@ def _first_model(class_counts: np.ndarray, states: int, seed: int) -> Model:
     return Model(np.full(states, 1 / states), moves, np.vstack([emits, np.ones(states)]))
 
 
-def _parts(sizes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the training sequences of a block."""
+def _parts(sizes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the training sequences of a block, and whether a text begins there."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[train]
     pieces = -(-sizes[train] // SEQUENCE)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return np.repeat(starts, pieces) + nth * SEQUENCE, np.minimum(SEQUENCE, np.repeat(sizes[train], pieces) - nth * SEQUENCE)
+    return np.repeat(starts, pieces) + nth * SEQUENCE, np.minimum(SEQUENCE, np.repeat(sizes[train], pieces) - nth * SEQUENCE), nth == 0
 
 
-def expected(model: Model, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+def _long_run(moves: np.ndarray) -> np.ndarray:
+    """The share of each state far inside a text: the limit of the moves, by repeated squaring."""
+    power = moves
+    for _ in range(30):
+        power = power @ power
+        power = power / power.sum(axis=1, keepdims=True)
+    return power.mean(axis=0)
+
+
+def expected(model: Model, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, opens: np.ndarray):
     """Expected counts (first states, moves, class emissions) and log likelihood of the sequences, all
-    stepped together, the longer ones first so that those still running are a prefix."""
+    stepped together, the longer ones first so that those still running are a prefix.  Sequences that
+    do not open a text begin with the long-run shares of the states, and do not count as first."""
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
+    starts, sizes, opens = starts[order], sizes[order], opens[order]
     k, longest = len(model.start), int(sizes.max(initial=0))
     running = np.searchsorted(-sizes, -np.arange(longest), side="left")  # sequences longer than t
     emits, moves = model.emits.astype(np.float32), model.moves.astype(np.float32)
     alphas, scales, likelihood = [], [], 0.0
-    alpha = np.tile(model.start.astype(np.float32), (len(starts), 1))
+    alpha = np.where(opens[:, None], model.start, _long_run(model.moves)).astype(np.float32)
     for t in range(longest):
         n = running[t]
         alpha = (alpha[:n] @ moves if t else alpha) * emits[classes[starts[:n] + t]]
@@ -124,7 +134,7 @@ def expected(model: Model, classes: np.ndarray, starts: np.ndarray, sizes: np.nd
             pairs += alphas[t - 1][:n].T @ back
             beta = back @ moves.T
         else:
-            first = gamma.sum(axis=0, dtype=np.float64)
+            first = gamma[opens[:n]].sum(axis=0, dtype=np.float64)
     emitted = np.zeros((CLASSES, k))
     if seen:
         where, gammas = np.concatenate(seen), np.concatenate(weights)
@@ -193,7 +203,8 @@ def score(docs: DataFrame, training: Column, states: int = 8, rounds: int = 6, p
     A null or empty text is its end token alone; null ids are kept; repeated rows are learned from as
     often as they occur and get equal scores; an empty table gives no rows; without training rows all
     tokens are unseen and both scores are 0.  Only the named columns and those of ``training`` are read.
-    Training cuts longer texts every ``SEQUENCE`` tokens; scoring follows each text from end to end.
+    Training cuts longer texts every ``SEQUENCE`` tokens, and only the first part of a text counts for
+    its first state; scoring follows each text from end to end.
     """
     kind = docs.schema[id_col].dataType
     blocks = _blocks(docs, id_col, text_col, training)

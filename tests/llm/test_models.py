@@ -42,7 +42,7 @@ def test_forward_is_the_sum_over_all_paths():
 
 def test_expected_counts_are_those_of_all_paths():
     model, text = small_model(2, 2, 3), [0, 2, 1, 1]
-    first, moves, emitted, likelihood = hmm.expected(model, np.array([9, *text, 9]), np.array([1]), np.array([4]))
+    first, moves, emitted, likelihood = hmm.expected(model, np.array([9, *text, 9]), np.array([1]), np.array([4]), np.array([True]))
     total, want = 0.0, (np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)))
     for path in itertools.product(range(2), repeat=4):
         p = model.start[path[0]] * np.prod([model.emits[w, s] for w, s in zip(text, path)]) * np.prod([model.moves[a, b] for a, b in zip(path, path[1:])])
@@ -57,6 +57,59 @@ def test_expected_counts_are_those_of_all_paths():
     assert math.isclose(likelihood, math.log(total), rel_tol=1e-4)
 
 
+def plain_pass(model, begin, classes):
+    """Scaled forward and backward recursion over one sequence, token by token."""
+    alphas, scales = [], []
+    for t, c in enumerate(classes):
+        alpha = (alphas[-1] @ model.moves if t else begin) * model.emits[c]
+        scales.append(alpha.sum())
+        alphas.append(alpha / scales[-1])
+    beta, first, moves, weights = np.ones(len(begin)), None, np.zeros_like(model.moves), []
+    for t in reversed(range(len(classes))):
+        weights.append((classes[t], alphas[t] * beta))
+        back = model.emits[classes[t]] * beta / scales[t]
+        if t:
+            moves += np.outer(alphas[t - 1], back) * model.moves
+            beta = model.moves @ back
+        else:
+            first = alphas[0] * beta
+    return first, moves, weights, np.log10(scales).sum()
+
+
+def test_scores_are_those_of_a_plain_baum_welch(spark):
+    """Texts shorter and longer than a training sequence, trained and scored token by token."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), size)) for size in (0, 1, 3, 40, hmm.SEQUENCE - 1, hmm.SEQUENCE, 2 * hmm.SEQUENCE + 77)] + ["a zz", None]
+    train, states, rounds, prior = len(texts) - 2, 2, 2, 100.0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.score for r in hmm.score(df, F.col("doc_id") < train, states=states, rounds=rounds, prior=prior).collect()}
+
+    coded = [hmm.words(t) for t in texts]
+    class_of = lambda w: zlib.crc32(w) % hmm.CLASSES
+    counts = Counter(w for words in coded[:train] for w in words)
+    n, class_counts = sum(counts.values()), np.zeros(hmm.CLASSES)
+    for w, c in counts.items():
+        class_counts[class_of(w)] += c
+    model = hmm._first_model(class_counts, states, 1)
+    for _ in range(rounds):
+        share = np.linalg.matrix_power(model.moves, 1 << 12).mean(axis=0)
+        first, moves, emitted = np.ones(states), np.ones((states, states)), np.zeros((hmm.CLASSES, states))
+        for words in coded[:train]:
+            for at in range(0, len(words), hmm.SEQUENCE):
+                part = [class_of(w) for w in words[at : at + hmm.SEQUENCE]]
+                opening, moved, weights, _ = plain_pass(model, share if at else model.start, part)
+                first, moves = first + (0 if at else opening), moves + moved
+                for c, weight in weights:
+                    emitted[c] += weight
+        emits = (emitted + prior * class_counts[:, None] / n) / (emitted.sum(axis=0) + prior)
+        model = hmm.Model(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), np.vstack([emits, np.ones(states)]))
+    unseen = (sum(c == 1 for c in counts.values()) + 1) / (n + 2)
+    for i, words in enumerate(coded):
+        classes = [class_of(w) if w in counts else hmm.CLASSES for w in words]
+        within = [(1 - unseen) * counts[w] / class_counts[class_of(w)] if w in counts else unseen for w in words]
+        assert math.isclose(got[i], plain_pass(model, model.start, classes)[3] + np.log10(within).sum(), rel_tol=1e-4)
+
+
 def plain_base(rows, training):
     counts = Counter(w for (_, text), train in zip(rows, training) if train for w in hmm.words(text))
     n, v = sum(counts.values()), len(counts)

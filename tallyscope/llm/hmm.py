@@ -210,6 +210,11 @@ def score(docs: DataFrame, training: Column, states: int = 8, rounds: int = 6, p
     blocks = _blocks(docs, id_col, text_col, training)
     pairs = blocks.select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("e")).select(F.col("e.vocabulary").alias("word"), F.col("e.counts").alias("n"))
     counts = staged(pairs.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    freed(docs.sparkSession)
+    # the blocks' words meet the counts once, before the rounds: the shuffles behind them are dropped by then
+    places = blocks.select("block", F.posexplode("vocabulary").alias("place", "word"))
+    known = staged(places.join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("known")), "known")
+    freed(docs.sparkSession)
     n, v, once = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first())
     by_class = counts.groupBy((F.crc32("word") % CLASSES).cast("int").alias("class")).agg(F.sum("n").alias("n")).toPandas()
     class_counts = np.zeros(CLASSES)
@@ -221,8 +226,6 @@ def score(docs: DataFrame, training: Column, states: int = 8, rounds: int = 6, p
         model = _iterate(blocks, model, shares, prior)
         freed(docs.sparkSession)
 
-    places = blocks.select("block", F.posexplode("vocabulary").alias("place", "word"))
-    known = places.join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("known"))
     joined = blocks.select("block", "ids", "sizes", "numbers", "classes").join(known, "block", "left").drop("block")
     floor = np.log10(n + 0.1 * (v + 1))
 

@@ -66,6 +66,7 @@ HEADINGS = {
     "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
     "Zlib": ("zlib License", "The zlib License"),
     "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD License", "The BSD License"),
+    "Artistic-1.0-Perl": ('The "Artistic License"', "The Artistic License", "Artistic License", "The Artistic License 1.0"),
     "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License", "The BSD License"),
 }
 _APPENDIX = re.compile(r"^[ \t]*(?:APPENDIX: |Appendix: )?How to [Aa]pply ", re.MULTILINE)

@@ -225,6 +225,7 @@ def test_entire_published_texts(spark):
         ("Apache-2.0", body["Apache-2.0"]),
         ("Apache-2.0", body["Apache-2.0"].split("   APPENDIX")[0]),
         *((name, body[name]) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")),
+        ("Artistic-1.0-Perl", "Artistic License\n\nCopyright 1999, Someone\n" + body["Artistic-1.0-Perl"].split("\n", 1)[1]),
         (None, "copyright notice of no year\n" + mit),
         (None, "(c) You must retain this\n" + mit),
     ]

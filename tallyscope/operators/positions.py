@@ -25,8 +25,11 @@ def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
 
 
 def _with_heads(placed: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Joins what is known of each (partition, group) to its rows: no row is joined by its group alone."""
+    """Joins what is known of each (partition, group) to its rows: no row is joined by its group alone.
+
+    Without keys that is one short row per partition, so it is sent to the rows and these stay where they are."""
     renamed = heads.withColumnsRenamed({k: f"_of_{k}" for k in ["_part", *keys]})
+    renamed = renamed if keys else F.broadcast(renamed)
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in ["_part", *keys]]
     return placed.join(renamed, same).drop(*[f"_of_{k}" for k in ["_part", *keys]])
 

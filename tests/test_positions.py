@@ -30,6 +30,19 @@ def test_row_numbers_over_everything(skewed):
     assert got == {i: i for i in range(len(rows))}
 
 
+def test_numbering_everything_moves_rows_once(spark, skewed):
+    """The numbered rows are read where they were written: only the rows per partition are sent."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = number_rows(skewed[1], [F.col("i")], name="n")
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+        assert numbered.count() == len(skewed[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("step", [1, 1_000_003])
 def test_running_offsets(spark, skewed, step):
     """Null keys and orders, and orders far apart."""

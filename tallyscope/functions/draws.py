@@ -12,14 +12,14 @@ from pyspark.sql import Column, functions as F
 
 
 def unit(key: Column, name: str, seed: int | str | Column, fast: bool = False) -> Column:
-    """Uniform double in [0, 1)."""
+    """Uniform double in [0, 1), a multiple of 2^-52."""
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
     text = F.concat_ws("|", key.cast("string"), F.lit(name), seed)
     if fast:
-        bits = F.shiftrightunsigned(F.xxhash64(text), 32)
+        bits = F.shiftrightunsigned(F.xxhash64(text), 12)
     else:
-        bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return bits / F.lit(4294967296.0)
+        bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return bits / F.lit(2.0**52)
 
 
 def bernoulli(key: Column, name: str, p: float, seed, fast: bool = False) -> Column:
@@ -27,7 +27,7 @@ def bernoulli(key: Column, name: str, p: float, seed, fast: bool = False) -> Col
 
 
 def uniform_int(key: Column, name: str, lo, hi, seed, fast: bool = False) -> Column:
-    """Uniform bigint in the closed range lo..hi; the bounds may be columns."""
+    """Uniform bigint in the closed range lo..hi, of up to 2^52 values; the bounds may be columns."""
     lo = lo if isinstance(lo, Column) else F.lit(lo)
     hi = hi if isinstance(hi, Column) else F.lit(hi)
     span = hi.cast("bigint") - lo.cast("bigint") + 1

@@ -362,6 +362,7 @@ def summary_table(tables: Tables) -> DataFrame:
         .join(_outcome_counts(tables), "reader_id", "left")
         .na.fill(0)
     )
+    # fixed values: the column names of the summary
     reads, recalls = F.col("read_decision_count"), F.col("recalled_for_assessment_count")
     detected, discrepant = F.col("cancers_detected_count"), F.col("discrepant_cancers_count")
     return counts.select(

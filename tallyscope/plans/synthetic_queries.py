@@ -141,6 +141,7 @@ def _rule(columns, chain):
     return lambda spark, folder: chain(spark, folder).select("episode_id", *columns)
 
 
+# The columns of the two tables, in order.
 EPISODE_COLUMNS = """nhs_number episode_id appointment_made date_of_foa date_of_as episode_date early_recall_date
  change_db_date_time episode_type end_code call_recall_status_authorised_by end_code_last_updated
  bso_organisation_code bso_batch_id reason_closed_code end_point final_action_code""".split()

@@ -201,7 +201,7 @@ _FILES = """WITH files AS (SELECT o_orderkey, o_orderstatus, 'kc63_' || lower(r_
 def draw(key: str, name: str, seed) -> str:
     """SQL twin of the seeded draw."""
     seed = seed if str(seed).startswith("(") else f"'{seed}'"
-    return f"(('0x' || substr(md5(concat_ws('|', {key}, '{name}', {seed})), 1, 8))::bigint / 4294967296.0::double)"
+    return f"(('0x' || substr(md5(concat_ws('|', {key}, '{name}', {seed})), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
 _COUNTS = """WITH counts AS (SELECT s_suppkey::varchar AS kc63_output_by_run_id, 'line ' || (s_suppkey % 8) AS col_b, n_name AS col_c,

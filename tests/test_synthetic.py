@@ -54,7 +54,7 @@ def test_slots_give_every_row_its_number(spark, size):
 def test_slots_at_their_edges(spark, monkeypatch):
     """Draws on and just below every border between rows and slots."""
     borders = [k / 256 for k in range(256)] + [k / 7 for k in range(7)] + [0.1, 1 / 3]
-    draws = sorted({max(0.0, x + e) for x in borders for e in (0.0, -1e-16, 1e-16, -2**-32)})
+    draws = sorted({max(0.0, x + e) for x in borders for e in (0.0, -1e-16, 1e-16, -2**-32, -2**-52)})
     monkeypatch.setattr(syn, "unit", lambda key, name, seed: key)
     for size in (7, 300):
         dim = spark.range(size).select(F.col("id").alias("no"))
@@ -81,6 +81,14 @@ def test_offers_go_back_three_times_only(spark):
     assert gaps.count() == 0
 
 
+@pytest.mark.parametrize("fast", [False, True])
+def test_wide_ranges_are_reached_throughout(spark, fast):
+    """A range of 2^40 values: odd and even ones, both halves, and no two draws alike."""
+    drawn = [r[0] for r in spark.range(4000).select(uniform_int(F.col("id"), "x", 1, 2**40, 1, fast)).collect()]
+    assert 1 <= min(drawn) and max(drawn) <= 2**40 and len(set(drawn)) > 3990
+    assert 0.45 < sum(x % 2 for x in drawn) / 4000 < 0.55 and 0.45 < sum(x > 2**39 for x in drawn) / 4000 < 0.55
+
+
 def test_latest_episode_takes_the_first_on_a_tie(spark):
     rows = [(1, 1, "2024-01-01"), (1, 2, "2024-02-01"), (1, 3, "2024-02-01"), (2, 4, "2020-01-01"), (None, 5, "2030-01-01")]
     df = spark.createDataFrame(rows, "nhs_number bigint, episode_id bigint, change_db_date_time string")

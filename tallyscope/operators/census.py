@@ -389,10 +389,15 @@ def flatten(responses: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     )
 
 
-def cell_names(flat: DataFrame) -> list[str]:
-    """Dimension names that occur; a handful, found in one small job."""
-    names = flat.select(F.explode("cells.dim").alias("dim")).distinct().orderBy("dim")
-    return [row["dim"] for row in names.collect()]
+def cell_names(responses: DataFrame, areas: DataFrame | None = None) -> list[str]:
+    """Names that the cells of ``flatten(responses, areas)`` have, for ``wide``: read from one row per
+    group, so no observation is looked at.  Bounded by the names of dimensions and levels."""
+    laid = layouts(combined_groups(batch_heads(responses)), areas).filter((F.col("shape") != "none") & (F.col("keep") > 0))
+    area = F.when(F.col("shape") == "by_area", F.col("first_dim")).when(F.col("shape") == "area_values", F.col("geo_level"))
+    counted_out = F.when(F.col("shape").isin("by_area", "area_values"), F.array(area)).otherwise(F.array().cast("array<string>"))
+    of_axes = F.transform("axes", lambda axis: F.get(axis["cells"], F.lit(0))["dim"])
+    names = F.concat(counted_out, F.coalesce(of_axes, F.array().cast("array<string>")))
+    return [row["dim"] for row in laid.select(F.explode(names).alias("dim")).distinct().orderBy("dim").collect()]
 
 
 def wide(flat: DataFrame, dims: Sequence[str]) -> DataFrame:

@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyscope.operators import census
+from tallyscope.plans import census_queries
 
 SCHEMA = "dataset_id string, geo_level string, batch_no bigint, json string"
 
@@ -36,11 +38,22 @@ def test_topic_cube(spark):
         }),
     )
     flat = census.flatten(df)
-    assert census.cell_names(flat) == ["heating", "place"]
+    assert census.cell_names(df) == ["heating", "place"]
     assert census.wide(flat, ["place", "heating"]).columns[3:] == ["place", "place_code", "heating", "heating_code", "observation"]
     assert tidy(flat, ["place", "heating"]) == [("Northshire", "P7", "Gas", "g", "31"), ("Northshire", "P7", "Wood", "w", "8")]
 
 
+@pytest.mark.parametrize("make", [
+    lambda s, d: census_queries.topic_responses(s, d, True), lambda s, d: census_queries.matrix_responses(s, d, False),
+    census_queries.scattered_responses, census_queries.single_dimension_responses, census_queries.cut_responses,
+])
+@pytest.mark.parametrize("with_areas", [False, True])
+def test_cell_names_are_those_of_the_rows(spark, folder, make, with_areas):
+    df, areas = make(spark, folder), census_queries.areas(spark, folder) if with_areas else None
+    met = census.flatten(df, areas).select(F.explode("cells.dim").alias("dim")).distinct().orderBy("dim")
+    assert census.cell_names(df, areas) == [r["dim"] for r in met.collect()]
+
+
 def test_matrix_cube_runs_the_last_dimension_fastest(spark):
     def dim(name, *options):
         return {"dimension_name": name, "options": [{"id": i, "label": label} for i, label in options]}

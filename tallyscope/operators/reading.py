@@ -21,10 +21,13 @@ def enrich_decisions(tables: Tables, null_safe: bool = False) -> DataFrame:
 
     Several images per episode repeat the decision.  ``null_safe`` lets null keys match null keys
     on the appointment and screening-episode joins.
+
+    An episode meets its images and what hangs on them first, so the decisions, which are more and
+    wider, move once, and the rows repeated for each image not at all.
     """
 
     # rows without a key match nothing, so each gets a key of its own: they spread over all tasks
-    nothing = F.concat(F.lit("\0"), F.xxhash64("read_decision_id", "read_episode_id", "reader_id").cast("string"))
+    nothing = F.concat(F.lit("\0"), F.xxhash64("read_episode_id", "participant_id").cast("string"))
 
     def same(left: str, right: str):
         if null_safe:
@@ -42,9 +45,10 @@ def enrich_decisions(tables: Tables, null_safe: bool = False) -> DataFrame:
     participant = tables["Participant"].select(
         F.col("participant_id").alias("participant_id_participant")
     )
-    return (
-        tables["ReadDecision"]
-        .join(tables["ReadEpisode"].select("read_episode_id"), "read_episode_id")
+    # an episode without images keeps a row, as a decision's nulls may match null keys
+    episodes = (
+        tables["ReadEpisode"]
+        .select("read_episode_id")
         .join(image, "read_episode_id", "left")
         .join(appointment, same("appointment_id", "_appointment"), "left")
         .join(screening, same("screening_episode_id", "_screening"), "left")
@@ -55,6 +59,7 @@ def enrich_decisions(tables: Tables, null_safe: bool = False) -> DataFrame:
         )
         .drop("_appointment", "_screening")
     )
+    return tables["ReadDecision"].join(episodes, "read_episode_id")
 
 
 # --- shared sub-plans ------------------------------------------------------------------------

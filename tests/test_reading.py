@@ -200,6 +200,40 @@ def test_null_safe_enrichment_matches_null_appointments(spark):
     assert (matched["screening_participant_id"], matched["participant_id_participant"]) == ("P2", "P2")
 
 
+def test_null_safe_enrichment_of_an_episode_without_image(spark):
+    rows = {name: [] for name in COLUMNS}
+    rows.update(
+        ReadDecision=[("D1", "E1", "R1", RECALL), ("D2", "E1", "R2", None), ("D3", "E2", "R1", None), ("D4", "E3", "R1", None)],
+        ReadEpisode=[("E1",), ("E2",)], Image=[("E2", "A2", "P1"), ("E2", "A9", "P1")],
+        Appointment=[(None, "S1"), ("A2", None)], ScreeningEpisode=[("S1", "P2"), (None, "P3")], Participant=[("P2",), ("P3",), ("P3",)],
+    )
+    tables = to_spark(spark, rows)
+
+    def got(**how):
+        picked = reading.enrich_decisions(tables, **how).select("read_decision_id", "appointment_id", "participant_id_participant")
+        return sorted(map(tuple, picked.collect()), key=str)
+
+    assert got() == sorted([("D1", None, None), ("D2", None, None), ("D3", "A2", None), ("D3", "A9", None)], key=str)
+    assert got(null_safe=True) == sorted([("D1", None, "P2"), ("D2", None, "P2"), *[("D3", a, "P3") for a in ("A2", "A9") for _ in range(2)]], key=str)
+
+
+def test_decisions_move_once_to_be_enriched(spark):
+    tables = to_spark(spark, random_tables(3, False))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        plan = reading.enrich_decisions(tables)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    moved = [part for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0] and "read_decision_id" in part]
+    assert len(moved) == 1
+
+
 def test_empty_input_gives_empty_charts(spark):
     rows = {name: [] for name in COLUMNS}
     tables = to_spark(spark, rows)

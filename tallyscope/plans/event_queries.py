@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators import events as ev
 from tallyscope.session import fresh_path
+from tallyscope.sources.files import listed
 from tallyscope.sources.sinks import write_jsonl
 from tallyscope.sources.tables import parquet_table
 from tallyscope.streaming.landing import compact, land_events, read_landed
@@ -33,12 +34,15 @@ def _round_trip(spark, folder):
     return ev.unnest_payload(ev.read_events(spark, path))
 
 
-def _stream(spark, folder, files=1):
-    """The supplied events as a stream of files, one to a micro-batch."""
+def _stream(spark, folder, batches=1):
+    """The supplied events as a stream of files, some for each micro-batch: all cores write them and read a batch."""
     supplied = parquet_table(spark, folder, "events")
     path = fresh_path(spark, "arriving")
-    supplied.repartition(files, "event_id").write.parquet(path)
-    return _as_events(spark.readStream.schema(supplied.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    supplied.repartition(batches * spark.sparkContext.defaultParallelism, "event_id").write.parquet(path)
+    stream = spark.readStream.schema(supplied.schema)
+    if batches > 1:  # otherwise all files are one micro-batch
+        stream = stream.option("maxFilesPerTrigger", max(1, -(-len(listed(spark, path)) // batches)))
+    return _as_events(stream.parquet(path))
 
 
 def _landed(spark, folder):
@@ -74,7 +78,7 @@ def land_restarted(spark, stream, out, stops):
 
 
 def _landed_restarted(spark, folder):
-    """Events of eight files; batches that stop before and behind their manifest are replayed, and a
+    """Events in eight batches; those that stop before and behind their manifest are replayed, and a
     folder that no manifest names is not read."""
     out = fresh_path(spark, "landed")
     write_jsonl(events(spark, folder).limit(5), f"{out}/data/3-unnamed/dataset=unfinished")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyscope.operators.positions import number_rows
@@ -32,15 +32,15 @@ def dataset_name(moment: Column, identity: Column, prefix: str = DATASET_PREFIX)
 
 
 def in_datasets(batch: DataFrame, batch_id: int, max_messages: int = MAX_MESSAGES) -> DataFrame:
-    """The batch with a ``dataset`` column: at most ``max_messages`` events to a data set, by id."""
+    """The batch with a ``dataset`` column: at most ``max_messages`` events to a data set, by id.
+
+    The rows of a data set lie in one partition."""
     numbered = number_rows(batch, [F.col("id"), F.col("timestamp")], name="_no")
     chunked = numbered.withColumn("_chunk", F.expr(f"_no div {max_messages}")).drop("_no")
-    newest = chunked.groupBy(F.col("_chunk").alias("_of")).agg(
-        F.max(F.col("timestamp").try_cast("timestamp_ntz")).alias("_newest")
-    )
-    name = dataset_name(F.col("_newest"), F.concat_ws("/", F.lit(str(batch_id)), F.col("_chunk").cast("string")))
-    joined = chunked.join(newest, F.col("_chunk") == F.col("_of"))
-    return joined.withColumn("dataset", name).drop("_chunk", "_of", "_newest")
+    # a chunk is bounded, so its newest moment comes from a window, and the rows move once
+    newest = F.max(F.col("timestamp").try_cast("timestamp_ntz")).over(W.partitionBy("_chunk"))
+    name = dataset_name(newest, F.concat_ws("/", F.lit(str(batch_id)), F.col("_chunk").cast("string")))
+    return chunked.withColumn("dataset", name).drop("_chunk")
 
 
 def land_events(
@@ -61,7 +61,7 @@ def land_events(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         attempt = f"{batch_id}-{uuid.uuid4().hex}"
-        named = in_datasets(batch, batch_id, max_messages).repartition("dataset")
+        named = in_datasets(batch, batch_id, max_messages)
         named.write.partitionBy("dataset").json(f"{out}/data/{attempt}")
         if after:
             after("written", batch_id)

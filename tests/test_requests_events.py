@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators import catalog, events, requests as req
 from tallyscope.sources.sinks import jsonl_name, size_in_mb, write_jsonl
+from tallyscope.plans import event_queries
 from tallyscope.plans.event_queries import land_restarted
 from tallyscope.streaming.landing import committed, compact, in_datasets, land_events, read_landed
 
@@ -169,6 +170,29 @@ def test_a_replayed_batch_gets_the_same_names(spark):
     assert names[0][0].startswith("raw-nsp-events--2024-05-06--07-08-09--")
 
 
+def test_a_batch_moves_to_its_data_sets_once(spark, tmp_path):
+    batch = make_events(spark, 900, 1).repartition(4)
+    plan = in_datasets(batch, 0, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the row numbers' few heads, sent to the rows
+    source, out = str(tmp_path / "source"), str(tmp_path / "out")
+    batch.write.json(source)
+    land_events(spark.readStream.schema(events.EVENT_SCHEMA).json(source), out, str(tmp_path / "offsets"), 50).awaitTermination()
+    files = read_landed(spark, out, events.EVENT_SCHEMA).groupBy("dataset", "_metadata.file_path").count().collect()
+    assert len(files) == len({r["dataset"] for r in files}) == 18 and {r["count"] for r in files} == {50}
+
+
+@pytest.mark.parametrize("batches", [1, 8])
+def test_batches_of_the_supplied_events_have_several_files(spark, tmp_path, monkeypatch, batches):
+    monkeypatch.setattr(event_queries, "fresh_path", lambda _, name: str(tmp_path / name))
+    rows = spark.range(4000).selectExpr("id AS event_id", "timestamp_ntz'2024-05-06 07:08:09' AS ts", "'click' AS event_type", """'{"k":"v"}' AS props""")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    stream, out = event_queries._stream(spark, str(tmp_path), batches), str(tmp_path / "out")
+    land_events(stream, out, str(tmp_path / "offsets")).awaitTermination()
+    assert len(committed(spark, out)) == batches
+    assert len(list((tmp_path / "arriving").glob("*.parquet"))) == batches * spark.sparkContext.defaultParallelism > batches
+    assert read_landed(spark, out, events.EVENT_SCHEMA).agg(F.count_distinct("id"), F.count("id")).first()[:] == (4000, 4000)
+
+
 @pytest.mark.parametrize("parts,share", [(25, 3.5), (25, 1), (2, 9)])
 def test_compaction_keeps_every_line(spark, tmp_path, parts, share):
     small, large = str(tmp_path / "small"), str(tmp_path / "large")

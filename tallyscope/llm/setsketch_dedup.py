@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     wanted = staged(classes.join(groups.withColumnRenamed("label", "group"), "node"), "wanted")
     discarded(stars, groups)
     chunks = wanted.groupBy("group").agg(F.expr(f"1 + greatest(count(1) div {CHUNK}, sum(8 * n) div {CHUNK_BYTES})").alias("chunks"))
+    freed(spark)  # the buckets' shuffle files go before the texts move
     members = staged(_members(docs, wanted, size, id_col, text_col), "members")
     freed(spark)
 

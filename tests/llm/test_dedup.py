@@ -241,3 +241,14 @@ def test_repeats_of_every_shape(spark, monkeypatch, part):
 def test_repeats_table(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in registry.queries()["op7_suffix_dedup"](spark, folder).collect()), key=repr) == brute_repeats(rows, 200)
+
+
+def test_shuffle_files_of_the_buckets_go_before_texts_move(spark, monkeypatch):
+    steps, freed, members = [], setsketch_dedup.freed, setsketch_dedup._members
+    monkeypatch.setattr(setsketch_dedup, "freed", lambda s: (steps.append("freed"), freed(s))[1])
+    monkeypatch.setattr(setsketch_dedup, "_members", lambda *a: (steps.append("texts"), members(*a))[1])
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long), (2, long + " x"), (3, "a b c")], "doc_id long, text string")
+    found = {r["id"]: r["component_id"] for r in setsketch_dedup.near_duplicates(df, 3, 85).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    assert steps[:2] == ["freed", "texts"]

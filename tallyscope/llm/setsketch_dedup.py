@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyscope.llm.common import discarded, freed, staged, text_slices
+from tallyscope.llm.common import discarded, freed, narrowed, staged, text_slices
 from tallyscope.llm.components import components, joined_components
 
 #: Registers of a sketch, and the share of pairs at the threshold that may miss all bands.
@@ -127,21 +127,22 @@ def _sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
 
 
 def _members(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(group, node, n, sketch, shingles) of the wanted classes: the one pass that moves texts.
-    A class comes once for each row with its id and text."""
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    joined = source.join(wanted, F.col("_id").eqNullSafe(F.col("id"))).select("group", "node", "n", "sketch", "text", "digest")
+    """(group, chunks, node, n, sketch, shingles) of the wanted classes, and how many chunks their group
+    has: the one pass that moves texts, and only theirs.  A class comes once for each row with its id and text."""
+    source = narrowed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", wanted, "id")
+    chunks = wanted.groupBy("group").agg(F.expr(f"1 + greatest(count(1) div {CHUNK}, sum(8 * n) div {CHUNK_BYTES})").alias("chunks"))
+    joined = source.join(wanted.join(chunks, "group"), F.col("_id").eqNullSafe(F.col("id"))).select("group", "chunks", "node", "n", "sketch", "text", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, 4):
-            values, offsets = shingle_sets(part.column(4).to_pylist(), size)
+        for part in text_slices(batches, 5):
+            values, offsets = shingle_sets(part.column(5).to_pylist(), size)
             rows = [values[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
             # another text may carry the same id
-            same = [xxhash.xxh3_128_digest(row) == digest for row, digest in zip(rows, part.column(5).to_pylist())]
-            found = pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(rows, pa.binary())], names=["group", "node", "n", "sketch", "shingles"])
+            same = [xxhash.xxh3_128_digest(row) == digest for row, digest in zip(rows, part.column(6).to_pylist())]
+            found = pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(rows, pa.binary())], names=["group", "chunks", "node", "n", "sketch", "shingles"])
             yield found.filter(pa.array(same, pa.bool_()))
 
-    return joined.mapInArrow(run, "group bigint, node bigint, n bigint, sketch binary, shingles binary")
+    return joined.mapInArrow(run, "group bigint, chunks bigint, node bigint, n bigint, sketch binary, shingles binary")
 
 
 class Chunk:
@@ -207,9 +208,9 @@ def _links(rows: DataFrame, least: float, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _within(members: DataFrame, chunks: DataFrame) -> DataFrame:
+def _within(members: DataFrame) -> DataFrame:
     """Every chunk with itself, and with the first chunk of its group."""
-    dealt = members.join(chunks, "group").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).withColumn("label", F.col("node"))
+    dealt = members.withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).withColumn("label", F.col("node"))
     own = dealt.withColumns({"i": F.col("chunk"), "j": F.col("chunk"), "side": F.lit(0)})
     many = dealt.filter("chunks > 1").withColumn("i", F.lit(0).cast("bigint"))
     first = many.filter("chunk = 0").withColumns({"j": F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("chunks") - 1)), "side": F.lit(0)})
@@ -217,9 +218,9 @@ def _within(members: DataFrame, chunks: DataFrame) -> DataFrame:
     return own.unionByName(first).unionByName(other)
 
 
-def _outside(members: DataFrame, chunks: DataFrame, labels: DataFrame) -> DataFrame:
+def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Of groups with several chunks, the classes outside the largest component with all classes."""
-    many = members.join(chunks.filter("chunks > 1"), "group").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    many = members.filter("chunks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # a row for each class again, as its rows may repeat
     counts = many.groupBy("group", "label").agg(F.count_distinct("node").alias("m"))
     main = counts.groupBy("group").agg(F.max_by("label", "m").alias("main"), (F.sum("m") - F.max("m")).alias("others"))
@@ -258,15 +259,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     groups = components(stars)
     wanted = staged(classes.join(groups.withColumnRenamed("label", "group"), "node"), "wanted")
     discarded(stars, groups)
-    chunks = wanted.groupBy("group").agg(F.expr(f"1 + greatest(count(1) div {CHUNK}, sum(8 * n) div {CHUNK_BYTES})").alias("chunks"))
     freed(spark)  # the buckets' shuffle files go before the texts move
     members = staged(_members(docs, wanted, size, id_col, text_col), "members")
     freed(spark)
 
-    links = staged(_links(_within(members, chunks), least, percent), "links")
+    links = staged(_links(_within(members), least, percent), "links")
     labels = components(links)
-    if not chunks.filter("chunks > 1").isEmpty():
-        more = staged(_links(_outside(members, chunks, labels), least, percent), "links")
+    if not members.filter("chunks > 1").isEmpty():
+        more = staged(_links(_outside(members, labels), least, percent), "links")
         labels = staged(joined_components(labels, more), "labels")
         discarded(more)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -12,6 +12,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from tallyscope.llm import radix_dedup, registry, setsketch_dedup, suffix_dedup
+from tallyscope.llm.common import narrowed
 from tallyscope.llm.components import components, joined_components
 
 
@@ -252,3 +253,46 @@ def test_shuffle_files_of_the_buckets_go_before_texts_move(spark, monkeypatch):
     found = {r["id"]: r["component_id"] for r in setsketch_dedup.near_duplicates(df, 3, 85).collect()}
     assert found == {1: 1, 2: 1, 3: 3}
     assert steps[:2] == ["freed", "texts"]
+
+
+def moved_rows(df):
+    """Rows of the largest shuffle of a query, which is run for it."""
+    found = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    return found, max((int(float(n)) for n in re.findall(r"rowCount=([0-9.E+]+)", df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))), default=0)
+
+
+def test_only_texts_that_share_a_bucket_move(spark, monkeypatch):
+    """Texts that share no bucket with others stay where they are, and so do the sets once made."""
+    moved, real = {}, setsketch_dedup.staged
+    texts = [" ".join(f"w{i}_{j}" for j in range(60)) for i in range(2000)] + [" ".join(f"w{i}_{j}" for j in range(60)) + " x" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+
+    def staged(table, name):
+        if name in ("members", "links"):
+            moved.setdefault(name, []).append(moved_rows(table))
+        return real(table, name)
+
+    monkeypatch.setattr(setsketch_dedup, "staged", staged)
+    monkeypatch.setattr(setsketch_dedup, "CHUNK", 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.id: r.component_id for r in setsketch_dedup.near_duplicates(df, 3, 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {i: i - 2000 if i >= 2000 else i for i in range(2020)}
+    [(members, most)] = moved["members"]
+    assert len(members) == 40 and 40 <= most <= 240
+
+
+def test_narrowed_keeps_every_wanted_key(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").alias("row"))
+    for key in (F.col("k"), F.struct(F.col("k").isNull().alias("unnamed"), F.col("k").alias("k")), F.col("k").cast("string"), F.col("k").cast("double")):
+        keyed = rows.select(key.alias("k"), "row")
+        for wanted in (keyed.filter("row % 100 = 0"), keyed.filter("row = 0"), keyed.filter("row % 2 = 0"), keyed):
+            kept = [r.row for r in narrowed(keyed, "k", wanted.withColumnRenamed("k", "other"), "other").select("row").collect()]
+            want = {r.row for r in wanted.collect()}
+            assert want <= set(kept) and len(kept) == len(set(kept)) <= len(want) + 1000
+        assert narrowed(keyed, "k", keyed.limit(0), "k").count() == 0
